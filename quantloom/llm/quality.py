@@ -19,15 +19,18 @@ STEPS = 120
 THRESHOLD = 0.3
 FOLDS = 5
 
-_SYMBOLS = b"#$%&*@^~<>{}[]\\|_=+/"
-_CLASSES = np.zeros((6, 256), np.uint8)
+_SYMBOLS = b"#$%&*@^~<>{}[]\\_=+/"
+_CLASSES = np.zeros((7, 256), np.uint8)
 _CLASSES[0, 0x41:0x5B] = 1
 _CLASSES[1, 0x30:0x3A] = 1
 _CLASSES[2, list(_SYMBOLS)] = 1
 _CLASSES[3, list(b"!?")] = 1
 _CLASSES[4, list(b".,;:'\"()-")] = 1
 _CLASSES[5, [0x20, 0x09, 0x0D]] = 1
+_CLASSES[6, list(b"|")] = 1
 OWN = len(_CLASSES) + 6
+#: Where a line's own features have the logarithm of its size.
+SIZE_AT = len(_CLASSES) + 1
 #: Of a line: its own features, those of the line before and after, and a constant.
 WIDTH = 3 * OWN + 1
 
@@ -47,7 +50,7 @@ def line_features(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     for k, of in enumerate(_CLASSES):
         total = np.zeros(len(a) + 1, np.int32 if len(a) < 1 << 31 else np.int64)
         np.cumsum(of[a], out=total[1:])
-        x[:, k] = (total[stop] - total[start]) * share
+        x[:, k] = np.sqrt((total[stop] - total[start]) * share)
     _, h, ws, we = words(list(texts))
     line = np.searchsorted(start, ws, "right") - 1
     count = np.bincount(line, minlength=n)
@@ -118,6 +121,22 @@ def marginals(emit: np.ndarray, trans: np.ndarray, at: np.ndarray, gradient: boo
     return p, pairs
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p) - np.log1p(-p)
+
+
+def calibrate(p: np.ndarray, good: np.ndarray, l2: float = 1e-2) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from a document's mean marginal to its probability of being good (Newton)."""
+    z = np.stack([_logit(p), np.ones(len(p))])
+    theta = np.array([1.0, 0.0])
+    for _ in range(25):
+        q = 1 / (1 + np.exp(-theta @ z))
+        g = z @ (good - q) - l2 * (theta - [1.0, 0.0])
+        theta = theta + np.linalg.solve((z * (q * (1 - q))) @ z.T + l2 * np.eye(2), g)
+    return float(max(theta[0], 1e-3)), float(theta[1])
+
+
 def fit(x: np.ndarray, chain: np.ndarray, good: np.ndarray, steps: int = STEPS, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transition scores that maximise the likelihood of the line labels (Adam over all chains)."""
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
@@ -137,8 +156,8 @@ def fit(x: np.ndarray, chain: np.ndarray, good: np.ndarray, steps: int = STEPS,
     return theta[: len(w)], theta[len(w) :].reshape(2, 2)
 
 
-def score_texts(texts: Sequence[bytes], w: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Mean P(good) over each text's lines, weighted by length."""
+def score_texts(texts: Sequence[bytes], w: np.ndarray, trans: np.ndarray, slope: float = 1.0, offset: float = 0.0) -> np.ndarray:
+    """Calibrated mean P(good) over each text's lines, weighted by length."""
     x, doc, weight = line_features(texts)
     at, _ = _padded(doc)
     # chains in groups, so that one long text doesn't pad all others
@@ -151,14 +170,19 @@ def score_texts(texts: Sequence[bytes], w: np.ndarray, trans: np.ndarray) -> np.
         part = at[: lengths[lo], lo:hi]
         p += marginals(emit, trans, part)
         lo = hi
-    return np.bincount(doc, p * weight, len(texts)) / np.bincount(doc, weight, len(texts))
+    return 1 / (1 + np.exp(-slope * _logit(mean_marginal(p, doc, weight, len(texts))) - offset))
+
+
+def mean_marginal(p: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """P(good) of each text's lines, averaged by length."""
+    return np.bincount(doc, p * weight, n) / np.bincount(doc, weight, n)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = TRAIN_DOCS) -> tuple | None:
     """The field from up to ``n`` labelled documents outside the held-out fold; None without any.
 
     Every line of a document bears the document's label. Only the sample's line features reach the driver.
@@ -181,10 +205,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     found = chosen.select("doc_id", "quality", features("__text").alias("f")).select("doc_id", "quality", "f.lines").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
     if not found:
         return None
-    x = [np.frombuffer(r["lines"][0], np.float32).reshape(-1, WIDTH) for r in found]
-    chain = np.concatenate([k * 1_000_000 + np.arange(len(one)) // TRAIN_LINES for k, one in enumerate(x)])
-    good = np.concatenate([np.full(len(one), r["quality"] > 0) for one, r in zip(x, found, strict=True)])
-    return fit(np.concatenate(x).astype(float), chain, good)
+    x = [np.frombuffer(r["lines"][0], np.float32).reshape(-1, WIDTH).astype(float) for r in found]
+    return fit_documents(x, np.array([r["quality"] > 0 for r in found]))
+
+
+def fit_documents(x: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Field and calibration from the line features of documents and their labels."""
+    doc = np.repeat(np.arange(len(x)), [len(one) for one in x])
+    part = np.concatenate([np.arange(len(one)) // TRAIN_LINES for one in x])
+    chain = np.cumsum(np.append(0, (np.diff(doc) != 0) | (np.diff(part) != 0)))
+    lines = np.concatenate(x)
+    w, trans = fit(lines, chain, good[doc])
+    weight = np.expm1(lines[:, SIZE_AT] * 8) + 1
+    p = mean_marginal(marginals(lines @ w, trans, _padded(chain)[0]), doc, weight, len(x))
+    return w, trans, *calibrate(p, good)
 
 
 def with_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
+from quantloom.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, quality, warc
 
 QUERIES = {
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_probminhash": near_dedup.op5_probminhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_line_crf": quality.op8_line_crf,
 }
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op7_warc_round_trip": warc.OP7_SQL,
 }

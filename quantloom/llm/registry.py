@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, quality, warc
+from quantloom.llm import chat, decontaminate, exact_dedup, licenses, line_templates, mixing, near_dedup, pii, quality, warc
 
 QUERIES = {
+    "op1_weak_pii": pii.op1_weak_pii,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -12,6 +13,8 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_line_crf": quality.op8_line_crf,
+    "op9_log_templates": line_templates.op9_log_templates,
+    "op10_chat_roles": chat.op10_chat_roles,
 }
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,

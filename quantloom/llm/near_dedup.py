@@ -116,13 +116,32 @@ def verify(pairs: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("b", "part", "role", "id", "text").mapInPandas(compare, "a long, b long, similarity double")
 
 
+def rare_shingles(docs: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, s, ahead): the rarest of each text's n different shingles, so many that two texts of ``similarity`` share one.
+
+    A text misses less than a share of 1 - similarity of a similar text's shingles, so one of its rarest such share and one more stands
+    in both. Rarity counts these texts alone; ``ahead`` is the number of a text's shingles that are rarer still.
+    """
+
+    @F.pandas_udf("array<long>")
+    def listed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+    each = saved(docs.select("id", F.explode(listed("text")).alias("s")).distinct(), "shingles")
+    often = each.groupBy("s").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("all"))
+    n = F.size("all")
+    few = F.slice("all", 1, n - F.ceil(n * similarity - 1e-9).cast("int") + 1)
+    return ranked.select("id", n.alias("n"), F.posexplode(few).alias("ahead", "x")).where("x.often > 1").select("id", "n", F.col("x.s").alias("s"), "ahead")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id that links of ``similarity`` or more lead to) and class_size.
 
     Texts of equal words are one node. Texts that share a band are candidates. First every text is compared with
-    its band's smallest node, so a group of any size costs as many comparisons as it has members. Then only texts that share a band
-    and are still in different components are compared, which leaves out no link that could join two classes; the number
-    of shingles and the distances from their common pivot rule most of these out.
+    its band's smallest node, so a group of any size costs as many comparisons as it has members. Of bands that still hold several
+    components, all texts are looked at again: those of different components that share one of their rarest shingles, as all
+    similar texts do, are compared. So no link is left out that could join two classes.
     Texts of under five words are one shingle. Texts without words (null, empty) and rows without a doc_id are alone in their
     class. Rows that share a doc_id count as one document. An empty table gives no rows.
     """
@@ -133,7 +152,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     pivots = own.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").select("bucket", "pivot")
     mates = saved(own.join(pivots, "bucket"), "mates")
     stars = mates.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    # only the texts of candidates are read again; a merge join, so that it works alike at every size
     bodies = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    bodies = saved(bodies.join(mates.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), "candidates")
     tried = saved(verify(stars, bodies), "tried")
     links = tried.where(F.col("similarity") >= similarity).select("a", "b")
     parts = saved(connected_components(links), "components")
@@ -141,21 +162,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     # buckets that still hold more than one component
     placed = mates.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    far = tried.groupBy(F.col("a").alias("node"), F.col("b").alias("pivot")).agg(F.max("similarity").alias("similarity"))
-    rest = placed.join(split, "bucket").join(far, ["node", "pivot"], "left")
-    # the distance from the pivot: 0 for the pivot itself
-    rest = saved(rest.select("bucket", "node", "n", "component", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(1 - F.col("similarity")).alias("d")), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    slack = 1 - similarity + 1e-9
-    near = (
-        (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.component") < F.col("y.component"))
-        & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - 1e-9)
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= slack)
-        & (F.col("x.d") > 0)
-        & (F.col("y.d") > 0)
-    )
-    more = x.join(y, near).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    rest = placed.join(split, "bucket").select(F.col("node").alias("id"), "component").distinct()
+    rest = saved(rest.join(bodies, "id"), "rest")
+    rare = saved(rare_shingles(rest.select("id", "text"), similarity).join(rest.select("id", "component").distinct(), "id"), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    # what may still be shared from this shingle on, in either text
+    room = F.least(F.col("x.n") - F.col("x.ahead"), F.col("y.n") - F.col("y.ahead"))
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & (room * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-9)
+    more = x.join(y, near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
     more = saved(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         late = saved(verify(more, bodies).where(F.col("similarity") >= similarity).select("a", "b"), "late")

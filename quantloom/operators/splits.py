@@ -20,8 +20,9 @@ def walk_forward(bars: DataFrame, train: int, test: int, step: int) -> DataFrame
     """(fold, role, lo, hi): rolling windows of bars [lo, hi), complete ones only; the test follows its training at once."""
     if min(train, test, step) < 1:
         raise ValueError(f"train, test and step must be positive: {train}, {test}, {step}")
-    n = bars.agg((F.max("bar") + 1).alias("n")).where(F.col("n") >= train + test)
-    starts = n.select(F.explode(F.sequence(F.lit(0), (F.col("n") - train - test).cast("int"), F.lit(step))).alias("at"))
+    n = bars.agg((F.max("bar") + 1).alias("n"))
+    room = (F.col("n") - train - test).cast("int")
+    starts = n.select(F.explode(F.when(room >= 0, F.sequence(F.lit(0), room, F.lit(step)))).alias("at"))
     starts = starts.withColumn("fold", F.floor(F.col("at") / step).cast("int"))
     part = F.explode(F.array(F.struct(F.lit("train").alias("role"), F.col("at").alias("lo"), (F.col("at") + train).alias("hi")), F.struct(F.lit("test").alias("role"), (F.col("at") + train).alias("lo"), (F.col("at") + train + test).alias("hi"))))
     return starts.select("fold", part.alias("x")).select("fold", "x.role", "x.lo", "x.hi")

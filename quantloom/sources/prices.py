@@ -14,6 +14,7 @@ from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ class PriceSource(Protocol):
 
 def business_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Mondays to Fridays from start to end."""
-    bounds = spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("z")).where("a <= z")
-    days = bounds.select(F.explode(F.expr("sequence(a, z, interval 1 day)")).alias("dt"))
+    bounds = spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("z"))
+    days = bounds.select(F.explode(F.expr("CASE WHEN a <= z THEN sequence(a, z, interval 1 day) END")).alias("dt"))
     return days.where(~F.dayofweek("dt").isin(1, 7))
 
 
@@ -93,7 +94,7 @@ class CachedSource:
             df = self.spark.read.parquet(path).select("dt", "asset", "px")
             df.limit(1).count()  # Spark reads late
             return df
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             log.info("no cached prices at %s: %s", path, type(e).__name__)
             return None
 
@@ -109,7 +110,7 @@ class CachedSource:
                 found.write.parquet(temporary)
                 os.replace(temporary, path)
                 found = self._read(path) or found
-            except (OSError, PySparkException) as e:
+            except (OSError, PySparkException, Py4JJavaError) as e:
                 log.warning("prices were not cached: %s", e)
                 shutil.rmtree(temporary, ignore_errors=True)
         return found.where(F.col("asset").isin(list(tickers)))

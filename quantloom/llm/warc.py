@@ -19,7 +19,9 @@ from quantloom.llm.common import saved, scratch
 #: Payloads from this size on are written once.
 REVISIT_BYTES = 100
 #: Payload bytes of a key range, and compressed bytes at which a file is closed.
-RANGE_BYTES, ROLL_BYTES = 64 << 20, 8 << 20
+RANGE_BYTES, ROLL_BYTES = 16 << 20, 8 << 20
+#: Tasks that ranges are dealt to: two for each range, so that few tasks get several, up to so many.
+MOST_TASKS = 50_000
 #: Key cells that ranges are made of, by powers of two: at most so many are ever broadcast.
 CELLS, CELLS_ABOVE = 20, 10
 DATE = "2000-01-01T00:00:00Z"
@@ -130,11 +132,12 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) -> Dat
     large = narrow.where((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
     again = narrow.where(F.col("payload_bytes") >= REVISIT_BYTES).join(first, "digest").where("page_id > refers_to").select("cell", "page_id", "digest", "refers_to").distinct()
+    tasks = min(MOST_TASKS, 2 * ((ranges.agg(F.max("grp")).first()[0] or 0) + 1))
     # at most 2 ** CELLS rows of two numbers
     ranges = F.broadcast(ranges)
     role = again.select("cell", "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "refers_to")
     page = pages.select(cell.alias("cell"), "page_id", F.lit(1).alias("kind"), "url", body.alias("body"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    dealt = role.unionByName(page).join(ranges, "cell").drop("cell").repartition("grp").sortWithinPartitions("grp", "page_id", "kind", "digest", F.sha2("body", 256), "url")
+    dealt = role.unionByName(page).join(ranges, "cell").drop("cell").repartition(tasks, "grp").sortWithinPartitions("grp", "page_id", "kind", "digest", F.sha2("body", 256), "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shards, at, roles = _Shards(root, roll_bytes), None, {}

@@ -58,7 +58,8 @@ def mix(
     share: float = SHARE,
     epochs: int = MAX_EPOCHS,
 ) -> DataFrame:
-    """docs with size, source_size, target and taken, the words that the mix takes of each row, repeats counted.
+    """docs with size, source_size, target and taken, the words that the mix takes of each row, repeats counted. Columns of
+    those names are replaced.
 
     Every row gets a hash-random key. Within a source, rows in key order are taken whole for as many epochs as the
     target holds, then up to the word at which the rest of the target ends. The position of a row is the sum
@@ -68,7 +69,7 @@ def mix(
     """
     order = F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source).cast("string"), F.lit("")))
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = docs.withColumns({TOKENS: tokens, SOURCE: order, KEY: key}).withColumn(RANGE, F.substring(KEY, 1, RANGE_DIGITS))
+    rows = docs.withColumns({TOKENS: tokens, SOURCE: order, KEY: key}).drop("size", "source_size", "target", "taken").withColumn(RANGE, F.substring(KEY, 1, RANGE_DIGITS))
     ranges = saved(rows.groupBy(SOURCE, RANGE).agg(F.sum(TOKENS).alias(TOKENS)), "mix-ranges")
     goal = targets(ranges.groupBy(SOURCE).agg(F.sum(TOKENS).alias("source_size")), weights, share, epochs)
     earlier = Window.partitionBy(SOURCE).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)

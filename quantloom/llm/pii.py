@@ -32,6 +32,8 @@ CONTEXT = {"email": "e-?mail|contact|write|mail", "ip": r"\bip\b|address|server|
 CONTEXT_CHARS = 32
 VOTERS = ("format", "gazetteer", "context", "border")
 VOTES = (-1, 0, 1)
+#: Voters whose 0 is no opinion. A context that announces nothing is one.
+ABSTAIN = ("format", "gazetteer")
 #: What is believed of voters before any count: a failed check is a strong sign, so is an announcing word.
 PRIOR = {("format", 1, 1): 20.0, ("format", 0, -1): 20.0, ("context", 1, 1): 10.0, ("context", 0, 0): 10.0}
 
@@ -126,6 +128,11 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
+def _said(votes: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(voter, vote) of the voters with an opinion."""
+    return [(j, v) for j, v in enumerate(votes) if v or VOTERS[j] not in ABSTAIN]
+
+
 def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> tuple[list[float], list[float]]:
     """Expectation-maximisation over vote patterns (kind, votes, count): P(real) of each pattern, and the log-odds that each voter's votes and each kind add.
 
@@ -142,14 +149,15 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int
             for real in (0, 1):
                 weight = {v: PRIOR.get((VOTERS[j], real, v), 0.5) for v in VOTES}
                 for q, (_, votes, c) in zip(p, patterns, strict=True):
-                    weight[votes[j]] += c * (q if real else 1 - q)
+                    if (j, votes[j]) in _said(votes):
+                        weight[votes[j]] += c * (q if real else 1 - q)
                 total = sum(weight.values())
                 table[j, real] = {v: w / total for v, w in weight.items()}
         p = []
         for kind, votes, _ in patterns:
-            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[j, 1][v] / table[j, 0][v]) for j, v in enumerate(votes))
+            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[j, 1][v] / table[j, 0][v]) for j, v in _said(votes))
             p.append(_sigmoid(odds))
-    w = [math.log(table[j, 1][v] / table[j, 0][v]) for j in range(len(VOTERS)) for v in VOTES]
+    w = [0.0 if v == 0 and VOTERS[j] in ABSTAIN else math.log(table[j, 1][v] / table[j, 0][v]) for j in range(len(VOTERS)) for v in VOTES]
     return p, w + [math.log(prior[k] / (1 - prior[k])) for k in range(len(KINDS))]
 
 
@@ -160,7 +168,7 @@ def fit_classifier(patterns: list[tuple[int, tuple[int, ...], int]], p: list[flo
     """
 
     def features(kind: int, votes: tuple[int, ...]) -> list[int]:
-        return [j * len(VOTES) + VOTES.index(v) for j, v in enumerate(votes)] + [len(VOTERS) * len(VOTES) + kind]
+        return [j * len(VOTES) + VOTES.index(v) for j, v in _said(votes)] + [len(VOTERS) * len(VOTES) + kind]
 
     rows = [(features(kind, votes), q, math.sqrt(c)) for (kind, votes, c), q in zip(patterns, p, strict=True)]
     n = sum(c for *_, c in rows)

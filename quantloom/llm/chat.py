@@ -94,17 +94,15 @@ def step_scores(signs: np.ndarray, first: bool, start: np.ndarray, trans: np.nda
     return best
 
 
-def viterbi_chunk(signs: np.ndarray, before: np.ndarray | None, after: np.ndarray, start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> list[int]:
-    """The most likely states of a chunk, given the best scores of the states before it (None: it comes first) and what each
-    end state is worth later."""
-    best = (start if before is None else (before[:, None] + trans).max(axis=0)) + emit[:, signs[0]]
+def viterbi_chunk(signs: np.ndarray, before: int | None, end: int, start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> list[int]:
+    """The most likely states of a piece, given the state before it (None: it comes first) and its last state."""
+    best = (start if before is None else trans[before]) + emit[:, signs[0]]
     back = []
     for s in signs[1:]:
         both = best[:, None] + trans
         back.append(both.argmax(axis=0))
         best = both.max(axis=0) + emit[:, s]
-    state = int((best + after).argmax())
-    path = [state]
+    state, path = end, [end]
     for b in reversed(back):
         state = int(b[state])
         path.append(state)
@@ -112,25 +110,25 @@ def viterbi_chunk(signs: np.ndarray, before: np.ndarray | None, after: np.ndarra
 
 
 def _between(pieces: DataFrame, k: int) -> DataFrame:
-    """For each piece the best scores before it and the worth of its end states, from the pieces' score matrices in order.
+    """For each piece the state before it (null for the first) and its last state, on the best path over all pieces in order.
 
-    A group is a conversation's matrices, one for CHUNK turns.
+    A group is a conversation's score matrices, one for CHUNK turns. The path is traced back once, so that pieces meet
+    in the same state even where several paths are equally good.
     """
 
     def along(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__piece")
         m = np.stack(group["scores"].to_list()).reshape(-1, k, k)
-        before, after = np.zeros((len(m), k)), np.zeros((len(m), k))
-        best = m[0].max(axis=0)
-        for i in range(1, len(m)):
-            before[i] = best - best.max()
-            best = (before[i][:, None] + m[i]).max(axis=0)
-        for i in range(len(m) - 2, -1, -1):
-            worth = (m[i + 1] + after[i + 1]).max(axis=1)
-            after[i] = worth - worth.max()
-        return pd.DataFrame({"__conv": group["__conv"], "__piece": group["__piece"], "first": np.arange(len(m)) == 0, "before": list(before), "after": list(after)})
+        best = [m[0].max(axis=0)]
+        for one in m[1:]:
+            best.append(((best[-1] - best[-1].max())[:, None] + one).max(axis=0))
+        end = [int(best[-1].argmax())]
+        for i in range(len(m) - 1, 0, -1):
+            end.append(int(((best[i - 1] - best[i - 1].max()) + m[i][:, end[-1]]).argmax()))
+        end = end[::-1]
+        return pd.DataFrame({"__conv": group["__conv"], "__piece": group["__piece"], "before": pd.array([None, *end[:-1]], "Int32"), "end": end})
 
-    return pieces.select("__conv", "__piece", "scores").groupBy("__conv").applyInPandas(along, "__conv string, __piece long, first boolean, before array<double>, after array<double>")
+    return pieces.select("__conv", "__piece", "scores").groupBy("__conv").applyInPandas(along, "__conv string, __piece long, before int, end int")
 
 
 def recover_roles(turns: DataFrame) -> DataFrame:
@@ -154,11 +152,11 @@ def recover_roles(turns: DataFrame) -> DataFrame:
         return pd.Series([step_scores(np.asarray(s), bool(o), start, trans, emit).ravel() for s, o in zip(signs, opens, strict=True)])
 
     @F.pandas_udf("array<int>")
-    def path(signs: pd.Series, first: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([viterbi_chunk(np.asarray(s), None if f else np.asarray(b), np.asarray(a), start, trans, emit) for s, f, b, a in zip(signs, first, before, after, strict=True)])
+    def path(signs: pd.Series, before: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([viterbi_chunk(np.asarray(s), None if pd.isna(b) else int(b), int(e), start, trans, emit) for s, b, e in zip(signs, before, end, strict=True)])
 
     at = _between(pieces.withColumn("scores", scores("signs", "opens")), k)
-    traced = pieces.join(at, ["__conv", "__piece"]).select("__conv", "__piece", F.explode(F.arrays_zip("places", path("signs", "first", "before", "after").alias("path"))).alias("x"))
+    traced = pieces.join(at, ["__conv", "__piece"]).select("__conv", "__piece", F.explode(F.arrays_zip("places", path("signs", "before", "end").alias("path"))).alias("x"))
     found = rows.join(traced.select("__conv", "__piece", F.col("x.places").alias("__place"), F.col("x.path").alias("__role")), ["__conv", "__piece", "__place"])
     role = F.element_at(F.array(*(F.lit(r) for r in ROLES)), F.col("__role") + 1)
     found = found.withColumns({"held_out": held_out(F.col("conv_id")), "role_found": role})

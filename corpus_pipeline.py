@@ -9,10 +9,17 @@ from quantloom.llm import decontaminate, exact_dedup, mixing, near_dedup, qualit
 from quantloom.llm.common import scratch
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """docs with its own columns of an operator's names out of the way, and what selects all columns as they were."""
+    clash = {n: f"__own_{n}" for n in names if n in docs.columns}
+    return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field rejects go."""
-    scored = quality.with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    rows, back = _aside(docs, "held_out", "score", "predicted")
+    scored = quality.with_score(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 1").select(*back)
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +34,16 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of the benchmark go."""
-    found = decontaminate.with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    rows, back = _aside(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = decontaminate.with_hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(*back)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: the documents with a word taken, and taken, their words repeats counted."""
     mixed = mixing.mix(docs, mixing.token_count(F.col("text")))
-    return mixed.where("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return mixed.where("taken > 0").select(*own, "size", "source_size", "target", "taken")
 
 
 STAGES = [

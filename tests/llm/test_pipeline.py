@@ -1,0 +1,73 @@
+"""The pipeline against a plain version of each stage, and its stages on odd tables."""
+
+import random
+
+from pyspark.sql import functions as F
+from test_other_ops import plain_classes, plain_words
+
+import corpus_pipeline
+from quantloom.llm import mixing, quality
+
+ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
+
+
+def tables(spark, folder):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8)))
+    rows, labels = [], []
+    for i in range(240):
+        lines = [" ".join(word() for _ in range(12)) + "." for _ in range(4)]
+        good = i % 4 > 0
+        if not good:
+            lines = [x.upper().replace(" ", "!! ") for x in lines]
+        rows.append((i, "\n".join(lines), "en", f"s{i % 3}" if i % 7 else None, 1))
+        labels.append((i, int(good), 0))
+    rows += [(500 + k, rows[4 * k + 1][1].title() if k % 2 else rows[4 * k + 1][1], "en", "s0", 1) for k in range(10)]
+    rows += [(600 + k, rows[4 * k + 2][1] + " more", "en", "s1", 1) for k in range(10)]
+    rows += [(700 + k, rows[4 * k + 3][1].split("\n")[0] + " " + ITEM, "en", "s1", 1) for k in range(5)]
+    rows += [(800, None, None, None, None), (801, "", "en", "s2", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_run_equals_plain_stages(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    docs = tables(spark, folder)
+    scored = quality.with_score(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    left = {r["doc_id"]: r["text"] or "" for r in scored.where("predicted = 1").collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    last = {}
+    for i, t in sorted(left.items()):
+        last[t.translate(lower)] = i
+    left = {i: left[i] for i in last.values()}
+    classes = plain_classes(sorted(left.items()))
+    left = {i: t for i, t in left.items() if classes[i] == i}
+    w = ITEM.split()
+    windows = {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+
+    def contaminated(t):
+        x = plain_words(t)
+        hit = {p for i in range(len(x) - 12) if tuple(x[i : i + 13]) in windows for p in range(i, i + 13)}
+        return bool(hit) and 20 * len(hit) >= len(x)
+
+    left = {i for i, t in left.items() if not contaminated(t)}
+    assert not {700, 701, 702} & left and len(left) > 150
+    rest = docs.where(F.col("doc_id").isin(*left))
+    want = {(r["doc_id"], r["taken"]) for r in mixing.mix(rest, mixing.token_count(F.col("text"))).where("taken > 0").collect()}
+    got = corpus_pipeline.run(spark, folder)
+    assert {(r["doc_id"], r["taken"]) for r in got.collect()} == want
+    assert got.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    docs = tables(spark, folder).limit(20)
+    odd = docs.withColumns({c: F.lit(7) for c in ("score", "predicted", "n_words", "contaminated", "bucket", "node", "hash")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, folder)
+        assert name == "mix_sources" or out.columns == odd.columns
+        assert out.where("score <> 7 OR n_words <> 7 OR predicted <> 7").count() == 0 and out.count() > 0
+        assert stage(spark, odd.limit(0), folder).count() == 0

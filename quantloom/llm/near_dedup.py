@@ -29,7 +29,10 @@ def prob_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs:
     Each item of weight w is a Poisson process of rate w, driven by its hash alone, whose arrivals fall on
     random registers. Two sketches agree in a register with the probability Jaccard similarity of the weighted sets.
     An item's process ends as soon as its next arrival is later than the latest of the text's first arrivals.
+    Registers are drawn by 11 bits, so there are 2048 at most.
     """
+    if not 0 < m <= 2048:
+        raise ValueError(f"m must be from 1 to 2048: {m}")
     first = np.full(n_docs * m, np.inf)
     held = np.zeros(n_docs * m, np.uint64)
     size = np.bincount(doc, minlength=n_docs)
@@ -164,13 +167,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rest = placed.join(split, "bucket").select(F.col("node").alias("id"), "component").distinct()
     rest = saved(rest.join(bodies, "id"), "rest")
-    rare = saved(rare_shingles(rest.select("id", "text"), similarity).join(rest.select("id", "component").distinct(), "id"), "rare")
+    # at most one pivot for each band
+    done = tried.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("done"))
+    rare = rare_shingles(rest.select("id", "text"), similarity).join(rest.select("id", "component").distinct(), "id").join(done, "id", "left")
+    rare = saved(rare.withColumn("done", F.coalesce("done", F.array().cast("array<bigint>"))), "rare")
     x, y = rare.alias("x"), rare.alias("y")
     # what may still be shared from this shingle on, in either text
     room = F.least(F.col("x.n") - F.col("x.ahead"), F.col("y.n") - F.col("y.ahead"))
-    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & (room * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-9)
+    compared = F.array_contains("x.done", F.col("y.id")) | F.array_contains("y.done", F.col("x.id"))
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & ~compared & (room * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-9)
     more = x.join(y, near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    more = saved(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    more = saved(more, "more")
     if not more.isEmpty():
         late = saved(verify(more, bodies).where(F.col("similarity") >= similarity).select("a", "b"), "late")
         if not late.isEmpty():

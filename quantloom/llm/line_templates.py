@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import saved
 
-#: Lines of fewer tokens are no templates.
-MIN_TOKENS = 5
+#: Lines of fewer tokens recur by chance: they must stand in so many documents that their copies make SHORT_CHARS characters.
+MIN_TOKENS, SHORT_CHARS = 5, 80
+#: Lines of so many characters are copies wherever they are repeated letter by letter: all but the first go.
+LONG_CHARS = 80
 #: Leading tokens that lead to a leaf, after the number of tokens.
 LEAD = 4
 #: Documents that a template must stand in to be dropped.
@@ -40,15 +42,32 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
+def needed(line: Column, min_docs: int) -> Column:
+    """Documents that a masked line or its template must stand in. Lines of few tokens are weighed by characters (as scripts without
+    blanks must be), variable fields left out; short lines of variable fields alone have no constant text and get null."""
+    chars = F.length(F.replace(F.replace(line, F.lit(VARIABLE), F.lit("")), F.lit(" "), F.lit("")))
+    short = F.greatest(F.lit(min_docs), F.ceil(F.lit(SHORT_CHARS) / F.when(chars > 0, chars)))
+    return F.when(n_tokens(line) >= MIN_TOKENS, F.lit(min_docs).cast("long")).when(chars > 0, short)
+
+
+def long_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """__id and __again: of the raw lines of LONG_CHARS or more, the keys of those that a smaller doc_id has, too."""
+    long = F.filter(F.array_distinct(F.split(F.col(text), "\n", -1)), lambda x: F.length(x) >= LONG_CHARS)
+    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.explode(long).alias("line")).select("__id", line_key(F.col("line")).alias("key"))
+    lines = saved(lines, "long-lines")
+    first = lines.groupBy("key").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").select("key", "first")
+    return lines.join(first, "key").where(F.col("__id") > F.col("first")).groupBy("__id").agg(F.collect_set("key").alias("__again"))
+
+
 def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Masked lines that follow a template standing in ``min_docs`` documents or more: key, leaf, template and docs.
 
     A line counts once per document. Leaves under ``min_docs`` lines are left out first, on their numbers alone;
     only the lines of other leaves are grouped as text, each task's copies merged first. Of a leaf's different lines, a position is
     fixed where most documents agree on its token, else it is variable. Lines with enough of the fixed tokens follow the template,
-    the others are templates of their own.
+    the others are templates of their own. A line of up to LEAD tokens is a leaf of its own. Empty lines are left out.
     """
-    lines = docs.select(F.explode(F.array_distinct(masked_lines(F.col(text)))).alias("line")).where(n_tokens(F.col("line")) >= MIN_TOKENS)
+    lines = docs.select(F.explode(F.array_distinct(masked_lines(F.col(text)))).alias("line")).where("line <> ''")
     lines = lines.withColumn("leaf", leaf_of(F.col("line")))
     leaves = saved(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     kept = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("docs"))
@@ -63,30 +82,34 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOC
     placed = kept.join(alike, ["leaf", "key"]).select("leaf", "key", "docs", "line", (F.col("share") >= ALIKE).alias("follows"))
     groups = placed.groupBy("leaf", "follows").agg(F.sum("docs").alias("all"))
     found = placed.join(groups, ["leaf", "follows"]).join(template, "leaf")
-    found = found.where(F.when(F.col("follows"), F.col("all")).otherwise(F.col("docs")) >= min_docs)
+    found = found.where(F.when(F.col("follows"), F.col("all")).otherwise(F.col("docs")) >= needed(F.col("line"), min_docs))
     return found.select("key", "leaf", F.when(F.col("follows"), F.col("template")).otherwise(F.col("line")).alias("template"), F.when(F.col("follows"), F.col("all")).otherwise(F.col("docs")).alias("docs"))
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the text less its recurring lines, and n_lines and n_dropped.
 
-    Whether a line goes depends on the line alone, so it goes from every document. Null and empty texts have one
+    Whether a recurring line goes depends on the line alone, so it goes from every document. Other long lines (LONG_CHARS) that
+    several documents have letter by letter stay in the smallest doc_id's. Null and empty texts have one
     empty line and stay as they are; so do rows without a doc_id. Rows that share a doc_id are treated alike. Columns
     named n_lines and n_dropped are replaced. An empty table gives no rows.
     """
     gone = saved(recurring_lines(docs, text, min_docs).select("key"), "recurring")
     lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.explode(F.array_distinct(masked_lines(F.col(text)))).alias("line"))
-    lines = lines.where(n_tokens(F.col("line")) >= MIN_TOKENS).select("__id", line_key(F.col("line")).alias("key"))
+    lines = lines.where("line <> ''").select("__id", line_key(F.col("line")).alias("key"))
     # a row for each document, of keys that its own lines have
     of = lines.join(gone, "key").groupBy("__id").agg(F.collect_set("key").alias("__gone"))
+    none = F.array().cast("array<binary>")
+    of = of.join(long_repeats(docs, doc_id, text), "__id", "full").select("__id", F.coalesce("__gone", none).alias("__gone"), F.coalesce("__again", none).alias("__again"))
     rows = docs.drop("n_lines", "n_dropped").join(of, docs[doc_id] == of["__id"], "left").drop("__id")
     pair = F.arrays_zip(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("raw"), masked_lines(F.col(text)).alias("masked"))
-    stays = F.filter(pair, lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_key(x["masked"])), F.lit(False)))
+    repeated = lambda x: (F.size("__again") > 0) & (F.length(x) >= LONG_CHARS) & F.array_contains(F.col("__again"), line_key(x))
+    stays = F.filter(pair, lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_key(x["masked"])) | repeated(x["raw"]), F.lit(False)))
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda x: x["raw"]), "\n"))
     total = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long")
     dropped = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(total - F.size(stays))
     out = rows.withColumns({"n_lines": total, "n_dropped": dropped, "__text": cleaned})
-    return out.withColumn(text, F.col("__text")).drop("__text", "__gone")
+    return out.withColumn(text, F.col("__text")).drop("__text", "__gone", "__again")
 
 
 def op9_log_templates(spark, sf_dir: str) -> DataFrame:

@@ -157,3 +157,18 @@ def test_lines_of_recurring_templates_go(spark):
 def test_unrelated_lines_stay_even_in_one_leaf(spark):
     rows = [(i, f"the same four words {chr(97 + i) * 3} {chr(98 + i) * 2} {chr(99 + i) * 4} {chr(100 + i)} {chr(101 + i) * 5} {chr(102 + i) * 6} {chr(103 + i) * 7}") for i in range(8)]
     assert line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_short_and_long_lines_that_recur_go(spark):
+    own = "abcdefghijklmnopqrstuvwxyz"
+    seal, script = "All rights reserved.", "这是一行没有空格的文字请勿转载本站内容谢谢"
+    few = [(i, f"{seal}\n{script}\nshort\nLes.\n\n7\n{own[i] * 9}") for i in range(5)]
+    many = [(100 + i, f"Les.\n\n7\n{own[i] * 7}") for i in range(20)]
+    long = " ".join(f"{c * 3}on" for c in own)
+    pair = [(200, long + "\nx"), (201, long + "\ny"), (None, long), (202, long + " 1"), (203, long + " 2")]
+    by = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(few + many + pair, "doc_id long, text string")).collect()}
+    for i in range(5):
+        assert by[i]["text"] == f"short\n\n7\n{own[i] * 9}" and by[i]["n_dropped"] == 3
+    assert all(by[100 + i]["text"] == f"\n7\n{own[i] * 7}" for i in range(20))
+    # long lines stay once, and lines that differ in their numbers are no repeats
+    assert [by[i]["text"] for i in (200, 201, None, 202, 203)] == [long + "\nx", "y", long, long + " 1", long + " 2"]

@@ -15,7 +15,7 @@ LONG_CHARS = 80
 LEAD = 4
 #: Documents that a template must stand in to be dropped.
 MIN_DOCS = 4
-#: Share of a leaf's lines that must agree on a token for it to be fixed, and share of tokens that a line must have in common with the template.
+#: Share of a group's lines that must agree on a token for it to be fixed, and share of the tokens behind the leading ones that a line must have in common with the template.
 FIXED, ALIKE = 0.6, 0.6
 VARIABLE = "<*>"
 
@@ -59,31 +59,56 @@ def long_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return lines.join(first, "key").where(F.col("__id") > F.col("first")).groupBy("__id").agg(F.collect_set("key").alias("__again"))
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Masked lines that follow a template standing in ``min_docs`` documents or more: key, leaf, template and docs.
+def keyed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """__id, key and leaf of each document's different masked lines, empty ones left out, as a table in the shared folder."""
+    lines = docs.select(F.col(doc_id).alias("__id"), F.explode(F.array_distinct(masked_lines(F.col(text)))).alias("line")).where("line <> ''")
+    return saved(lines.select("__id", line_key(F.col("line")).alias("key"), leaf_of(F.col("line")).alias("leaf")), "lines")
+
+
+def grouped(tokens: DataFrame) -> DataFrame:
+    """leaf, key and group: each line in its leaf's group 0 and, where it has recurring tokens, in the group of its pattern.
+
+    A template's own tokens stand in as many of the leaf's lines as the template itself, whatever else is in the leaf. So of a line's tokens
+    behind the leading ones, those that are equally frequent make its pattern: the largest such set, of equals the most frequent.
+    """
+    behind = tokens.where((F.col("at") >= LEAD) & (F.col("token") != VARIABLE))
+    often = behind.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"), F.count("*").alias("lines")).where("lines > 1")
+    sets = behind.join(often, ["leaf", "at", "token"]).groupBy("leaf", "key", "n").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("at", "token")).alias("group"))
+    pattern = sets.groupBy("leaf", "key").agg(F.max(F.struct("size", "n", "group")).alias("top")).select("leaf", "key", F.col("top.group").alias("group"))
+    return tokens.where("at = 0").select("leaf", "key", F.lit(0).cast("long").alias("group")).unionByName(pattern)
+
+
+def recurring_lines(docs: DataFrame, keyed: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """Masked lines that follow a template standing in enough documents (see needed): key, leaf, template and docs.
 
     A line counts once per document. Leaves under ``min_docs`` lines are left out first, on their numbers alone;
-    only the lines of other leaves are grouped as text, each task's copies merged first. Of a leaf's different lines, a position is
-    fixed where most documents agree on its token, else it is variable. Lines with enough of the fixed tokens follow the template,
-    the others are templates of their own. A line of up to LEAD tokens is a leaf of its own. Empty lines are left out.
+    only the lines of other leaves are grouped as text, each task's copies merged first. A leaf's different lines fall into groups, so
+    that it holds several templates. Of a group's lines, a position is fixed where most documents agree on its token, else it is variable.
+    Lines with enough of the tokens behind the leading ones, and one fixed token there, follow the template of their pattern's group, or else
+    the leaf's. The others are templates of their own. A line of up to LEAD tokens is a leaf of its own. Empty lines are left out.
     """
+    leaves = saved(keyed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     lines = docs.select(F.explode(F.array_distinct(masked_lines(F.col(text)))).alias("line")).where("line <> ''")
     lines = lines.withColumn("leaf", leaf_of(F.col("line")))
-    leaves = saved(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     kept = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     kept = saved(kept.withColumn("key", line_key(F.col("line"))), "leaf-lines")
 
-    tokens = kept.select("leaf", "key", "docs", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
-    votes = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"))
-    fixed = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    fixed = saved(fixed.select("leaf", "at", F.when(F.col("top.n") >= FIXED * F.col("all"), F.col("top.token")).alias("fixed")), "leaf-tokens")
-    template = fixed.groupBy("leaf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("fixed", F.lit(VARIABLE)).alias("t")))), lambda x: x["t"]), " ").alias("template"))
-    alike = tokens.join(fixed, ["leaf", "at"]).groupBy("leaf", "key").agg(F.avg((F.col("token") == F.coalesce("fixed", F.lit(VARIABLE))).cast("double")).alias("share"))
-    placed = kept.join(alike, ["leaf", "key"]).select("leaf", "key", "docs", "line", (F.col("share") >= ALIKE).alias("follows"))
-    groups = placed.groupBy("leaf", "follows").agg(F.sum("docs").alias("all"))
-    found = placed.join(groups, ["leaf", "follows"]).join(template, "leaf")
-    found = found.where(F.when(F.col("follows"), F.col("all")).otherwise(F.col("docs")) >= needed(F.col("line"), min_docs))
-    return found.select("key", "leaf", F.when(F.col("follows"), F.col("template")).otherwise(F.col("line")).alias("template"), F.when(F.col("follows"), F.col("all")).otherwise(F.col("docs")).alias("docs"))
+    # a leaf's only line is its own template
+    several = kept.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
+    tokens = saved(kept.where(n_tokens(F.col("line")) > LEAD).join(several, "leaf", "left_semi").select("leaf", "key", "docs", F.posexplode(F.split("line", " ", -1)).alias("at", "token")), "tokens")
+    of = saved(grouped(tokens), "groups")
+    members = tokens.join(of, ["leaf", "key"])
+    votes = members.groupBy("leaf", "group", "at", "token").agg(F.sum("docs").alias("n"))
+    fixed = votes.groupBy("leaf", "group", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
+    fixed = saved(fixed.select("leaf", "group", "at", F.when(F.col("top.n") >= FIXED * F.col("all"), F.col("top.token")).alias("fixed")), "leaf-tokens")
+    template = fixed.groupBy("leaf", "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("fixed", F.lit(VARIABLE)).alias("t")))), lambda x: x["t"]), " ").alias("template"))
+    same = F.col("token") == F.coalesce("fixed", F.lit(VARIABLE))
+    alike = members.where(F.col("at") >= LEAD).join(fixed, ["leaf", "group", "at"]).groupBy("leaf", "group", "key", "docs").agg(F.avg(same.cast("double")).alias("share"), F.max(same & (F.col("token") != VARIABLE)).alias("anchored"))
+    follows = saved(alike.where(F.col("anchored") & (F.col("share") >= ALIKE)).select("leaf", "group", "key", "docs"), "follows")
+    common = follows.groupBy("leaf", "group").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).join(template, ["leaf", "group"])
+    shared = follows.join(common, ["leaf", "group"]).groupBy("leaf", "key").agg(F.max(F.struct((F.col("group") != 0).alias("own"), "template", "all")).alias("of"))
+    found = kept.join(shared, ["leaf", "key"], "left").where(F.col("of").isNotNull() | (F.col("docs") >= needed(F.col("line"), min_docs)))
+    return found.select("key", "leaf", F.coalesce("of.template", "line").alias("template"), F.coalesce("of.all", "docs").alias("docs"))
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -94,9 +119,9 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty line and stay as they are; so do rows without a doc_id. Rows that share a doc_id are treated alike. Columns
     named n_lines and n_dropped are replaced. An empty table gives no rows.
     """
-    gone = saved(recurring_lines(docs, text, min_docs).select("key"), "recurring")
-    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.explode(F.array_distinct(masked_lines(F.col(text)))).alias("line"))
-    lines = lines.where("line <> ''").select("__id", line_key(F.col("line")).alias("key"))
+    keyed = keyed_lines(docs, doc_id, text)
+    gone = saved(recurring_lines(docs, keyed, text, min_docs).select("key"), "recurring")
+    lines = keyed.where("__id IS NOT NULL").select("__id", "key")
     # a row for each document, of keys that its own lines have
     of = lines.join(gone, "key").groupBy("__id").agg(F.collect_set("key").alias("__gone"))
     none = F.array().cast("array<binary>")

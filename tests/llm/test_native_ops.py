@@ -172,3 +172,18 @@ def test_short_and_long_lines_that_recur_go(spark):
     assert all(by[100 + i]["text"] == f"\n7\n{own[i] * 7}" for i in range(20))
     # long lines stay once, and lines that differ in their numbers are no repeats
     assert [by[i]["text"] for i in (200, 201, None, 202, 203)] == [long + "\nx", "y", long, long + " 1", long + " 2"]
+
+
+def test_a_leaf_holds_several_templates(spark):
+    names = [f"{a}{b}x" for a in "abcdefgh" for b in "klmnop"]
+    first = [f"the user has now logged in from {n} over the web" for n in names[:9]]
+    second = [f"the user has now moved its files {n} away by mail" for n in names[9:16]]
+    # prose of the same length and opening, far more than either template
+    prose = ["the user has now " + " ".join(f"{n}{k}".translate(str.maketrans("0123456", "qrstuvw")) for k in range(7)) for n in names]
+    assert len({len(x.split()) for x in first + second + prose}) == 1
+    # five tokens of which the leading four agree are no template
+    short = [f"what we saw was {n}" for n in names[:6]]
+    rows = list(enumerate(first + second + prose + short))
+    got = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(first + second)
+    assert [got[i] for i in range(n)] == [1] * n and [got[i] for i in range(n, len(rows))] == [0] * (len(rows) - n)

@@ -15,7 +15,7 @@ from quantloom.llm.common import WORD_BYTES, saved
 from quantloom.llm.components import connected_components
 
 SIMILARITY = 0.8
-#: A pair at the threshold shares all rows of one band or more with a probability of 0.9991.
+#: A pair at the threshold shares all rows of one band or more with a probability of 0.9991, by the bands of unit weights.
 BANDS, ROWS = 30, 7
 #: Members that one task compares with one pivot.
 BLOCK = 512
@@ -59,16 +59,30 @@ def prob_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs:
     return held.reshape(n_docs, m)
 
 
-def sketch_slice(texts: list[bytes], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Number of different shingles of each text, and its band values (texts x bands)."""
-    n = len(texts)
-    doc, h, _, _ = words(texts)
-    d, s, count = counted(*shingles(doc, h))
-    sketch = prob_minhash(d, s, 1.0 + np.log(np.maximum(count, 1)), n, bands * rows).reshape(n, bands, rows)
+def _bands(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
+    sketch = prob_minhash(doc, item, weight, n, bands * rows).reshape(n, bands, rows)
     value = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (n, bands)).copy()
     for k in range(rows):
         value = mix64(value * _GOLD + sketch[:, :, k])
-    return np.bincount(d, minlength=n), value.view(np.int64)
+    return value.view(np.int64)
+
+
+def sketch_slice(texts: list[bytes], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Number of different shingles of each text, and its band values.
+
+    A text that repeats shingles also has the bands of unit weights, since links are plain Jaccard, which its weights
+    can hide. In other texts all weights are 1, so these bands are the same.
+    """
+    n = len(texts)
+    doc, h, _, _ = words(texts)
+    d, s, count = counted(*shingles(doc, h))
+    values = list(_bands(d, s, 1.0 + np.log(np.maximum(count, 1)), n, bands, rows))
+    again = np.unique(d[count > 1])
+    of = np.isin(d, again)
+    plain = _bands(np.searchsorted(again, d[of]), s[of], np.ones(of.sum()), len(again), bands, rows)
+    for i, row in zip(again, plain, strict=True):
+        values[i] = np.union1d(values[i], row)
+    return np.bincount(d, minlength=n), values
 
 
 def _sketcher(bands: int, rows: int):

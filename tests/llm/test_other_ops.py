@@ -130,6 +130,18 @@ def test_classes_equal_all_pairs(spark, texts):
     assert all(r["class_size"] == size[r["class_id"]] for r in got)
 
 
+def test_pairs_with_repeated_lines_are_linked(spark):
+    rng, rows = random.Random(5), []
+    for k in range(24):
+        said = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        footer = [f"f{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [(2 * k, " ".join(said)), (2 * k + 1, " ".join(said + footer * 30))]
+        a, b = plain_shingles(rows[-2][1]), plain_shingles(rows[-1][1])
+        assert len(a & b) / len(a | b) >= 0.8
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_dedup_edges(spark, docs, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.keep_one(empty).columns == empty.columns
     odd = docs.withColumns({"node": F.lit(1), "bucket": F.lit("b"), "n": F.lit(0), "id": F.lit(None).cast("string")})

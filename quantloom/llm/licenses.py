@@ -13,12 +13,18 @@ from quantloom.llm.common import WORD_BYTES, saved
 #: Base phrases: their places are always found, whatever the method adds.
 PHRASES = {"mit": "the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
+
+def _published(version: int) -> list[str]:
+    """The licence and its version as the usual notices of source files have them."""
+    return [f"gnu general public license as published by the free software foundation {either}version {version} of the license" for either in ("either ", "")]
+
+
 #: Notices by label. Each has the phrases of which one must stand in it word by word, and its usual wordings.
 TEMPLATES = {
     "mit": (["mit license", "permission is hereby granted free of charge"], ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"]),
-    "apache-2": (["apache license version 2"], ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"]),
-    "gpl-2": (["gnu general public license version 2"], ["licensed under the gnu general public license version 2", "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"]),
-    "gpl-3": (["gnu general public license version 3"], ["licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation"]),
+    "apache-2": (["apache license version 2", "apache license 2 0"], ["apache license 2 0", "licensed under the apache license version 2 0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"]),
+    "gpl-2": (["gnu general public license version 2", *_published(2)], [*_published(2), "licensed under the gnu general public license version 2", "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"]),
+    "gpl-3": (["gnu general public license version 3", *_published(3)], [*_published(3), "licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation"]),
     "lgpl": (["gnu lesser general public license"], ["licensed under the gnu lesser general public license"]),
     "agpl-3": (["gnu affero general public license"], ["licensed under the gnu affero general public license version 3"]),
     "bsd": (["bsd license", "redistribution and use in source and binary forms"], ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"]),
@@ -31,7 +37,7 @@ TEMPLATES = {
     "reserved": (["all rights reserved"], ["all rights reserved"]),
 }
 #: Words too common to be looked up; they count for phrases alone.
-COMMON = frozenset("a all and any are as by can for from in is it of on or other that the this to with without you your may not be use file free person copy forms following met fee purpose".split())
+COMMON = frozenset("a all and any are as by can either for from in is it of on or other that the this to with without you your may not be use file free person copy forms following met fee purpose".split())
 #: Rarest words of a wording that the index has postings of.
 RARE = 4
 #: Share of a wording's weight that must stand where it belongs, give or take DRIFT words.

@@ -66,6 +66,23 @@ def test_notices_are_found_by_their_rare_words(spark):
 # near-duplicates
 
 
+def test_standard_notices_have_their_label(spark):
+    head = "/* This program is free software{} you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation{} {}version {} of the License"
+    later = ", or\n * (at your option) any later version.\n */ int main"
+    notices = {
+        head.format(":", "", ",", "either ", 3) + later: "gpl-3",
+        head.format(";", "", ";", "either ", 2) + later: "gpl-2",
+        head.format(";", "", ";", "", 2) + ".": "gpl-2",
+        head.format(":", "Lesser ", ",", "either ", 3) + later: "lgpl",
+        head.format(":", "Affero ", ",", "either ", 3) + later: "agpl-3",
+        "SPDX: Apache License 2.0": "apache-2",
+        "either version 3 of the license, as published by the foundation": "",
+    }
+    rows = [(i, t) for i, t in enumerate(notices)] + [(i, f"plain text number {i}") for i in range(100, 140)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(notices))] == list(notices.values())
+
+
 def test_words_and_shingles_equal_plain_ones(texts):
     for t in [x for _, x, _ in texts]:
         b = (t or "").encode()

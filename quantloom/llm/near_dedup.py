@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.arrays import counted, jaccard, mix64, shingle_set, shingles, slices, words
@@ -19,6 +19,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 7
 #: Members that one task compares with one pivot.
 BLOCK = 512
+#: Rounds of pivots before the exact join, at most; they end as soon as one joins nothing.
+PIVOTS = 4
+#: A hot key is dealt to so many groups, each of which has a copy of the small side's row.
+SPREAD = 16
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,15 +110,25 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands:
     return saved(found.select("doc_id", "s.same", "s.n", "s.bands"), "sketches")
 
 
+def dealt_to(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int")
+
+
+def spread(small: DataFrame) -> DataFrame:
+    """small once for each of SPREAD groups, so that no task gets all rows of a hot key."""
+    return small.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """pairs (a, b) with their exact similarity: shared over all different shingles of the whole texts.
 
     The members of a pivot b are dealt into blocks; the pivot's text goes once to each block and is read first, then the
     members stream past it, so no task holds a group.
     """
-    of = saved(pairs.select("a", "b").distinct().withColumn("part", F.pmod(F.xxhash64("a"), F.lit(1 << 16)).cast("int")), "pairs")
+    of = pairs.select("a", "b").distinct().withColumns({"part": F.pmod(F.xxhash64("a"), F.lit(1 << 16)).cast("int"), "lane": dealt_to("a")})
+    of = saved(of, "pairs")
     blocks = of.groupBy("b").agg(F.count("*").alias("n")).select("b", F.expr(f"cast(ceil(n / {block}) as int)").alias("parts"))
-    member = of.join(blocks, "b").select("b", F.expr("part % parts").alias("part"), F.lit(1).alias("role"), F.col("a").alias("id"))
+    member = of.join(spread(blocks).hint("merge"), ["b", "lane"]).select("b", F.expr("part % parts").alias("part"), F.lit(1).alias("role"), F.col("a").alias("id"))
     pivot = blocks.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("b").alias("id"))
     rows = member.unionByName(pivot).join(docs, "id")
 
@@ -152,57 +166,88 @@ def rare_shingles(docs: DataFrame, similarity: float) -> DataFrame:
     return ranked.select("id", n.alias("n"), F.posexplode(few).alias("ahead", "x")).where("x.often > 1").select("id", "n", F.col("x.s").alias("s"), "ahead")
 
 
+def _placed(mates: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """mates with component; a text without links is its own."""
+    if parts is None:
+        return mates.withColumn("component", F.col("node"))
+    return mates.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+
+
+def _split(placed: DataFrame, turn: int) -> DataFrame:
+    """bucket, pivot and goal (its component) of the buckets that hold several components; each turn picks another pivot."""
+    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    found = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("node", order).alias("pivot"), F.min_by("component", order).alias("goal"))
+    return found.where("lo < hi").select("bucket", "pivot", "goal")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id that links of ``similarity`` or more lead to) and class_size.
 
-    Texts of equal words are one node. Texts that share a band are candidates. First every text is compared with
-    its band's smallest node, so a group of any size costs as many comparisons as it has members. Of bands that still hold several
-    components, all texts are looked at again: those of different components that share one of their rarest shingles, as all
-    similar texts do, are compared. So no link is left out that could join two classes.
+    Texts of equal words are one node. Texts that share a band are candidates. In rounds, the texts of each band are compared with one
+    pivot, if that is in another component, and what is alike is joined; so a group of any size costs as many comparisons in a round
+    as it has members. Of bands that then still hold several components, all texts are looked at again: those of different components that
+    share one of their rarest shingles, as all similar texts do, are compared. So no link is left out that could join two classes.
     Texts of under five words are one shingle. Texts without words (null, empty) and rows without a doc_id are alone in their
-    class. Rows that share a doc_id count as one document. An empty table gives no rows.
+    class. Rows that share a doc_id count as one document. doc_id must be a whole number. Long texts cost as their words; no text is
+    cut. Other columns of docs, whatever their names, are not looked at. An empty table gives no rows.
     """
     drawn = sketches(docs, doc_id, text, bands, rows)
     nodes = saved(drawn.where("n > 0 AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node")), "nodes")
-    own = drawn.join(nodes, (drawn["same"] == nodes["same"]) & (drawn["doc_id"] == nodes["node"])).select("node", "n", F.explode("bands").alias("bucket"))
-    own = own.withColumn("node", F.col("node"))
-    pivots = own.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").select("bucket", "pivot")
-    mates = saved(own.join(pivots, "bucket"), "mates")
-    stars = mates.where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    own = drawn.join(nodes, (drawn["same"] == nodes["same"]) & (drawn["doc_id"] == nodes["node"])).select("node", F.explode("bands").alias("bucket"))
+    shared = own.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    mates = saved(own.join(shared, "bucket").distinct(), "mates")
     # only the texts of candidates are read again; a merge join, so that it works alike at every size
     bodies = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     bodies = saved(bodies.join(mates.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), "candidates")
-    tried = saved(verify(stars, bodies), "tried")
-    links = tried.where(F.col("similarity") >= similarity).select("a", "b")
-    parts = saved(connected_components(links), "components")
-
-    # buckets that still hold more than one component
-    placed = mates.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = placed.join(split, "bucket").select(F.col("node").alias("id"), "component").distinct()
+
+    parts, tried = None, None
+    for turn in range(PIVOTS):
+        placed = _placed(mates, parts)
+        open_ = placed.join(_split(placed, turn), "bucket").where("component <> goal")
+        stars = open_.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        if tried is not None:
+            stars = stars.join(tried, ["a", "b"], "left_anti")
+        found = saved(verify(stars, bodies), "tried")
+        tried = found.select("a", "b") if tried is None else saved(tried.unionByName(found.select("a", "b")), "tried-all")
+        links = found.where(F.col("similarity") >= similarity).select("a", "b")
+        if links.isEmpty():
+            break
+        parts = _joined(parts, links)
+    parts = _exact(mates, parts, tried, bodies, similarity)
+
+    of = nodes if parts is None else nodes.join(parts, "node", "left")
+    of = of.select("same", (F.col("node") if parts is None else F.coalesce("component", "node")).alias("class_id"))
+    found = drawn.select("doc_id", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(of, "same", "left")
+    found = found.select("doc_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"))
+    found = found.withColumn("lane", F.coalesce(dealt_to("doc_id"), F.lit(0)))
+    sizes = found.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1")
+    return found.join(spread(sizes).hint("merge"), ["class_id", "lane"], "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+
+
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node and component with the further links; a component is its smallest node."""
+    if parts is not None:
+        links = links.unionByName(parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return saved(connected_components(links), "components")
+
+
+def _exact(mates: DataFrame, parts: DataFrame | None, tried: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame | None:
+    """parts with all links between texts of bands that hold several components."""
+    placed = _placed(mates, parts)
+    rest = placed.join(_split(placed, 0).select("bucket"), "bucket").select(F.col("node").alias("id"), "component").distinct()
     rest = saved(rest.join(bodies, "id"), "rest")
-    # at most one pivot for each band
-    done = tried.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("done"))
-    rare = rare_shingles(rest.select("id", "text"), similarity).join(rest.select("id", "component").distinct(), "id").join(done, "id", "left")
-    rare = saved(rare.withColumn("done", F.coalesce("done", F.array().cast("array<bigint>"))), "rare")
+    rare = rare_shingles(rest.select("id", "text"), similarity).join(rest.select("id", "component").distinct(), "id")
+    rare = saved(rare, "rare")
     x, y = rare.alias("x"), rare.alias("y")
     # what may still be shared from this shingle on, in either text
     room = F.least(F.col("x.n") - F.col("x.ahead"), F.col("y.n") - F.col("y.ahead"))
-    compared = F.array_contains("x.done", F.col("y.id")) | F.array_contains("y.done", F.col("x.id"))
-    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & ~compared & (room * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-9)
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.component") < F.col("y.component")) & (room * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-9)
     more = x.join(y, near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    more = saved(more, "more")
-    if not more.isEmpty():
-        late = saved(verify(more, bodies).where(F.col("similarity") >= similarity).select("a", "b"), "late")
-        if not late.isEmpty():
-            links = links.unionByName(late).unionByName(parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-            parts = saved(connected_components(links), "components")
-
-    of = nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("class_id"))
-    found = drawn.select("doc_id", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(of, "same", "left")
-    found = found.select("doc_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"))
-    sizes = found.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return found.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    more = saved(more.join(tried, ["a", "b"], "left_anti"), "more")
+    if more.isEmpty():
+        return parts
+    links = saved(verify(more, bodies).where(F.col("similarity") >= similarity).select("a", "b"), "late")
+    return parts if links.isEmpty() else _joined(parts, links)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,8 +20,12 @@ from quantloom.functions.scalar import cadence_bucket, linear_cost
 from quantloom.operators.panel import in_time, with_returns
 
 
+#: A change of weight within this is one of the last bits of the running products, and no trade.
+NO_TRADE = 1e-12
+
+
 class Backtest(NamedTuple):
-    """bars: equity and turnover of each bar; held: weight of each bar and asset; trades: the ledger."""
+    """bars: equity, turnover, gross exposure and cost of each bar; held: weight of each bar and asset; trades: the ledger."""
 
     bars: DataFrame
     held: DataFrame
@@ -52,7 +56,8 @@ def _book(panel: DataFrame, cadence: str, by: Sequence[str], bps: float | Column
     upto = seg.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"w0": F.first("want").over(upto), "g": F.product(1 + F.col("r")).over(upto)})
     rows = rows.withColumn("gp", F.coalesce(F.lag("g").over(seg), F.lit(1.0)))
-    bar = Window.partitionBy(*by, "bar")
+    # in order of assets, so that the last bits don't depend on how rows are dealt
+    bar = Window.partitionBy(*by, "bar").orderBy("asset").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({"v": 1 + F.sum(F.col("w0") * (F.col("g") - 1)).over(bar), "vp": 1 + F.sum(F.col("w0") * (F.col("gp") - 1)).over(bar)})
     return rows.withColumns({"held": F.try_divide(F.col("w0") * F.col("gp"), F.col("vp")), "drifted": F.try_divide(F.col("w0") * F.col("g"), F.col("v"))})
 
@@ -64,13 +69,17 @@ def closed_form(panel: DataFrame, cadence: str, bps: float | Column, capital: fl
     rows = rows.withColumn("before", F.coalesce(F.lag("drifted").over(in_time(by)), F.lit(0.0)))
     rows = rows.withColumn("delta", F.when(F.col("rebalance"), F.col("w0") - F.col("before")).otherwise(0.0))
     rate = bps * 1e-4 if isinstance(bps, Column) else F.lit(bps * 1e-4)
-    bars = rows.groupBy(*by, "dt", "bar", "rebalance").agg(F.sum(F.abs("delta")).alias("turnover"), F.first("v").alias("v"), F.first("vp").alias("vp"))
+    order = Window.partitionBy(*by, "bar").orderBy("asset")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = rows.withColumns({"turnover": F.sum(F.abs("delta")).over(whole), "gross": F.sum(F.abs("held")).over(whole), "__at": F.row_number().over(order)})
+    bars = one.where("__at = 1").select(*by, "dt", "bar", "rebalance", "turnover", "v", "vp", "gross")
     w = in_time(by, asset=False)
     growth = (1 - rate * F.col("turnover")) * F.try_divide(F.col("v"), F.col("vp"))
     bars = bars.withColumn("equity", capital * F.product(growth).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     bars = bars.withColumns({"ret": F.try_divide(F.col("v"), F.col("vp")) - 1, "equity_before": F.coalesce(F.lag("equity").over(w), F.lit(float(capital)))})
+    bars = bars.withColumn("cost", rate * F.col("turnover") * F.col("equity_before"))
     held = rows.select(*by, "dt", "bar", "asset", F.col("held").alias("w"))
-    ledger = rows.where(F.col("delta") != 0).select(*by, "dt", "bar", "asset", F.col("delta").alias("delta_weight"))
+    ledger = rows.where(F.abs("delta") > NO_TRADE).select(*by, "dt", "bar", "asset", F.col("delta").alias("delta_weight"))
     trades = ledger.join(bars.select(*by, "bar", "equity_before"), [*by, "bar"]).withColumn("cost", linear_cost(F.col("delta_weight"), bps) * F.col("equity_before"))
     return Backtest(bars.drop("v", "vp"), held, trades.drop("equity_before"))
 
@@ -136,7 +145,9 @@ def run_backtest(panel: DataFrame, cadence: str, bps: float = 0.0, capital: floa
     else:
         good = closed_form(panel.join(least, [*by], "left_anti"), cadence, bps, capital, by)
         rows = sequential(panel.join(least, [*by], "left_semi"), cadence, bps, capital, by)
-        bars = rows.select(*by, "dt", "bar", "rebalance", "turnover", "equity", "ret", "equity_before").distinct()
-        trades = rows.where("delta <> 0").select(*by, "bar", "dt", "asset", F.col("delta").alias("delta_weight"), (F.abs("delta") * bps * 1e-4 * F.col("equity_before")).alias("cost"))
+        gross = F.sum(F.abs("w")).over(Window.partitionBy(*by, "bar").orderBy("asset").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        bars = rows.withColumn("gross", gross).select(*by, "dt", "bar", "rebalance", "turnover", "equity", "ret", "equity_before", "gross").distinct()
+        bars = bars.withColumn("cost", F.col("turnover") * bps * 1e-4 * F.col("equity_before"))
+        trades = rows.where(F.abs("delta") > NO_TRADE).select(*by, "bar", "dt", "asset", F.col("delta").alias("delta_weight"), (F.abs("delta") * bps * 1e-4 * F.col("equity_before")).alias("cost"))
         done = Backtest(good.bars.unionByName(bars), good.held.unionByName(rows.select(*by, "dt", "bar", "asset", "w")), good.trades.unionByName(trades))
     return Backtest(*(x.drop("__run") for x in done)) if one else done

@@ -28,10 +28,10 @@ def drawdowns(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("below", F.sum((F.col("drawdown") < 0).cast("long")).over(Window.partitionBy(*by, "__island"))).drop("__island")
 
 
-def performance(bars: DataFrame, periods_per_year: float, by: Sequence[str] = (), held: DataFrame | None = None, trades: DataFrame | None = None) -> DataFrame:
-    """All scalar metrics of each run from bars (bar, dt, equity, turnover), held (w) and trades (cost).
+def performance(bars: DataFrame, periods_per_year: float, by: Sequence[str] = ()) -> DataFrame:
+    """All scalar metrics of each run from bars (bar, dt, equity, turnover; gross exposure and cost where they are known).
 
-    Undefined values are null; ratios without a loss or a drawdown are infinite.
+    One pass over the bars. Undefined values are null; ratios without a loss or a drawdown are infinite.
     """
     ppy = float(periods_per_year)
     rows = drawdowns(equity_returns(bars, by), by)
@@ -52,6 +52,8 @@ def performance(bars: DataFrame, periods_per_year: float, by: Sequence[str] = ()
         F.min("drawdown").alias("max_drawdown"),
         F.max(F.when(F.col("drawdown") < 0, F.col("below")).otherwise(0)).alias("max_drawdown_duration"),
         (F.avg("turnover") * ppy).alias("annual_turnover"),
+        *([F.avg("gross").alias("avg_exposure")] if "gross" in bars.columns else []),
+        *([F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost")] if "cost" in bars.columns else []),
     )
     ok = F.col("n") >= 2
     sd = F.when(F.col("sd") > TINY, F.col("sd"))
@@ -66,15 +68,7 @@ def performance(bars: DataFrame, periods_per_year: float, by: Sequence[str] = ()
         }
     )
     calmar = F.when(F.col("max_drawdown") < 0, F.try_divide(F.col("cagr"), F.abs("max_drawdown"))).when(F.col("cagr") > 0, INF)
-    got = got.withColumn("calmar", calmar).withColumn("mar", F.col("calmar")).drop("gains", "losses", "downside", "sd", "mean", "n", "first_equity")
-    keys = list(by)
-    if held is not None:
-        gross = held.groupBy(*by, "bar").agg(F.sum(F.abs("w")).alias("g")).groupBy(*by).agg(F.avg("g").alias("avg_exposure"))
-        got = got.join(gross, keys, "left") if keys else got.crossJoin(gross)
-    if trades is not None:
-        cost = trades.groupBy(*by).agg(F.sum("cost").alias("total_cost"))
-        got = (got.join(cost, keys, "left") if keys else got.crossJoin(cost)).withColumn("total_cost", F.coalesce("total_cost", F.lit(0.0)))
-    return got
+    return got.withColumn("calmar", calmar).withColumn("mar", F.col("calmar")).drop("gains", "losses", "downside", "sd", "mean", "n", "first_equity")
 
 
 def attribution(bars: DataFrame, held: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -86,6 +80,6 @@ def attribution(bars: DataFrame, held: DataFrame, by: Sequence[str] = ()) -> Dat
     eq = bars.select(*by, "bar", F.lag("equity").over(w).alias("eq0"), (F.col("equity") - F.lag("equity").over(w)).alias("gain"))
     rows = held.select(*by, "bar", "asset", F.lag("w").over(in_time(by)).alias("w0")).join(eq, [*by, "bar"]).where("eq0 IS NOT NULL")
     rows = rows.withColumn("dollars", F.col("w0") * F.col("eq0"))
-    total = F.sum("dollars").over(Window.partitionBy(*by, "bar"))
+    total = F.sum("dollars").over(Window.partitionBy(*by, "bar").orderBy("asset").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("part", F.when(F.abs(total) > 1e-12, F.try_divide(F.col("dollars"), total) * F.col("gain")).otherwise(0.0))
     return rows.groupBy(*by, "asset").agg(F.sum(F.coalesce(not_nan(F.col("part")), F.lit(0.0))).alias("pnl"))

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.panel import until_now
 from quantloom.sources.config import Strategy
 
 #: Largest exponent of e that the growing weights of the running sums may reach.
@@ -23,27 +22,46 @@ def decay(com: float) -> float:
 
 
 def fits(com: float, n_bars: int) -> bool:
-    """Whether the running sums' weights stay within a double over so many bars."""
+    """Whether weights that grow over so many bars stay within a double."""
     return -2.0 * n_bars * math.log(decay(com)) < MAX_EXPONENT
 
 
-def ewm_cov(x: Column, y: Column, com: float, window) -> Column:
-    """Unbiased exponentially weighted covariance of what both columns know up to the row; null under two values.
+def ewm_cov(panel: DataFrame, x: str, y: str, com: float, keys: Sequence[str], to: str) -> DataFrame:
+    """panel with ``to``: the unbiased exponentially weighted covariance of what both columns know up to the row; null under two values.
 
-    Weights decay^(-bar) cancel but for their ratio, so plain running sums do. Gaps carry the estimate on.
+    Weights decay^(-bar) cancel but for their ratio, so plain running sums do. They are taken in blocks of bars over which the weights grow
+    by e^300 at most; the block before comes in by its sums, scaled down, and what is older no longer counts in a double. So histories of any
+    length work. Gaps carry the estimate on.
     """
-    both = x.isNotNull() & y.isNotNull()
-    w = F.when(both, F.pow(F.lit(decay(com)), -F.col("bar").cast("double")))
-    s = lambda c: F.sum(c).over(window)
-    s0, s2 = s(w), s(w * w)
-    cov = F.try_divide(s(w * x * y), s0) - F.try_divide(s(w * x), s0) * F.try_divide(s(w * y), s0)
-    return F.when(F.count(w).over(window) >= 2, cov * F.try_divide(s0 * s0, s0 * s0 - s2))
+    block = max(1, int(-300.0 / math.log(decay(com))))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    w = F.when(both, F.pow(F.lit(decay(com)), -F.pmod(F.col("bar"), F.lit(block)).cast("double")))
+    rows = panel.withColumns({"__block": F.floor(F.col("bar") / block).cast("long"), "__w": w})
+    inside = Window.partitionBy(*keys, "__block").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    w, cx, cy = F.col("__w"), F.col(x), F.col(y)
+    sums = {"n": F.count(w), "s0": F.sum(w), "s2": F.sum(w * w), "sx": F.sum(w * cx), "sy": F.sum(w * cy), "sxy": F.sum(w * cx * cy)}
+    rows = rows.withColumn("__run", F.when(w.isNotNull(), F.struct("bar", "__block", *(f.over(inside).alias(k) for k, f in sums.items()))))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__old", F.max("__run").over(earlier))
+    down = F.pow(F.lit(decay(com) ** block), F.col("__block") - F.col("__old.__block"))
+
+    def total(name: str, power: int = 1) -> Column:
+        return F.col(f"__run.{name}") + F.coalesce(F.col(f"__old.{name}") * F.pow(down, F.lit(power)), F.lit(0.0))
+
+    s0, s2 = total("s0"), total("s2", 2)
+    cov = F.try_divide(total("sxy"), s0) - F.try_divide(total("sx"), s0) * F.try_divide(total("sy"), s0)
+    several = (F.col("__run.n") >= 2) | F.col("__old").isNotNull()
+    now = F.when(several & (s0 * s0 > s2), cov * F.try_divide(s0 * s0, s0 * s0 - s2))
+    upto = Window.partitionBy(*keys).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.last(F.when(F.col("__run").isNotNull(), F.struct(now.alias("v"))), ignorenulls=True).over(upto)
+    return rows.withColumn(to, known["v"]).drop("__block", "__w", "__run", "__old")
 
 
 def with_volatility(panel: DataFrame, com: float, periods_per_year: float, by: Sequence[str] = ()) -> DataFrame:
-    """panel (with ret) with sigma, the annualised exponentially weighted volatility."""
-    r = F.col("ret")
-    return panel.withColumn("sigma", F.sqrt(F.greatest(ewm_cov(r, r, com, until_now(by)), F.lit(0.0)) * periods_per_year))
+    """panel (with ret) with sigma, the annualised exponentially weighted volatility; null under two returns."""
+    out = ewm_cov(panel, "ret", "ret", com, [*by, "asset"], "__var")
+    v = F.col("__var")
+    return out.withColumn("sigma", F.sqrt(F.when(v < 0, 0.0).otherwise(v) * periods_per_year)).drop("__var")
 
 
 def covariance(panel: DataFrame, com: float, periods_per_year: float, by: Sequence[str] = ()) -> DataFrame:
@@ -55,12 +73,12 @@ def covariance(panel: DataFrame, com: float, periods_per_year: float, by: Sequen
     a = panel.select(*keys, F.col("asset").alias("asset_i"), F.col("ret").alias("ret_i"))
     b = panel.select(*keys, F.col("asset").alias("asset_j"), F.col("ret").alias("ret_j"))
     pairs = a.join(b, keys).where("asset_i <= asset_j")
-    w = Window.partitionBy(*by, "asset_i", "asset_j").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    return pairs.select(*keys, "asset_i", "asset_j", (ewm_cov(F.col("ret_i"), F.col("ret_j"), com, w) * periods_per_year).alias("cov"))
+    found = ewm_cov(pairs, "ret_i", "ret_j", com, [*by, "asset_i", "asset_j"], "cov")
+    return found.select(*keys, "asset_i", "asset_j", (F.col("cov") * periods_per_year).alias("cov"))
 
 
 def covariance_long(panel: DataFrame, com: float, periods_per_year: float, by: Sequence[str] = ()) -> DataFrame:
-    """The same over histories whose weights would overflow: one pair's history at a time, with pandas' own recursion."""
+    """The same by pandas' own recursion, one pair's history at a time: what the running sums are held against."""
     keys = [*by, "dt", "bar"]
     a = panel.select(*keys, F.col("asset").alias("asset_i"), F.col("ret").alias("ret_i"))
     b = panel.select(*keys, F.col("asset").alias("asset_j"), F.col("ret").alias("ret_j"))
@@ -85,28 +103,29 @@ def portfolio_variance(weights: DataFrame, cov: DataFrame, w: str = "raw", by: S
     j = held.select(*keys, F.col("asset").alias("asset_j"), F.col("w").alias("w_j"))
     terms = cov.join(i, [*keys, "asset_i"]).join(j, [*keys, "asset_j"])
     twice = F.when(F.col("asset_i") == F.col("asset_j"), 1.0).otherwise(2.0)
-    total = terms.groupBy(*keys).agg(F.sum(twice * F.col("w_i") * F.col("w_j") * F.col("cov")).alias("v"), F.count_if(F.col("cov").isNull()).alias("unknown"))
-    return total.select(*keys, F.when(F.col("unknown") == 0, F.col("v")).alias("variance"))
+    # in order of the pairs, so that the last bits don't depend on how rows are dealt
+    order = Window.partitionBy(*keys).orderBy("asset_i", "asset_j")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = terms.select(*keys, F.row_number().over(order).alias("__at"), F.sum(twice * F.col("w_i") * F.col("w_j") * F.col("cov")).over(whole).alias("v"), F.count_if(F.col("cov").isNull()).over(whole).alias("unknown"))
+    return total.where("__at = 1").select(*keys, F.when(F.col("unknown") == 0, F.col("v")).alias("variance"))
 
 
 def raw_weights(panel: DataFrame, cfg: Strategy, by: Sequence[str] = ()) -> DataFrame:
     """panel (with signal and ret) with sigma and raw, signal times target over volatility; 0 where either is unusable."""
     out = with_volatility(panel, float(cfg.vol_window), float(cfg.periods_per_year), by)
-    good = F.col("signal").isNotNull() & (F.col("signal") != 0) & F.col("sigma").isNotNull() & (F.col("sigma") > 0)
+    good = F.col("signal").isNotNull() & (F.col("signal") != 0) & (F.col("sigma") > 0) & ~F.isnan("sigma")
     return out.withColumn("raw", F.when(good, F.col("signal") * F.try_divide(F.lit(float(cfg.asset_vol_target)), F.col("sigma"))).otherwise(0.0))
 
 
-def target_weights(panel: DataFrame, cfg: Strategy, by: Sequence[str] = (), n_bars: int | None = None) -> DataFrame:
-    """panel (with signal and ret) with target_w, never null: volatility targeted, scaled to the portfolio's target, Kelly, capped.
-
-    ``n_bars`` is the longest history; beyond what running sums can hold, covariances come pair by pair.
-    """
+def target_weights(panel: DataFrame, cfg: Strategy, by: Sequence[str] = ()) -> DataFrame:
+    """panel (with signal and ret) with target_w, never null: volatility targeted, scaled to the portfolio's target, Kelly, capped."""
     keys = [*by, "bar"]
     raw = raw_weights(panel, cfg, by)
-    cov = covariance if n_bars is None or fits(float(cfg.vol_window), n_bars) else covariance_long
-    var = portfolio_variance(raw, cov(panel, float(cfg.vol_window), float(cfg.periods_per_year), by), "raw", by)
-    k = F.when(F.col("variance") > 0, F.try_divide(F.lit(float(cfg.portfolio_vol_target)), F.sqrt("variance"))).otherwise(1.0)
+    var = portfolio_variance(raw, covariance(panel, float(cfg.vol_window), float(cfg.periods_per_year), by), "raw", by)
+    good = (F.col("variance") > 0) & ~F.isnan("variance")
+    k = F.when(good, F.try_divide(F.lit(float(cfg.portfolio_vol_target)), F.sqrt("variance"))).otherwise(1.0)
     scaled = raw.join(var, keys, "left").withColumn("scaled", F.col("raw") * k * float(cfg.kelly_fraction))
-    gross = F.sum(F.abs("scaled")).over(Window.partitionBy(*keys))
+    # in order of assets, so that the last bits don't depend on how rows are dealt
+    gross = F.sum(F.abs("scaled")).over(Window.partitionBy(*keys).orderBy("asset").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     cap = F.lit(float(cfg.max_gross_leverage))
     return scaled.withColumn("target_w", F.col("scaled") * F.when(gross > cap, cap / gross).otherwise(1.0)).drop("scaled", "variance")

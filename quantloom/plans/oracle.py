@@ -41,7 +41,7 @@ def _cov(x: str, y: str, com: float, keys: str) -> tuple[str, str, str]:
 
 def volatility(com: float, ppy: float) -> str:
     weight, sums, value = _cov("ret", "ret", com, "asset")
-    return f"vol AS (SELECT *, sqrt(greatest({value}, 0) * {ppy}) AS sigma FROM (SELECT *, {sums} FROM (SELECT *, {weight} FROM sig)))"
+    return f"vol AS (SELECT *, sqrt(CASE WHEN v < 0 THEN 0 ELSE v END * {ppy}) AS sigma FROM (SELECT *, {value} AS v FROM (SELECT *, {sums} FROM (SELECT *, {weight} FROM sig))))"
 
 
 def covariance(com: float, ppy: float) -> str:
@@ -100,7 +100,7 @@ def backtest(source: str, cadence: str, bps: str, capital: float, by: Sequence[s
 ),
 {p}bars AS (SELECT {keys}dt, bar, reb, turnover, equity, eq0 FROM {p}run),
 {p}held AS (SELECT {keys}dt, bar, unnest(assets) AS asset, unnest(held) AS w FROM {p}run),
-{p}trades AS (SELECT {keys}dt, bar, asset, d AS delta_weight, {bps} * 1e-4 * abs(d) * eq0 AS cost FROM (SELECT {keys}dt, bar, eq0, unnest(assets) AS asset, unnest(delta) AS d FROM {p}run) WHERE d <> 0)"""
+{p}trades AS (SELECT {keys}dt, bar, asset, d AS delta_weight, {bps} * 1e-4 * abs(d) * eq0 AS cost FROM (SELECT {keys}dt, bar, eq0, unnest(assets) AS asset, unnest(delta) AS d FROM {p}run) WHERE abs(d) > 1e-12)"""
 
 
 def returns_of(by: Sequence[str] = (), p: str = "") -> str:

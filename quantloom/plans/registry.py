@@ -15,7 +15,7 @@ from quantloom.operators.metrics import attribution, drawdowns, equity_returns,
 from quantloom.operators.panel import after, complete_grid, exposures, last_months, last_prices, trim_trailing_gaps, usability, with_returns
 from quantloom.operators.risk import covariance, portfolio_variance, raw_weights, with_volatility
 from quantloom.operators.signal import momentum
-from quantloom.operators.splits import locked_split, out_of_sample, purged_folds, walk_forward
+from quantloom.operators.splits import locked_split, out_of_sample, purged_folds, walk_forward, years_to_bars
 from quantloom.operators.stats import bootstrap_indices, bootstrap_means, deflated_sharpe_z, distinct_trials, hansen_spa, moments, white_reality_check
 from quantloom.plans import live, oracle, validate
 from quantloom.plans.oracle import backtest, r, with_
@@ -28,7 +28,7 @@ DAY = Strategy(universe=ASSETS)
 DAY_LONG_SHORT = Strategy(universe=ASSETS, direction="long_short")
 WF = (104, 52, 52)
 ASOF, DECISION, EQUITY = "2000-06-30", "2000-06-30", 1_000_000.0
-BOOT, BLOCK = 50, 10.0
+BOOT, BLOCK = 2000, 10.0
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -44,12 +44,12 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def out(df: DataFrame, *plain: str, digits: int = 8, **rounded: str) -> DataFrame:
-    """Plain columns as they are (dates as text), others rounded without negative zeros."""
+def out(df: DataFrame, *plain: str, digits: int = 8, other: dict[str, int] | None = None, **rounded: str) -> DataFrame:
+    """Plain columns as they are (dates as text), others rounded to ``digits`` (or their ``other`` number) without negative zeros."""
     dates = {c for c, t in df.dtypes if t == "date"}
     cols = [F.col(c).cast("string").alias(c) if c in dates else F.col(c) for c in plain]
     for name, of in rounded.items():
-        x = F.round(F.col(of), digits)
+        x = F.round(F.col(of), (other or {}).get(name, digits))
         cols.append(F.when(x == 0, 0.0).otherwise(x).alias(name))
     return df.select(*cols)
 
@@ -112,9 +112,9 @@ def ewma_vol(spark, sf_dir):
     return out(with_volatility(with_returns(grid(spark, sf_dir, False)), 60.0, 252.0), "dt", "bar", "asset", **same("sigma"))
 
 
-@query(with_(D, oracle.covariance(60.0, 252.0), select=f"SELECT {DT}, bar, asset_i, asset_j, {rs('cov', digits=4)} FROM cov"))
+@query(with_(D, oracle.covariance(60.0, 252.0), select=f"SELECT {DT}, bar, asset_i, asset_j, {rs('cov', digits=7)} FROM cov"))
 def ewma_cov(spark, sf_dir):
-    return out(covariance(with_returns(grid(spark, sf_dir, False)), 60.0, 252.0), "dt", "bar", "asset_i", "asset_j", digits=4, **same("cov"))
+    return out(covariance(with_returns(grid(spark, sf_dir, False)), 60.0, 252.0), "dt", "bar", "asset_i", "asset_j", digits=7, **same("cov"))
 
 
 @query(with_(W, WT, select=f"SELECT bar, {rs('variance')} FROM var"))
@@ -153,8 +153,7 @@ for _c in ("daily", "weekly", "monthly"):
 @query(with_(W, WT, BT, select=f"SELECT {DT}, bar, reb AS rebalance, {rs('turnover')}, {rs('equity', digits=6)} FROM bars", recursive=True))
 def momentum_backtest_weekly(spark, sf_dir):
     """The flagship: prices, signal, risk, weights and the backtest's equity."""
-    b = tested(spark, sf_dir).bars
-    return out(b, "dt", "bar", "rebalance", **same("turnover")).join(out(b, "bar", digits=6, **same("equity")), "bar")
+    return out(tested(spark, sf_dir).bars, "bar", "dt", "rebalance", other={"equity": 6}, **same("turnover", "equity"))
 
 
 @query(with_(W, oracle.weights(LONG_SHORT), backtest("wt", "weekly", "10.0", 1.0), select=f"SELECT {DT}, bar, {rs('turnover', 'equity')} FROM bars", recursive=True))
@@ -168,10 +167,9 @@ def held_weights(spark, sf_dir):
     return out(tested(spark, sf_dir).held, "dt", "bar", "asset", **same("w"))
 
 
-# a change that rounds to nothing is one of the last bits, which either side may have
-@query(with_(W, WT, BT, select=f"SELECT {DT}, bar, asset, {rs('delta_weight', 'cost')} FROM trades WHERE abs(delta_weight) > 1e-12", recursive=True))
+@query(with_(W, WT, BT, select=f"SELECT {DT}, bar, asset, {rs('delta_weight', 'cost')} FROM trades", recursive=True))
 def trade_ledger(spark, sf_dir):
-    return out(tested(spark, sf_dir).trades.where(F.abs("delta_weight") > 1e-12), "dt", "bar", "asset", **same("delta_weight", "cost"))
+    return out(tested(spark, sf_dir).trades, "dt", "bar", "asset", **same("delta_weight", "cost"))
 
 
 @query(with_(W, WT, BT, oracle.returns_of(), select=f"SELECT CAST(i.dt AS VARCHAR) AS dt, i.bar, {r('i.dd')} AS drawdown, s.below FROM isl i JOIN runs s ON s.island = i.island", recursive=True))
@@ -186,7 +184,7 @@ _PERF = f"n_periods, max_drawdown_duration, {rs(*METRICS, digits=6)}"
 @query(with_(W, WT, BT, oracle.performance(52.0), select=f"SELECT {_PERF} FROM perf", recursive=True))
 def performance_metrics(spark, sf_dir):
     b = tested(spark, sf_dir)
-    return out(performance(b.bars, 52.0, (), b.held, b.trades), "n_periods", "max_drawdown_duration", digits=6, **same(*METRICS))
+    return out(performance(b.bars, 52.0), "n_periods", "max_drawdown_duration", digits=6, **same(*METRICS))
 
 
 @query(
@@ -236,7 +234,7 @@ _FOLDED = (FOLDS, backtest("fw", WEEK.rebalance, repr(WEEK.cost_bps_per_side), W
 def walk_forward_metrics(spark, sf_dir):
     w = weighted(spark, sf_dir)
     m = validate.window_metrics(w, walk_forward(w.select("dt", "bar").distinct(), *WF), WEEK)
-    return out(m, "fold", digits=6, **same("sharpe")).join(out(m, "fold", **same("total_return")), "fold")
+    return out(m, "fold", other={"sharpe": 6}, **same("sharpe", "total_return"))
 
 
 @query(
@@ -363,7 +361,7 @@ _SUM = ("buy_notional", "sell_notional", "gross_notional", "est_cost", "target_g
 @query(with_(W, WT, _BOOK, _POS, _PLAN, select=f"SELECT n_orders, {rs(*_SUM, digits=6)} FROM (SELECT count(*) AS n_orders, coalesce(sum(CASE WHEN side = 'buy' THEN notional END), 0) AS buy_notional, coalesce(sum(CASE WHEN side = 'sell' THEN notional END), 0) AS sell_notional, coalesce(sum(notional), 0) AS gross_notional, coalesce(sum(notional), 0) * 2 * 1e-4 AS est_cost, (SELECT sum(abs(target_w)) FROM book) AS target_gross FROM ords)"))
 def plan_summary(spark, sf_dir):
     target, held, px = _planned(spark, sf_dir)
-    return out(live.plan_summary(live.plan_orders(target, held, px, EQUITY, 100.0), target, 2.0), "n_orders", digits=6, **same(*_SUM))
+    return out(live.plan_summary(live.plan_orders(target, held, px, EQUITY, 100.0, max_gross=WEEK.max_gross_leverage), target, 2.0), "n_orders", digits=6, **same(*_SUM))
 
 
 _REC = f"rec AS (SELECT u.symbol, tw AS target_weight, CASE WHEN NOT has THEN 0 WHEN l.px > 0 THEN qty * l.px / {EQUITY} ELSE mv / {EQUITY} END AS current_weight FROM un u LEFT JOIN lp l ON l.symbol = u.symbol)"
@@ -380,10 +378,11 @@ def reconcile_summary(spark, sf_dir):
     return out(s, "flat", "off_target", "anomaly", digits=6, **same("l1", "max_deviation", "target_gross", "current_gross"))
 
 
-@query(with_(W, WT, _BOOK, _POS, _PLAN, select=f"SELECT symbol, {r('target_w')} AS target_w FROM book WHERE abs(target_w) > 1e-9 AND symbol NOT IN (SELECT symbol FROM ords)"))
+# a minimum so high that some targets get no order
+@query(with_(W, WT, _BOOK, _POS, _PLAN.replace(">= 100)", ">= 150000)"), select=f"SELECT symbol, {r('target_w')} AS target_w FROM book WHERE abs(target_w) > 1e-9 AND symbol NOT IN (SELECT symbol FROM ords)"))
 def in_target_no_order(spark, sf_dir):
     target, held, px = _planned(spark, sf_dir)
-    return out(live.without_order(target, live.plan_orders(target, held, px, EQUITY, 100.0)), "symbol", **same("target_w"))
+    return out(live.without_order(target, live.plan_orders(target, held, px, EQUITY, 150_000.0)), "symbol", **same("target_w"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS daily, strftime(ts, '%G-W%V') AS weekly, strftime(ts, '%Y-%m') AS monthly, count(*) AS n FROM events GROUP BY 1, 2, 3")
@@ -423,14 +422,18 @@ perf AS (SELECT bar - 1 AS t, CAST(dense_rank() OVER (ORDER BY asset) - 1 AS INT
 
 def _perf(spark, sf_dir: str):
     rows = with_returns(grid(spark, sf_dir)).where("bar > 0")
-    perf = rows.select((F.col("bar") - 1).alias("t"), (F.dense_rank().over(Window.orderBy("asset")) - 1).alias("k"), F.coalesce("ret", F.lit(0.0)).alias("d"))
+    # a row for each asset
+    rank = rows.select("asset").distinct().withColumn("k", F.row_number().over(Window.orderBy("asset")) - 1)
+    perf = rows.join(rank, "asset").select((F.col("bar") - 1).alias("t"), "k", F.coalesce("ret", F.lit(0.0)).alias("d"))
     n = perf.agg(F.max("t")).first()[0] + 1
     return perf, bootstrap_indices(spark, n, BOOT, BLOCK)
 
 
-@query(with_(W, BOOTSTRAP, select="SELECT CAST(b AS BIGINT) AS b, CAST(step AS INTEGER) AS step, t FROM ix"))
+@query(with_(W, BOOTSTRAP, select="SELECT CAST(b AS BIGINT) AS b, CAST(step AS INTEGER) AS step, t, CAST(cal.dt AS VARCHAR) AS dt FROM ix JOIN cal ON cal.bar = ix.t + 1"))
 def stationary_bootstrap(spark, sf_dir):
-    return _perf(spark, sf_dir)[1]
+    """Which bar's returns each step of each replication draws."""
+    bars = grid(spark, sf_dir).select((F.col("bar") - 1).cast("long").alias("t"), "dt").distinct()
+    return out(_perf(spark, sf_dir)[1].join(bars, "t"), "b", "step", "t", "dt")
 
 
 @query(with_(W, BOOTSTRAP, select=f"SELECT CAST(b AS BIGINT) AS b, k, {r('m')} AS boot_mean FROM (SELECT b, k, avg(d) AS m FROM ix JOIN perf ON perf.t = ix.t GROUP BY b, k)"))
@@ -456,11 +459,60 @@ def spa_test(spark, sf_dir):
     return out(hansen_spa(*_perf(spark, sf_dir)), "k_best", "p_value", "p_value_lower", "p_value_upper", digits=6, **same("statistic"))
 
 
-@query()
+def _verdict_sql(rows: str, n_rows: str, trials: dict[str, str], windows: str, extra: str, leg: str, select: str) -> str:
+    """The replay of ``rows`` (r: dt, bar, asset, px, target_w from bar 0), its deflated Sharpe z and stability over ``windows``.
+
+    A probability beyond the threshold is a z beyond the normal quantile of 0.6.
+    """
+    cost, capital = repr(WEEK.cost_bps_per_side), WEEK.initial_capital
+    z = ",".join(f"(sharpe0 - sqrt(term / (n0 - 1)) * {f}) * sqrt(n0 - 1) / sqrt(term) AS z{k}" for k, f in trials.items())
+    return with_(
+        W, WT, rows, n_rows, windows,
+        backtest("r", WEEK.rebalance, cost, capital, p="a_"), oracle.performance(52.0, p="a_"),
+        """mz AS (SELECT n0, sharpe0, CASE WHEN t > 0 THEN t END AS term FROM (SELECT *, 1 - sk * sharpe0 + (ku + 3 - 1) / 4 * sharpe0 * sharpe0 AS t FROM (SELECT count(r) AS n0, avg(r) / stddev_samp(r) AS sharpe0, skewness(r) AS sk, kurtosis(r) AS ku FROM a_er)))""",
+        f"zz AS (SELECT {z} FROM mz)",
+        "fw AS (SELECT s.fold, w.dt, w.bar - s.lo AS bar, w.asset, w.px, w.target_w FROM " + extra + " w JOIN wins s ON s.role = 'test' AND w.bar >= s.lo AND w.bar < s.hi)",
+        *_FOLDED[1:],
+        """st AS (SELECT *, coalesce(n_windows >= 2 AND mean_sharpe > 0 AND positive_fraction >= 0.5 AND dispersion <= 2, FALSE) AS is_stable FROM (
+  SELECT *, CASE WHEN abs(mean_sharpe) > 1e-9 THEN std_sharpe / abs(mean_sharpe) ELSE 'Infinity'::DOUBLE END AS dispersion FROM (
+  SELECT count(*) AS n_windows, avg(sharpe) AS mean_sharpe, CASE WHEN count(sharpe) = 1 THEN 0 ELSE stddev_samp(sharpe) END AS std_sharpe, avg(CASE WHEN sharpe > 0 THEN 1.0::DOUBLE WHEN sharpe <= 0 THEN 0.0::DOUBLE END) AS positive_fraction FROM perf)))""",
+        select=select.replace("LEG", leg), recursive=True,
+    )
+
+
+_QUANTILE = "0.2533471031357997"
+_FIVE = "((1 - 0.5772156649015329) * 0.8416212335729143 + 0.5772156649015329 * 1.4496656592240218)"
+_STEADY = ("mean_sharpe", "std_sharpe", "positive_fraction", "dispersion")
+_SAID = f"n_periods, max_drawdown_duration, n_windows, is_stable, {rs(*METRICS, *_STEADY, digits=6)}"
+
+
+def _windows_sql(source: str, train: int, test: int, step: int) -> str:
+    n = f"(SELECT count(DISTINCT bar) FROM {source})"
+    return f"""win AS (SELECT CAST(i AS INTEGER) AS fold, CAST(i * {step} AS INTEGER) AS start FROM range(0, 100000) t(i) WHERE i * {step} + {train + test} <= {n}),
+wins AS (SELECT fold, 'train' AS role, start AS lo, start + {train} AS hi FROM win UNION ALL SELECT fold, 'test', start + {train}, start + {train + test} FROM win)"""
+
+
+_FINAL = _verdict_sql(
+    f"r AS (SELECT dt, CAST(bar - floor((SELECT count(*) FROM cal) * {WEEK.train_test_ratio!r}::DOUBLE) AS INTEGER) AS bar, asset, px, target_w FROM wt WHERE bar >= floor((SELECT count(*) FROM cal) * {WEEK.train_test_ratio!r}::DOUBLE))",
+    "nr AS (SELECT count(DISTINCT bar) AS n_bars FROM r)", {"": _FIVE}, _windows_sql("wt", *(years_to_bars(x, 52) for x in (WEEK.wf_train_years, WEEK.wf_test_years, WEEK.wf_step_years))), "wt", "is_stable",
+    f"SELECT {_SAID}, {r('z', 6)} AS z, coalesce(z > {_QUANTILE}, FALSE) AND LEG AS retain FROM a_perf, zz, st",
+)
+
+
+@query(_FINAL)
 def final_verdict(spark, sf_dir):
-    return validate.final_verdict(weighted(spark, sf_dir), WEEK, 5)
+    found = validate.final_verdict(weighted(spark, sf_dir), WEEK, 5)
+    return out(found, "n_periods", "max_drawdown_duration", "n_windows", "is_stable", "retain", digits=6, **same(*METRICS, *_STEADY, "z"))
+
+
+_HOLDOUT = _verdict_sql(
+    f"r AS (SELECT dt, CAST(bar - min(bar) OVER () AS INTEGER) AS bar, asset, px, target_w FROM wt WHERE dt > DATE '{DECISION}')",
+    "nr AS (SELECT count(DISTINCT bar) AS n_bars FROM r)", {"1": "0", "5": _FIVE}, _windows_sql("r", 26, 13, 13), "r", "(is_stable OR n_windows < 2)",
+    f"SELECT n_bars, n_bars >= 52 AS sufficient, {_SAID}, {r('z1', 6)} AS z_1, {r('z5', 6)} AS z_5, coalesce(z1 > {_QUANTILE}, FALSE) AND LEG AS retain_1, coalesce(z5 > {_QUANTILE}, FALSE) AND LEG AS retain_5 FROM nr, a_perf, zz, st",
+)
 
 
-@query()
+@query(_HOLDOUT)
 def holdout_verdict(spark, sf_dir):
-    return validate.holdout_verdict(weighted(spark, sf_dir), WEEK, DECISION, 5, validate.Holdout(min_bars=52, wf_bars=(26, 13, 13)))
+    found = validate.holdout_verdict(weighted(spark, sf_dir), WEEK, DECISION, 5, validate.Holdout(min_bars=52, wf_bars=(26, 13, 13)))
+    return out(found, "n_bars", "sufficient", "n_periods", "max_drawdown_duration", "n_windows", "is_stable", "retain_1", "retain_5", digits=6, **same(*METRICS, *_STEADY, "z_1", "z_5"))

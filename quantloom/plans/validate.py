@@ -21,9 +21,9 @@ from quantloom.sources.config import Strategy
 DSR_THRESHOLD, MIN_POSITIVE, MAX_DISPERSION = 0.60, 0.5, 2.0
 
 
-def strategy_weights(grid: DataFrame, cfg: Strategy, by: Sequence[str] = (), n_bars: int | None = None) -> DataFrame:
+def strategy_weights(grid: DataFrame, cfg: Strategy, by: Sequence[str] = ()) -> DataFrame:
     """grid with signal, ret, sigma, raw and target_w."""
-    return target_weights(with_returns(momentum(grid, cfg.lookbacks, cfg.direction, by), by), cfg, by, n_bars)
+    return target_weights(with_returns(momentum(grid, cfg.lookbacks, cfg.direction, by), by), cfg, by)
 
 
 def cost_levels(grid: DataFrame, cfg: Strategy) -> DataFrame:
@@ -38,7 +38,7 @@ def cost_stress(weighted: DataFrame, cfg: Strategy) -> DataFrame:
     levels = cost_levels(weighted, cfg)
     runs = weighted.select("dt", "bar", "asset", "px", "target_w").crossJoin(F.broadcast(levels.select("bps")))
     b = run_backtest(runs, cfg.rebalance, F.col("bps"), cfg.initial_capital, by=["bps"])
-    return performance(b.bars, cfg.periods_per_year, ["bps"], b.held, b.trades).join(levels, "bps")
+    return performance(b.bars, cfg.periods_per_year, ["bps"]).join(levels, "bps")
 
 
 def replay(slices: DataFrame, cfg: Strategy, by: Sequence[str]):
@@ -67,9 +67,9 @@ def stability(per_window: DataFrame, min_positive: float = MIN_POSITIVE, max_dis
 def _judged(weighted: DataFrame, slice_: DataFrame, windows: DataFrame, cfg: Strategy, trials: Sequence[int], threshold: float, always_stable_under: int = 0) -> DataFrame:
     b = replay(slice_.select("dt", "bar", "asset", "px", "target_w").withColumn("run", F.lit(0)), cfg, ["run"])
     r = equity_returns(b.bars, ["run"])
-    out = performance(b.bars, cfg.periods_per_year, ["run"], b.held, b.trades)
+    out = performance(b.bars, cfg.periods_per_year, ["run"])
     for n in trials:
-        out = out.join(deflated_sharpe(r, n, by=["run"]).select("run", F.col("dsr").alias(f"dsr_{n}")), "run", "left")
+        out = out.join(deflated_sharpe(r, n, by=["run"]).select("run", F.col("dsr").alias(f"dsr_{n}"), F.col("z").alias(f"z_{n}")), "run", "left")
     steady = stability(window_metrics(weighted, windows, cfg))
     out = out.crossJoin(steady)
     leg = F.col("is_stable") | (F.col("n_windows") < always_stable_under)
@@ -84,7 +84,7 @@ def final_verdict(weighted: DataFrame, cfg: Strategy, n_trials: int, threshold:
     test = weighted.join(locked_split(bars, cfg.train_test_ratio).where("role = 'test'").select("bar"), "bar", "left_semi")
     w = [years_to_bars(x, cfg.periods_per_year) for x in (cfg.wf_train_years, cfg.wf_test_years, cfg.wf_step_years)]
     out = _judged(weighted, test, walk_forward(bars, *w), cfg, [n_trials], threshold)
-    return out.withColumnsRenamed({f"dsr_{n_trials}": "dsr", f"retain_{n_trials}": "retain"})
+    return out.withColumnsRenamed({f"dsr_{n_trials}": "dsr", f"z_{n_trials}": "z", f"retain_{n_trials}": "retain"})
 
 
 @dataclass(frozen=True)

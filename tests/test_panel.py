@@ -117,3 +117,26 @@ def test_cap_kelly_and_unusable_cells(spark):
     half = Strategy(**{**CFG.__dict__, "max_gross_leverage": 1e9, "kelly_fraction": 0.5})
     a, b = (wide(target_weights(g, c), "target_w").to_numpy() for c in (free, half))
     np.testing.assert_allclose(a / 2, b, rtol=1e-12)
+
+
+def test_risk_over_long_histories_with_long_gaps(spark):
+    import pandas as pd
+
+    # weights of this window grow beyond a double after some 1200 bars; one asset has no price for 900 bars
+    px = walk(5000, 2, gaps=0)
+    px[::37, 0] = np.nan
+    px[1500:2400, 0] = np.nan
+    ret = pd.DataFrame(px).pct_change(fill_method=None)
+    g = with_returns(complete_grid(frame(spark, px)))
+    sigma = wide(with_volatility(g, 3.0, 252.0), "sigma").to_numpy()
+    want = (ret.ewm(com=3.0, min_periods=2).std() * np.sqrt(252)).to_numpy()
+    # pandas counts positions, also within the long gap
+    np.testing.assert_allclose(sigma[:1500], want[:1500], rtol=1e-9)
+    np.testing.assert_allclose(sigma[2500:], want[2500:], rtol=1e-9)
+    np.testing.assert_array_equal(np.isnan(sigma), np.isnan(want))
+    keys = ["bar", "asset_i", "asset_j"]
+    a, b = (f(g, 3.0, 252.0).toPandas().sort_values(keys)["cov"].to_numpy(float) for f in (covariance, covariance_long))
+    np.testing.assert_array_equal(np.isnan(a), np.isnan(b))
+    np.testing.assert_allclose(a[: 3 * 1500], b[: 3 * 1500], rtol=1e-8, atol=1e-12)
+    w = target_weights(with_returns(momentum(complete_grid(frame(spark, px[:1500])), (5, 21), "long_short")), Strategy(**{**CFG.__dict__, "vol_window": 3}))
+    assert w.where("target_w IS NULL OR isnan(target_w)").count() == 0

@@ -16,31 +16,51 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field rejects go."""
+    """Documents that the line field rejects go.
+
+    Null and empty texts are judged as one empty line, long texts whole, rows that repeat alike; other columns, of any name, stay as they are.
+    Without labels every document stays. An empty table stays empty.
+    """
     rows, back = _aside(docs, "held_out", "score", "predicted")
     scored = quality.with_score(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where("predicted = 1").select(*back)
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    Null texts count as empty; a null doc_id is below all; of rows that repeat doc_id and text one stays. Long texts are compared
+    whole, other columns, of any name, stay as they are. An empty table stays empty.
+    """
     return exact_dedup.keep_one(docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the smallest doc_id stays."""
+    """Of each class of near-duplicates the smallest doc_id stays.
+
+    Texts without words (null, empty) and rows without a doc_id stay; rows that share the smallest doc_id all stay. Long texts are compared
+    whole, other columns, of any name, stay as they are. An empty table stays empty.
+    """
     return near_dedup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of the benchmark go."""
-    rows, back = _aside(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    """Documents that hold too much of the benchmark go.
+
+    Null and empty texts are clean and stay; long texts are scanned whole, rows that repeat are judged alike. Other columns, of any name,
+    stay as they are. Without a benchmark every document stays. An empty table stays empty.
+    """
+    rows, back = _aside(docs, *decontaminate.OUTPUT)
     found = decontaminate.with_hits(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~F.col("contaminated")).select(*back)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: the documents with a word taken, and taken, their words repeats counted."""
+    """What the mix takes: the documents with a word taken, and taken, their words repeats counted.
+
+    Texts without words (null, empty) are never taken. A null source is one of its own; of rows with equal keys those with fewer words come
+    first. Columns named size, source_size, target and taken are replaced, others stay. An empty table stays empty.
+    """
     mixed = mixing.mix(docs, mixing.token_count(F.col("text")))
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     return mixed.where("taken > 0").select(*own, "size", "source_size", "target", "taken")

@@ -4,98 +4,132 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import ascii_lower, saved
 
-#: Entries that a bucket holds before the directory doubles.
+#: Entries that a bucket holds before it is split.
 CAPACITY = 100_000
-#: The directory never has more than two to this power of cells, so it is small enough to broadcast.
-MAX_DEPTH = 20
+#: Bits of the key by which the directory is deepened at a time.
+DEEPEN = 6
+#: A directory of up to so many buckets is broadcast; a larger one is joined by shuffle.
+BROADCAST_BUCKETS = 1 << 20
 
 #: Names that no input column clashes with.
-HASH, SHA, NORM, KEEP, SIZE, TIE = (f"__dedup_{x}" for x in ("hash", "sha", "norm", "keep", "size", "tie"))
+HASH, NORM, KEEP, SIZE, ROW, OWNER = (f"__dedup_{x}" for x in ("hash", "norm", "keep", "size", "row", "owner"))
 
 
-def with_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the 64-bit key that the directory splits by, and the digest that tells a chain's entries apart."""
-    norm = ascii_lower(docs[text])
-    return docs.withColumns({HASH: F.xxhash64(norm), SHA: F.sha2(norm, 256)})
+def key_of(norm: Column, bits: int) -> Column:
+    """The 64-bit key of a text, of which only the leading ``bits`` are used; fewer make collisions (for tests)."""
+    return leading(F.xxhash64(norm), F.lit(bits))
 
 
-def entries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per different text: its key, its digest, the largest doc_id and the number of rows.
+def leading(key: Column, depth: Column) -> Column:
+    """The key with all but its leading ``depth`` bits at 0: the first key of the range that a bucket of this depth owns."""
+    cut = F.call_function("shiftleft", F.call_function("shiftrightunsigned", key, (64 - depth).cast("int")), (64 - depth).cast("int"))
+    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(cut)
 
-    The grouping is by key and then by the text itself, so that texts whose keys collide stay separate entries of one
-    chain: Spark's hash aggregation compares their bytes. Each task first merges its own copies, so that a text
-    that a third of the rows hold reaches its owner once from every task.
+
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The extendible directory over different keys: depth and first (the first key of the range) of each bucket.
+
+    It starts as one bucket for the whole key space. Every bucket that holds over ``capacity`` keys is split in halves, and these again,
+    until none is overfull; only the keys of overfull buckets are counted again. A single key is never split.
     """
-    rows = docs.select(F.col(doc_id).alias(KEEP), ascii_lower(F.col(text)).alias(NORM))
-    found = rows.groupBy(F.xxhash64(NORM).alias(HASH), NORM).agg(F.max(KEEP).alias(KEEP), F.count("*").alias(SIZE))
-    return found.select(HASH, F.sha2(NORM, 256).alias(SHA), KEEP, SIZE)
+    n = keys.count()
+    step = max(1, min(20, math.ceil(math.log2(max(2, n / capacity))) + 1))
+    done, at = None, 0
+    open_ = keys.select(HASH)
+    while True:
+        to = min(64, at + step)
+        # all depths of this step from one count of the deepest cells
+        cells = open_.groupBy(leading(F.col(HASH), F.lit(to)).alias("cell")).agg(F.count("*").alias("n"))
+        cells = saved(cells.withColumn("depth", F.explode(F.sequence(F.lit(at), F.lit(to)))).withColumn("first", leading(F.col("cell"), F.col("depth"))), "dedup-cells")
+        full = cells.groupBy("depth", "first").agg(F.sum("n").alias("n"))
+        fits = cells.drop("n").join(full.where((F.col("n") <= capacity) | (F.col("depth") == 64)), ["depth", "first"])
+        own = fits.groupBy("cell").agg(F.min("depth").alias("depth"))
+        found = own.select("depth", leading(F.col("cell"), F.col("depth")).alias("first")).distinct()
+        done = saved(found if done is None else done.unionByName(found), "dedup-directory")
+        left = cells.select("cell").distinct().join(own, "cell", "left_anti")
+        if to == 64 or left.isEmpty():
+            return done
+        left = saved(left, "dedup-overfull")
+        open_ = open_.join(left, leading(F.col(HASH), F.lit(to)) == F.col("cell"), "left_semi")
+        at, step = to, DEEPEN
+
+
+def owned(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows with OWNER, the first key of the bucket that owns their key, looked up in the directory depth by depth."""
+    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())
+    small = buckets.count() <= BROADCAST_BUCKETS
+    found = []
+    for d in depths:
+        one = buckets.where(F.col("depth") == d).select(F.col("first").alias(f"__first_{d}"))
+        rows = rows.join(F.broadcast(one) if small else one, leading(F.col(HASH), F.lit(d)) == F.col(f"__first_{d}"), "left")
+        found.append(F.col(f"__first_{d}"))
+    return rows.withColumn(OWNER, F.coalesce(*found, F.lit(None).cast("long"))).drop(*(f"__first_{d}" for d in depths))
+
+
+def build_index(rows: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """The index in shared files and its directory. rows: staged documents with HASH and ROW.
+
+    A row goes to the bucket that owns its key. There its text is compared byte by byte with those of the same key: a key's chain has an
+    entry for each different text, with the row that stays, the number of rows and, where a chain has several, the text itself. Each
+    task first merges its own copies, so a text that a third of the rows hold reaches its owner once from every task. Owners write key
+    ranges in key order.
+    """
+    buckets = directory(rows.select(HASH).distinct(), capacity)
+    texts = owned(rows.select(HASH, ROW, F.col(doc_id).alias(KEEP), ascii_lower(F.col(text)).alias(NORM)), buckets)
+    entry = texts.groupBy(OWNER, HASH, NORM).agg(F.max(KEEP).alias(KEEP), F.coalesce(F.max_by(ROW, KEEP), F.min(ROW)).alias(ROW), F.count("*").alias(SIZE))
+    entry = saved(entry.withColumn("sha", F.sha2(NORM, 256)), "dedup-entries")
+    chains = entry.groupBy(OWNER, HASH).agg(F.count("*").alias("chain")).where("chain > 1")
+    collided = entry.join(chains, [OWNER, HASH], "left")
+    index = collided.select(OWNER, HASH, KEEP, ROW, SIZE, "sha", F.when(F.col("chain") > 1, F.col(NORM)).alias(NORM))
+    return saved(index.repartitionByRange(OWNER, HASH).sortWithinPartitions(OWNER, HASH, "sha"), "dedup-index"), buckets
+
 
+def staged(docs: DataFrame, text: str, bits: int) -> DataFrame:
+    """docs with HASH and ROW (a number for each row), as a table: row numbers must not change between passes."""
+    return saved(docs.withColumns({HASH: key_of(ascii_lower(docs[text]), bits), ROW: F.monotonically_increasing_id()}), "dedup-rows")
 
-def directory(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The extendible directory: cell (the key's leading bits), local depth and first cell of its bucket.
 
-    A bucket starts as the whole key space and is split in half while it holds over ``capacity`` entries. All halves
-    of all depths are counted at once: the bucket of a cell is its shallowest half that fits. The number of
-    cells follows the number of entries, up to 2 ** MAX_DEPTH.
+def _looked_up(rows: DataFrame, index: DataFrame, buckets: DataFrame, text: str) -> DataFrame:
+    """rows (with HASH and text) and the entry of each, read from its owner.
+
+    A key with one entry needs no look at the text: every row of the key was compared when the entry was made. In a
+    longer chain the entry of the same bytes counts.
     """
-    n = index.count()
-    bits = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(1, n / capacity))) + 3))
-    cells = index.groupBy(F.shiftrightunsigned(HASH, 64 - bits).alias("cell")).agg(F.count("*").alias("n"))
-    halves = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits))))
-    halves = halves.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
-    full = halves.groupBy("depth", "prefix").agg(F.sum("n").alias("n"))
-    fits = halves.drop("n").join(full, ["depth", "prefix"]).where((F.col("n") <= capacity) | (F.col("depth") == bits))
-    found = fits.groupBy("cell").agg(F.min("depth").alias("depth"))
-    return found.select("cell", "depth", F.expr(f"shiftleft(shiftright(cell, {bits} - depth), {bits} - depth)").alias("bucket"), F.lit(bits).alias("bits"))
-
-
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The index as a table in the shared folder: owner tasks each write the buckets of one key range, in key order."""
-    found = saved(entries(docs, doc_id, text), "dedup-entries")
-    cells = saved(directory(found, capacity), "dedup-directory")
-    bits = cells.agg(F.max("bits")).first()[0]
-    if bits is None:
-        return found.withColumn("bucket", F.lit(0).cast("long"))
-    # at most 2 ** MAX_DEPTH rows of two numbers
-    owned = found.withColumn("cell", F.shiftrightunsigned(HASH, 64 - bits)).join(F.broadcast(cells.select("cell", "bucket")), "cell").drop("cell")
-    return saved(owned.repartitionByRange("bucket", HASH).sortWithinPartitions("bucket", HASH, SHA), "dedup-index")
-
-
-def resolve(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    rows = owned(rows, buckets)
+    entry = index.select(OWNER, HASH, KEEP, SIZE, F.col(ROW).alias("__stays"), "sha", F.col(NORM).alias("__chained"))
+    several = index.where(F.col(NORM).isNotNull()).select(OWNER, HASH).distinct()
+    if several.isEmpty():
+        return rows.drop(text).join(entry, [OWNER, HASH])
+    one = rows.join(several, [OWNER, HASH], "left_anti").drop(text).join(entry, [OWNER, HASH])
+    many = rows.join(several, [OWNER, HASH], "left_semi").withColumn(NORM, ascii_lower(F.col(text))).drop(text)
+    many = many.join(entry.withColumnRenamed("__chained", NORM), [OWNER, HASH, NORM])
+    return one.drop("__chained").unionByName(many.drop(NORM))
+
+
+def resolve(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, bits: int = 64) -> DataFrame:
     """Which row stays for every row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id
-    stays (a null doc_id is below all). Of rows that repeat both the doc_id and the text, one stays.
-    An empty table gives no rows; further columns are ignored.
+    stays (a null doc_id is below all). Of rows that repeat both the doc_id and the text, one stays. Texts of any length are compared
+    whole. An empty table gives no rows; further columns, whatever their names, are ignored.
     """
-    index = build_index(docs, doc_id, text, capacity)
-    rows = with_keys(docs.select(doc_id, text), text).select(F.col(doc_id).alias("doc_id"), HASH, SHA)
-    tie = Window.partitionBy(HASH, SHA, "doc_id").orderBy(F.lit(1))
-    rows = rows.withColumn(TIE, F.row_number().over(tie))
-    # a plain join: of the rows of a frequent text, adaptive execution splits the partition
-    found = rows.join(index.select(HASH, SHA, KEEP, SIZE), [HASH, SHA])
-    return found.select(
-        "doc_id",
-        F.col(KEEP).alias("keep_id"),
-        F.col(SIZE).alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col(KEEP)) & (F.col(TIE) == 1)).alias("kept"),
-        F.col(SHA).alias("text_sha256"),
-    )
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    rows = staged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", bits)
+    index, buckets = build_index(rows, "doc_id", "text", capacity)
+    found = _looked_up(rows.select("doc_id", "text", HASH, ROW), index, buckets, "text")
+    return found.select("doc_id", F.col(KEEP).alias("keep_id"), F.col(SIZE).alias("group_size"), (F.col(ROW) == F.col("__stays")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, bits: int = 64) -> DataFrame:
     """docs without the rows that ``resolve`` drops; columns as they were."""
-    index = build_index(docs, doc_id, text, capacity)
-    tie = Window.partitionBy(HASH, SHA, doc_id).orderBy(F.lit(1))
-    rows = with_keys(docs, text).withColumn(TIE, F.row_number().over(tie)).where(F.col(TIE) == 1)
-    stays = index.select(F.col(HASH).alias(HASH + "_"), F.col(SHA).alias(SHA + "_"), KEEP)
-    same = (F.col(HASH) == F.col(HASH + "_")) & (F.col(SHA) == F.col(SHA + "_")) & F.col(doc_id).eqNullSafe(F.col(KEEP))
-    return rows.join(stays, same, "left_semi").select(*docs.columns)
+    rows = staged(docs, text, bits)
+    index, _ = build_index(rows, doc_id, text, capacity)
+    # a merge join, so that it works alike at every size
+    return rows.join(index.select(ROW).hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

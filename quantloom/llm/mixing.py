@@ -64,11 +64,14 @@ def mix(
     Every row gets a hash-random key. Within a source, rows in key order are taken whole for as many epochs as the
     target holds, then up to the word at which the rest of the target ends. The position of a row is the sum
     over the ranges of keys before its own plus a running sum within its range, so no task ever holds a source.
-    A null source is a source of its own, the last; a null doc_id has a key like any other; rows with equal
-    keys are taken in order of doc_id and size. Rows of no words are taken 0 times.
+    A null source is a source of its own, the last; a row with a null doc_id has its key from its other columns; rows with equal
+    keys are taken in order of doc_id and size. Rows of no words (null, empty texts) are taken 0 times; long texts count whole. An
+    empty table gives no rows.
     """
     order = F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source).cast("string"), F.lit("")))
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    # rows without an id are dealt by their content
+    known = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("~"), F.xxhash64(*docs.columns).cast("string")))
+    key = F.md5(F.concat(F.lit(seed + ":"), known))
     rows = docs.withColumns({TOKENS: tokens, SOURCE: order, KEY: key}).drop("size", "source_size", "target", "taken").withColumn(RANGE, F.substring(KEY, 1, RANGE_DIGITS))
     ranges = saved(rows.groupBy(SOURCE, RANGE).agg(F.sum(TOKENS).alias(TOKENS)), "mix-ranges")
     goal = targets(ranges.groupBy(SOURCE).agg(F.sum(TOKENS).alias("source_size")), weights, share, epochs)

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.arrays import SLICE_BYTES, mix64, slices, words
 
-#: Labelled documents that the field is trained on: those of the smallest hashed ids.
-TRAIN_DOCS = 3000
+#: Labelled documents that the field is trained on: those of the smallest hashed ids, of so many lines at most, which bounds what the
+#: driver gathers.
+TRAIN_DOCS, TRAIN_DOC_LINES = 3000, 512
+#: Lines (and fillings) that chains take side by side.
+CELLS = 400_000
 #: Lines of one training chain; longer documents are cut into several.
 TRAIN_LINES = 48
 STEPS = 120
@@ -78,12 +81,27 @@ def line_features(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     return joined, doc, size + 1.0
 
 
-def _padded(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index (steps x chains) into lines, -1 beyond a chain's end; chains come in order of falling length."""
-    ids, first, count = np.unique(doc, return_index=True, return_counts=True)
+def _padded(doc: np.ndarray) -> list[np.ndarray]:
+    """Chains of about equal length side by side: indexes (steps x chains) into lines, -1 beyond a chain's end, CELLS at most or one chain.
+
+    Chains come in order of falling length, so that one long text doesn't pad all others.
+    """
+    _, first, count = np.unique(doc, return_index=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
-    step = np.arange(count.max(initial=0))[:, None]
-    return np.where(step < count[order], first[order] + step, -1), ids[order]
+    first, count, out, lo = first[order], count[order], [], 0
+    while lo < len(count):
+        hi = min(len(count), lo + max(1, CELLS // int(count[lo])))
+        step = np.arange(count[lo])[:, None]
+        out.append(np.where(step < count[lo:hi], first[lo:hi] + step, -1))
+        lo = hi
+    return out
+
+
+def _all_marginals(emit: np.ndarray, trans: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    p = np.zeros(len(emit))
+    for at in groups:
+        p += marginals(emit, trans, at)
+    return p
 
 
 def marginals(emit: np.ndarray, trans: np.ndarray, at: np.ndarray, gradient: bool = False):
@@ -140,7 +158,7 @@ def calibrate(p: np.ndarray, good: np.ndarray, l2: float = 1e-2) -> tuple[float,
 def fit(x: np.ndarray, chain: np.ndarray, good: np.ndarray, steps: int = STEPS, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transition scores that maximise the likelihood of the line labels (Adam over all chains)."""
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
-    at, _ = _padded(chain)
+    groups = _padded(chain)
     y = good.astype(float)
     before, now = good[:-1].astype(int), good[1:].astype(int)
     inner = chain[1:] == chain[:-1]
@@ -149,7 +167,10 @@ def fit(x: np.ndarray, chain: np.ndarray, good: np.ndarray, steps: int = STEPS,
     theta, m, v = np.concatenate([w, trans.ravel()]), 0.0, 0.0
     for i in range(1, steps + 1):
         w, trans = theta[: len(w)], theta[len(w) :].reshape(2, 2)
-        p, pairs = marginals(x @ w, trans, at, gradient=True)
+        emit, p, pairs = x @ w, np.zeros(len(x)), np.zeros((2, 2))
+        for at in groups:
+            one, both = marginals(emit, trans, at, gradient=True)
+            p, pairs = p + one, pairs + both
         g = np.concatenate([x.T @ (y - p), (seen - pairs).ravel()]) / len(x) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + 0.15 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
@@ -159,17 +180,7 @@ def fit(x: np.ndarray, chain: np.ndarray, good: np.ndarray, steps: int = STEPS,
 def score_texts(texts: Sequence[bytes], w: np.ndarray, trans: np.ndarray, slope: float = 1.0, offset: float = 0.0) -> np.ndarray:
     """Calibrated mean P(good) over each text's lines, weighted by length."""
     x, doc, weight = line_features(texts)
-    at, _ = _padded(doc)
-    # chains in groups, so that one long text doesn't pad all others
-    lengths = (at >= 0).sum(axis=0)
-    p = np.zeros(len(x))
-    emit = x @ w
-    lo = 0
-    while lo < at.shape[1]:
-        hi = min(at.shape[1], lo + max(1, 400_000 // int(lengths[lo])))
-        part = at[: lengths[lo], lo:hi]
-        p += marginals(emit, trans, part)
-        lo = hi
+    p = _all_marginals(x @ w, trans, _padded(doc))
     return 1 / (1 + np.exp(-slope * _logit(mean_marginal(p, doc, weight, len(texts))) - offset))
 
 
@@ -201,7 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     # the sample is at most 2 * n rows of two numbers; some have no document in this table
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), body.alias("__text")).join(F.broadcast(sample), "doc_id")
+    n_lines = F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
+    short = docs.where(F.coalesce(n_lines, F.lit(1)) <= TRAIN_DOC_LINES)
+    chosen = short.select(F.col(doc_id).alias("doc_id"), body.alias("__text")).join(F.broadcast(sample), "doc_id")
     found = chosen.select("doc_id", "quality", features("__text").alias("f")).select("doc_id", "quality", "f.lines").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
     if not found:
         return None
@@ -217,15 +230,16 @@ def fit_documents(x: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, np
     lines = np.concatenate(x)
     w, trans = fit(lines, chain, good[doc])
     weight = np.expm1(lines[:, SIZE_AT] * 8) + 1
-    p = mean_marginal(marginals(lines @ w, trans, _padded(chain)[0]), doc, weight, len(x))
+    p = mean_marginal(_all_marginals(lines @ w, trans, _padded(chain)), doc, weight, len(x))
     return w, trans, *calibrate(p, good)
 
 
 def with_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 from THRESHOLD on); columns of those names are replaced.
 
-    Null counts as the empty text, whose one empty line is scored like any other. Labels of unknown documents and
-    null labels are left out; of repeated labels the larger counts. Without labels every score is 0.5.
+    Null counts as the empty text, whose one empty line is scored like any other; texts of any length are scored whole, in memory by their
+    lines. Rows that repeat score alike. Labels of unknown documents and null labels are left out; of repeated labels the larger counts.
+    Without labels every score is 0.5. Other columns, of any name, stay. An empty table gives no rows.
     """
     docs = docs.drop("held_out", "score", "predicted")
     model = train(docs, labels, doc_id, text)

@@ -189,25 +189,57 @@ def test_components(spark):
 
 # decontamination
 
-ITEMS = [(1, "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf"), (2, "one two three"), (3, None), (4, ""), (5, "é one"), (6, "the quick brown fox jumps over the lazy dog and runs away into town")]
+ITEMS = [(1, "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf"), (2, "one two three"), (3, None), (4, ""), (5, "é one"), (6, "the quick brown fox jumps over the lazy dog and runs away into town"), (None, "no name for this one"), (None, "runs away from the big bad wolf into the deep dark forest of the north"), (7, "x")]
 
 
 def test_decontamination_equals_its_oracle(spark, docs, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     more = docs.unionByName(spark.createDataFrame([(50, "One, TWO three one two three? " * 3 + "x " * 400, None), (51, "É one é-ONE", None)], docs.schema))
-    want = cells(oracle(decontaminate.OP6_SQL, documents=more.toPandas(), benchmark=bench.toPandas()))
+    want = cells(oracle(decontaminate.OP6_SQL, documents=more.toPandas(), benchmark=bench.toPandas().astype({"item_id": "Int64"})))
     assert cells(decontaminate.with_hits(more, bench).select(*names).toPandas()) == want
     assert cells(decontaminate.with_hits(more, bench, block_bytes=60).select(*names).toPandas()) == want
     assert decontaminate.with_hits(empty, bench).count() == 0
     assert decontaminate.with_hits(more, bench.limit(0)).where("contaminated OR n_hit > 0").count() == 0
 
 
-def test_spans_lie_on_the_original():
+def test_spans_lie_on_the_original(spark):
     text = "Say: ONE,\n two  THREE! and é😀ONE"
-    found, vocabulary = decontaminate.automaton([("2", b"one two three"), ("9", "é😀one".encode())])
-    n, lo, hi, of, starts, ends = decontaminate.scan_text(text.encode(), found, vocabulary)
-    assert n == 6 and [text[a:b] for a, b in zip(starts, ends)] == ["ONE,\n two  THREE", "é😀ONE"] and sorted(of) == ["2", "9"]
+    bench = decontaminate.Benchmark([("2", b"one two three"), ("9", "é😀one".encode())])
+    n, lo, hi, k, of, starts, ends = decontaminate.scan_text(text.encode(), bench)
+    assert n == 6 and k == 2 and [text[a:b] for a, b in zip(starts, ends)] == ["ONE,\n two  THREE", "é😀ONE"] and sorted(of) == ["2", "9"]
+    found = decontaminate.with_hits(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(2, "one two three")], "item_id long, text string")).first()
+    assert [text[x["start"] : x["end"]] for x in found["hit_spans"]] == ["ONE,\n two  THREE"]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_runs_equal_all_windows(monkeypatch, wide):
+    if wide:
+        monkeypatch.setattr(decontaminate, "ONE_CHARACTER", 2)
+    rng = random.Random(2)
+    for window in (1, 2, 5, 13):
+        items = [(str(i), [rng.choice("abc") for _ in range(rng.randint(0, 40))]) for i in range(12)]
+        bench = decontaminate.Benchmark([(i, " ".join(ws).encode()) for i, ws in items], window)
+        for _ in range(30):
+            ws = [rng.choice("abcd") for _ in range(rng.randint(0, 60))]
+            if rng.random() < 0.5 and len(items[0][1]) > 5:
+                ws[3:3] = rng.choice(items)[1]
+            hit, of = set(), set()
+            for i, item in items:
+                size = min(window, len(item))
+                parts = {tuple(item[k : k + size]) for k in range(len(item) - size + 1)} if item else set()
+                for k in range(len(ws) - size + 1):
+                    if size and tuple(ws[k : k + size]) in parts:
+                        hit |= set(range(k, k + size))
+                        of.add(i)
+            n, lo, hi, k, found, _, _ = decontaminate.scan_text(" ".join(ws).encode(), bench)
+            assert n == len(ws) and {x for a, b in zip(lo, hi) for x in range(a, b)} == hit and found == sorted(of)
+
+
+def test_a_word_in_many_items_and_a_long_text_stay_cheap():
+    bench = decontaminate.Benchmark([(str(i), b"the") for i in range(50)] + [("long", b"the cat sat on the mat and then the cat ran off to the hills again")])
+    n, lo, hi, k, of, _, _ = decontaminate.scan_text(b"the cat " * 300_000, bench)
+    assert n == 600_000 and len(lo) == 300_000 and k == 50
 
 
 # archives
@@ -297,6 +329,18 @@ def test_held_out_accuracy_and_edges(spark, empty):
     assert [r["score"] for r in none] == [0.5] * 3 and quality.with_score(empty, labels).count() == 0
 
 
+def test_one_text_of_many_lines_pads_no_other():
+    import tracemalloc
+
+    texts = [b"\n" * 200_000] + [b"a short text."] * 3000
+    rng = np.random.default_rng(1)
+    model = (rng.normal(0, 1, quality.WIDTH), rng.normal(0, 1, (2, 2)))
+    tracemalloc.start()
+    assert len(quality.score_texts(texts, *model)) == 3001
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_scores_do_not_depend_on_company():
     texts = [t.encode() for _, t, _ in corpus(40, 3)]
     rng = np.random.default_rng(1)

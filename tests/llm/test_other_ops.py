@@ -368,32 +368,63 @@ def test_held_out_roles(spark):
     assert got.rendered.str.match(r"^<\|(system|user|assistant)\|>\n").all() and not got.rendered.str.contains("User:").any()
 
 
+def test_paths_equal_all_paths():
+    rng = np.random.default_rng(0)
+    start, trans, emit = rng.normal(0, 1, chat.STATES), rng.normal(0, 1, (chat.STATES, chat.STATES)), rng.normal(0, 1, (chat.STATES, chat.SIGNS))
+    chains = [rng.integers(0, chat.SIGNS, n) for n in (1, 5, 3, 4, 1, 5)]
+
+    def score(x, y, before):
+        return (start if before < 0 else trans[before])[y[0]] + sum(emit[a, b] for a, b in zip(y, x)) + sum(trans[a, b] for a, b in itertools.pairwise(y))
+
+    for before, end in (([-1] * 6, [-1] * 6), ([2, -1, 0, 1, 5, 3], [3, 0, -1, 5, 2, 1])):
+        got = chat.best_paths(chains, before, end, start, trans, emit)
+        for x, y, b, e in zip(chains, got, before, end):
+            every = [p for p in itertools.product(range(chat.STATES), repeat=len(x)) if e < 0 or p[-1] == e]
+            assert tuple(y) == max(every, key=lambda p: score(x, p, b))
+    tables = chat.piece_scores(chains, [True, False] * 3, start, trans, emit)
+    for x, m, first in zip(chains, tables, [True, False] * 3):
+        for b in range(chat.STATES):
+            for e in range(chat.STATES):
+                every = [score(x, (*p, e), -1 if first else b) for p in itertools.product(range(chat.STATES), repeat=len(x) - 1)]
+                assert m[b, e] == pytest.approx(max(every))
+
+
 def test_pieces_give_the_path_of_one_run(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    start, trans, emit = np.log([0.5, 0.3, 0.2]), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, (3, chat.SIGNS))
-    rows = list(talk(5)) + [(77, t, "user", f"{'q ' * (t % 40)}?") for t in range(60)] + [(78, 0, "user", f"x{i}") for i in range(20)]
+    model = (rng.normal(0, 1, chat.STATES), rng.normal(0, 1, (chat.STATES, chat.STATES)), rng.normal(0, 1, (chat.STATES, chat.SIGNS)))
+    model[2][1::2, chat.SIGNS // 2 :] = chat._NEVER
+    rows = list(talk(5)) + [(77, t, "user", f"{'q ' * (t % 40)}?\n{'x' * (t % 9)}") for t in range(60)] + [(78, 0, "user", f"x{i}") for i in range(20)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    monkeypatch.setattr(chat, "train", lambda _: (start, trans, emit))
-
-    def score():
-        """Each conversation's log-probability of the path found: the best, though ties may differ."""
-        found = chat.observed(chat.recover_roles(turns).drop("role").withColumnRenamed("role_found", "role")).toPandas()
-        out = {}
-        for c, g in found.sort_values(["__piece", "__place"]).groupby("__conv"):
-            y, x = g["__state"].astype(int).tolist(), g["__sign"].tolist()
-            out[c] = start[y[0]] + sum(emit[a, b] for a, b in zip(y, x)) + sum(trans[a, b] for a, b in itertools.pairwise(y))
-        return out
-
-    whole = score()
+    monkeypatch.setattr(chat, "train", lambda _: model)
+
+    def found():
+        return sorted((r["conv_id"], r["turn"], r["text"], r["role_found"], r["rendered"]) for r in chat.recover_roles(turns).collect())
+
+    whole = found()
     monkeypatch.setattr(chat, "CHUNK", 7)
-    assert score() == pytest.approx(whole)
+    assert found() == whole
+
+
+def test_raw_transcripts_are_cut_into_turns(spark):
+    raw = "System: be brief\nUser: what is Q-learning?\nAI-based tools help me.\nAssistant: it learns values\n\nfrom rewards.\nUser: thanks"
+    other = "**Human:** hi\n[Assistant] hello there\nAnswer to that: none of these\n## User\nA-levels are hard"
+    rows = list(talk(60)) + [(9001, 0, None, raw), (9002, 0, None, other)]
+    got = {r["conv_id"]: r for r in chat.recover_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id > 9000").collect()}
+    turn = lambda role, body: f"<|{role}|>\n{body}\n<|end|>\n"
+    assert got[9001]["rendered"] == turn("system", "be brief") + turn("user", "what is Q-learning?\nAI-based tools help me.") + turn("assistant", "it learns values\n\nfrom rewards.") + turn("user", "thanks")
+    assert got[9002]["rendered"] == turn("user", "hi") + turn("assistant", "hello there\nAnswer to that: none of these") + turn("user", "A-levels are hard")
+    assert (got[9001]["n_turns"], got[9001]["role_found"]) == (4, "system")
+
+
+def test_only_markers_are_taken_away():
+    for line in ("AI-based tools help.", "Q-learning is one.", "System-wide", "user:pass", "A question", "Model-free: no", "me", "human beings"):
+        assert chat.marker(line) == 0 and chat.render(line, [4]) == f"<|assistant|>\n{line}\n<|end|>\n"
+    assert chat.render("User: hi", [4]) == "<|assistant|>\nUser: hi\n<|end|>\n" and chat.render("Bot: hi", [4]) == "<|assistant|>\nhi\n<|end|>\n"
 
 
 def test_chat_edges(spark):
-    rows = [(1, 0, "USER", None), (1, 1, "robot", ""), (None, None, None, "x"), (None, 0, "user", "y"), (2, 3, "assistant", "long " * 50_000), (2, 3, "assistant", "long " * 50_000)]
+    rows = [(1, 0, "USER", None), (1, 1, "robot", ""), (None, None, None, "x"), (None, 0, "user", "y"), (2, 3, "assistant", "long " * 50_000), (2, 3, "assistant", "long\n" * 50_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"sign": F.lit(1), "rendered": F.lit("r")})
     got = chat.recover_roles(turns)
     assert got.count() == 6 and got.where("role_found IS NULL OR rendered IS NULL").count() == 0 and "sign" in got.columns
     assert chat.recover_roles(turns.limit(0)).count() == 0
-    lines = chat.transcript_lines(spark.createDataFrame([(1, "User: hi\nAssistant: hello")], "conv_id long, text string"))
-    assert [r["text"] for r in lines.orderBy("turn").collect()] == ["User: hi", "Assistant: hello"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import saved
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "id", "secret")
 BASE = 4
 
 # Patterns that also match the runs a base match could start in, so that matching is linear in any text; what is no candidate is
@@ -23,13 +23,22 @@ _ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _LOCAL_PHONE = r"(?<![0-9+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 _SPELT_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63}+){1,8}+"
 
-#: Gazetteers: top-level domains, country calling codes, issuers' leading digits.
-DOMAINS = "com|org|net|edu|gov|io|info|biz|de|fr|es|uk|it|nl|eu|us|ca|ch|at"
+_SECRET = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+"
+
+#: Gazetteers: top-level domains, country calling codes, issuers' leading digits, how access keys of large services begin.
+DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|io|ai|co|app|dev|cloud|online|shop|site|tech|xyz|"
+    "at|au|be|bg|br|ca|ch|cl|cn|cz|de|dk|ee|es|eu|fi|fr|gr|hk|hr|hu|id|ie|il|in|ir|is|it|jp|ke|kr|lt|lu|lv|mx|my|ng|nl|no|nz|"
+    "pe|ph|pk|pl|pt|ro|rs|ru|sa|se|sg|si|sk|th|tr|tw|ua|uk|us|uy|ve|vn|za"
+)
+KEYS = r"(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|eyJ)"
 CALLING = r"\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ISSUERS = r"(4|5[1-5]|2[2-7]|3[47]|6011|65)"
 #: Words that announce each kind, looked for in the characters before a candidate.
-CONTEXT = {"email": "e-?mail|contact|write|mail", "ip": r"\bip\b|address|server|host", "card": "card|visa|mastercard|amex|credit|payment", "phone": "phone|call|tel|fax|mobile|dial", "id": "ssn|social|security|passport|id"}
+CONTEXT = {"email": "e-?mail|contact|write|mail", "ip": r"\bip\b|address|server|host", "card": "card|visa|mastercard|amex|credit|payment", "phone": "phone|call|tel|fax|mobile|dial", "id": "ssn|social|security|passport|id", "secret": "token|secret|password|passwd|api.?key|access.?key|private.?key|credential"}
 CONTEXT_CHARS = 32
+#: Values of a span's shape, which the classifier sees beside the votes: 2 for four or more different characters, 1 for 14 or more in all.
+SHAPES = 4
 VOTERS = ("format", "gazetteer", "context", "border")
 VOTES = (-1, 0, 1)
 #: Voters whose 0 is no opinion. A context that announces nothing is one.
@@ -72,38 +81,61 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
 
 
-def _located(text: Column, pattern: str, kind: str, candidate: Callable[[Column], Column], base: Callable[[Column], Column], gazetteer: Callable[[Column], Column], checked: bool = True) -> Column:
-    """All candidates of a pattern, in order: kind, start, end (code points), base and each voter's vote.
+def _unchecked(m: Column) -> Column:
+    return F.lit(0)
+
+
+def _random(m: Column) -> Column:
+    """Keys are drawn from many different characters, digits among them."""
+    different, digits = F.size(F.array_distinct(F.split(m, ""))), F.length(_digits(m))
+    return _vote((different >= 10) & (digits >= 4) & ~m.contains("/"), (different < 8) | (digits < 2))
+
+
+def _located(text: Column, pattern: str, kind: str, candidate: Callable[[Column], Column], base: Callable[[Column], Column], gazetteer: Callable[[Column], Column], form: Callable[[Column], Column] | None = None) -> Column:
+    """All candidates of a pattern, in order: kind, start, end (code points), base, each voter's vote and the shape.
 
-    A text is the pieces between the matches and the matches in turn, so one pass over both has all offsets.
+    A text is the pieces between the matches and the matches in turn, so one pass over both has all offsets. Spark copies a list to
+    append to it, so the pass goes in blocks of about the root of their number, each with a list of its own.
     """
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     number = F.lit(KINDS.index(kind))
 
-    def found(start, x):
-        m, before = x["m"], F.lower(F.right(x["gap"], F.lit(CONTEXT_CHARS)))
+    def found(start, m, before):
         ok = F.coalesce(base(m), F.lit(False))
+        varied = F.size(F.array_distinct(F.split(m, ""))) >= 4
         return F.struct(
             number.alias("kind"),
             start.alias("start"),
             (start + F.length(m)).alias("end"),
             ok.alias("base"),
-            (_vote(ok, ~ok) if checked else F.lit(0)).alias("format"),
+            (form(m) if form else _vote(ok, ~ok)).alias("format"),
             gazetteer(m).alias("gazetteer"),
-            _vote(before.rlike(CONTEXT[kind])).alias("context"),
-            _vote(~before.rlike("[a-z0-9_]$"), before.rlike("[a-z0-9_]$")).alias("border"),
+            _vote(F.lower(before).rlike(CONTEXT[kind])).alias("context"),
+            _vote(~before.rlike("[A-Za-z0-9_]$"), before.rlike("[A-Za-z0-9_]$")).alias("border"),
+            (varied.cast("int") * 2 + (F.length(m) >= 14).cast("int")).alias("shape"),
         )
 
+    none, far = F.array().cast(CANDIDATES), F.lit(CONTEXT_CHARS)
+
     def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        one = F.when(candidate(x["m"]), F.array(found(start, x))).otherwise(F.array().cast(CANDIDATES))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct((start + F.length(x["m"])).alias("at"), F.when(candidate(x["m"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")))
+        start, before = acc["at"] + F.length(x["gap"]), F.right(F.concat(acc["tail"], x["gap"]), far)
+        out = F.when(candidate(x["m"]), F.concat(acc["out"], F.array(found(start, x["m"], before)))).otherwise(acc["out"])
+        on = F.struct((start + F.length(x["m"])).alias("at"), F.right(F.concat(before, x["m"]), far).alias("tail"), out.alias("out"))
+        return F.when(x["m"].isNull(), acc).otherwise(on)
+
+    def block(acc, part):
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), none.alias("out")), step)
+        return F.struct(inner["at"].alias("at"), inner["tail"].alias("tail"), F.concat(acc["out"], inner["out"]).alias("out"))
+
+    def blocks(all_pieces):
+        size = F.ceil(F.sqrt(F.size(all_pieces).cast("double"))).cast("int")
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.slice(all_pieces, k * size + 1, size))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(CANDIDATES).alias("out"))
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
+    return F.aggregate(F.flatten(F.transform(F.array(pieces), blocks)), zero, block, lambda acc: acc["out"])
 
 
-CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,format:int,gazetteer:int,context:int,border:int>>"
+CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,format:int,gazetteer:int,context:int,border:int,shape:int>>"
 
 
 def candidates(text: Column) -> Column:
@@ -117,9 +149,10 @@ def candidates(text: Column) -> Column:
         F.when(text.contains("+"), _located(text, _PHONE, "phone", lambda m: F.length(_digits(m)) >= 7, _is_phone, lambda m: _vote(m.rlike("^" + CALLING)))).otherwise(none),
     ]
     loose = [
-        F.when(text.contains("at]") | text.contains("at)"), _located(text, _SPELT_EMAIL, "email", yes, no, lambda m: _vote(F.lower(m).rlike(rf"({DOMAINS})$")), False)).otherwise(none),
-        F.when(digit, _located(text, _LOCAL_PHONE, "phone", yes, no, lambda m: _vote(F.lit(False)), False)).otherwise(none),
-        F.when(digit, _located(text, _ID, "id", yes, no, lambda m: _vote(~m.rlike("^(000|666|9)"), m.rlike("^(000|666|9)")), False)).otherwise(none),
+        F.when(text.contains("at]") | text.contains("at)"), _located(text, _SPELT_EMAIL, "email", yes, no, lambda m: _vote(F.lower(m).rlike(rf"({DOMAINS})$")), _unchecked)).otherwise(none),
+        F.when(digit, _located(text, _LOCAL_PHONE, "phone", yes, no, lambda m: _vote(F.lit(False)), _unchecked)).otherwise(none),
+        F.when(digit, _located(text, _SECRET, "secret", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), no, lambda m: _vote(m.rlike("^" + KEYS)), _random)).otherwise(none),
+        F.when(digit, _located(text, _ID, "id", yes, no, lambda m: _vote(~m.rlike("^(000|666|9)"), m.rlike("^(000|666|9)")), _unchecked)).otherwise(none),
     ]
     return F.concat(*strict, *loose)
 
@@ -161,17 +194,23 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int
     return p, w + [math.log(prior[k] / (1 - prior[k])) for k in range(len(KINDS))]
 
 
-def fit_classifier(patterns: list[tuple[int, tuple[int, ...], int]], p: list[float], start: list[float], steps: int = 200, rate: float = 0.5, l2: float = 1e-2) -> list[float]:
-    """Logistic regression from votes and kind to the estimated P(real): a weight for each (voter, vote), then for each kind.
+def fit_classifier(patterns: list[tuple[int, tuple[int, ...], int, int]], p: list[float], start: list[float], steps: int = 200, rate: float = 0.5, l2: float = 1e-2) -> list[float]:
+    """The span classifier: logistic regression from votes, kind and shape to the estimated P(real).
 
-    Voters overlap, so the weights are fitted together; rare votes stay near the log-odds they start from.
+    patterns: kind, votes, shape, count. A weight for each (voter, vote), then for each kind, then for each kind's shape. Voters overlap, so the
+    weights are fitted together; rare votes stay near the log-odds they start from. Shapes, which nobody votes on, start from their own log-odds
+    among a kind's spans: they tell spans apart where votes alone do not.
     """
+    kinds, shapes = len(VOTERS) * len(VOTES), len(VOTERS) * len(VOTES) + len(KINDS)
 
-    def features(kind: int, votes: tuple[int, ...]) -> list[int]:
-        return [j * len(VOTES) + VOTES.index(v) for j, v in _said(votes)] + [len(VOTERS) * len(VOTES) + kind]
+    def features(kind: int, votes: tuple[int, ...], shape: int) -> list[int]:
+        return [j * len(VOTES) + VOTES.index(v) for j, v in _said(votes)] + [kinds + kind, shapes + kind * SHAPES + shape]
 
-    rows = [(features(kind, votes), q, math.sqrt(c)) for (kind, votes, c), q in zip(patterns, p, strict=True)]
+    rows = [(features(kind, votes, shape), q, math.sqrt(c)) for (kind, votes, shape, c), q in zip(patterns, p, strict=True)]
     n = sum(c for *_, c in rows)
+    for k in range(len(KINDS)):
+        real, not_ = ([10 + sum((q if good else 1 - q) * c for q, (kind, _, shape, c) in zip(p, patterns, strict=True) if (kind, shape) == (k, x)) for x in range(SHAPES)] for good in (True, False))
+        start = start + [math.log(a / sum(real)) - math.log(b / sum(not_)) for a, b in zip(real, not_, strict=True)]
     w = list(start)
     for _ in range(steps):
         g = [l2 * (s - x) for s, x in zip(start, w, strict=True)]
@@ -183,8 +222,21 @@ def fit_classifier(patterns: list[tuple[int, tuple[int, ...], int]], p: list[flo
     return w
 
 
+def learn(patterns: list[tuple[int, tuple[int, ...], int, int]]) -> list[float]:
+    """The classifier's weights from all candidates' (kind, votes, shape, count)."""
+    if not patterns:
+        return [0.0] * (len(VOTERS) * len(VOTES) + len(KINDS) * (1 + SHAPES))
+    merged: dict[tuple[int, tuple[int, ...]], int] = {}
+    for kind, votes, _, c in patterns:
+        merged[kind, votes] = merged.get((kind, votes), 0) + c
+    p, start = reliabilities([(kind, votes, c) for (kind, votes), c in merged.items()])
+    of = dict(zip(merged, p, strict=True))
+    return fit_classifier(patterns, [of[kind, votes] for kind, votes, _, _ in patterns], start)
+
+
 def _score(x: Column, w: list[float]) -> Column:
-    total = F.element_at(F.array(*(F.lit(v) for v in w[len(VOTERS) * len(VOTES) :])), x["kind"] + 1)
+    kinds, shapes = len(VOTERS) * len(VOTES), len(VOTERS) * len(VOTES) + len(KINDS)
+    total = F.element_at(F.array(*(F.lit(v) for v in w[kinds:shapes])), x["kind"] + 1) + F.element_at(F.array(*(F.lit(v) for v in w[shapes:])), x["kind"] * SHAPES + x["shape"] + 1)
     for j, name in enumerate(VOTERS):
         total = total + F.element_at(F.array(*(F.lit(v) for v in w[j * len(VOTES) : (j + 1) * len(VOTES)])), x[name] + 2)
     return 1 / (1 + F.exp(-total))
@@ -193,23 +245,23 @@ def _score(x: Column, w: list[float]) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs (without the text) with found: all spans (kind, start, end, base, score), by kind, then start.
 
-    Null counts as the empty text, which has no spans. Base spans always stay; any other candidate stays that the classifier gives
-    ``threshold`` or more and that overlaps no base span. The candidates, few beside the texts, are kept in the
-    shared folder, so texts are read once. Voters' reliabilities come from all candidates of all texts.
+    Null counts as the empty text, which has no spans; texts of any length are searched whole. Base spans always stay; any other
+    candidate stays that the classifier gives ``threshold`` or more and that overlaps no base span. The candidates, few beside the texts, are
+    kept in the shared folder, so texts are read once. Voters' reliabilities come from all candidates of all texts. Rows that repeat are
+    searched each. A column named found is replaced, others stay. An empty table gives no rows.
     """
     keep = [c for c in docs.columns if c not in (text, "found")]
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = saved(rows.select(*keep, candidates(F.col("__text")).alias("__found")), "pii-candidates")
-    each = rows.select(F.explode("__found").alias("x")).groupBy("x.kind", *(f"x.{v}" for v in VOTERS)).agg(F.count("*").alias("n"))
-    # at most len(KINDS) * 3 ** len(VOTERS) rows
-    patterns = [(r["kind"], tuple(r[v] for v in VOTERS), r["n"]) for r in each.orderBy("kind", *VOTERS).collect()]
-    w = fit_classifier(patterns, *reliabilities(patterns)) if patterns else [0.0] * (len(VOTERS) * len(VOTES) + len(KINDS))
+    each = rows.select(F.explode("__found").alias("x")).groupBy("x.kind", *(f"x.{v}" for v in VOTERS), "x.shape").agg(F.count("*").alias("n"))
+    # at most len(KINDS) * 3 ** len(VOTERS) * SHAPES rows
+    w = learn([(r["kind"], tuple(r[v] for v in VOTERS), r["shape"], r["n"]) for r in each.orderBy("kind", *VOTERS, "shape").collect()])
     base = F.filter("__found", lambda x: x["base"])
-    clash = lambda x: F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    clash = lambda x: F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     extra = F.filter("__found", lambda x: ~x["base"] & (_score(x, w) >= threshold) & ~clash(x))
-    both = F.when(F.size("__found") == 0, F.array().cast(CANDIDATES)).otherwise(F.array_distinct(F.array_sort(F.concat(base, extra))))
-    out = F.transform(both, lambda x: F.struct(F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), _score(x, w).alias("score")))
-    return rows.select(*keep, out.alias("found"))
+    both = rows.withColumn("__base", base).withColumn("__all", F.when(F.size("__found") == 0, F.array().cast(CANDIDATES)).otherwise(F.array_sort(F.concat("__base", extra))))
+    out = F.transform("__all", lambda x: F.struct(F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), _score(x, w).alias("score")))
+    return both.select(*keep, out.alias("found"))
 
 
 def _joined(spans: Column) -> Column:
@@ -220,4 +272,4 @@ def op1_weak_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.filter("found", lambda x: x["base"])
     count = lambda k: F.size(F.filter("found", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in KINDS[:BASE]), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in KINDS[:BASE]), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))

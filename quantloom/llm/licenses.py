@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import pandas as pd
@@ -34,6 +35,17 @@ TEMPLATES = {
     "cc-by-nc": (["cc by nc", "creative commons attribution noncommercial"], ["licensed under cc by nc 4 0", "licensed under the creative commons attribution noncommercial 4 0 international license"]),
     "cc-by-sa": (["cc by sa", "creative commons attribution sharealike"], ["licensed under cc by sa 4 0", "licensed under the creative commons attribution sharealike 4 0 international license"]),
     "cc0": (["cc0 1 0", "dedicated to the public domain"], ["this work is dedicated to the public domain under cc0 1 0 universal"]),
+    "cc-by-nd": (["cc by nd", "creative commons attribution noderivatives"], ["licensed under cc by nd 4 0", "licensed under the creative commons attribution noderivatives 4 0 international license"]),
+    "unlicense": (["free and unencumbered software"], ["this is free and unencumbered software released into the public domain"]),
+    "epl": (["eclipse public license"], ["made available under the terms of the eclipse public license version 2 0"]),
+    "eupl": (["european union public licence"], ["licensed under the european union public licence version 1 2"]),
+    "boost": (["boost software license"], ["distributed under the boost software license version 1 0"]),
+    "zlib": (["zlib license", "altered source versions must be plainly marked"], ["released under the zlib license", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"]),
+    "artistic-2": (["artistic license 2 0"], ["licensed under the artistic license 2 0"]),
+    "ofl": (["sil open font license"], ["this font software is licensed under the sil open font license version 1 1"]),
+    "cddl": (["common development and distribution license"], ["subject to the terms of the common development and distribution license"]),
+    "ms-pl": (["microsoft public license"], ["licensed under the microsoft public license"]),
+    "openrail": (["openrail license", "responsible ai license"], ["licensed under the openrail license", "subject to the terms of the responsible ai license"]),
     "reserved": (["all rights reserved"], ["all rights reserved"]),
 }
 #: Words too common to be looked up; they count for phrases alone.
@@ -96,47 +108,71 @@ def _scanner():
 
 
 class Index:
-    """Postings (wording, place) of the rarest words of each wording, and the words' weights."""
+    """Postings (wording, place) of the rarest words of each wording, and all words' weights (inverse document frequencies)."""
 
     def __init__(self, idf: list[float]):
         self.idf = idf
-        self.weights, self.postings = [], {}
+        self.weights, self.places, self.postings, self.rare = [], [], {}, []
         for t, (_, ws) in enumerate(_WORDINGS):
             places = [(i, _VOCABULARY[w]) for i, w in enumerate(ws) if w in _VOCABULARY]
+            self.places.append(places)
             self.weights.append(sum(idf[v] for _, v in places))
-            for i, v in sorted(places, key=lambda x: (-idf[x[1]], x[0]))[:RARE]:
+            rare = sorted(places, key=lambda x: (-idf[x[1]], x[0]))[:RARE]
+            self.rare.append(rare)
+            for i, v in rare:
                 self.postings.setdefault(v, []).append((t, i))
 
+    def starts(self, stands: dict[int, list[int]]) -> dict[int, list[int]]:
+        """Wordings that the text could hold, and where they would start.
+
+        The text's words are looked up by falling weight. The first that a wording has a posting of gives the starts; these
+        are intersected with the postings of the wording's other rare words by their relative places, give or take DRIFT words: of
+        several rare words, one more must stand where it belongs.
+        """
+        found: dict[int, list[int]] = {}
+        for v in sorted(stands, key=lambda v: (-self.idf[v], v)):
+            for t, i in self.postings.get(v, ()):
+                others = [(j, u) for j, u in self.rare[t] if (j, u) != (i, v)]
+                # what a word of more weight has given already
+                before = [u for j, u in others if (-self.idf[u], u, j) < (-self.idf[v], v, i) and u in stands]
+                if len(before) > 1:
+                    continue
+                at = found.setdefault(t, [])
+                at += [p - i for p in stands[v] if not others or any(_near(stands.get(u), p - i + j) for j, u in others)]
+        return found
+
     def labels(self, key: list[int], key_at: list[int], place: list[int], word: list[int]) -> dict[str, float]:
         """Labels whose wording stands in the text and holds a key phrase, with the share of the wording that was found."""
-        votes: dict[tuple[int, int], int] = {}
-        for p, v in zip(place, word, strict=True):
-            for t, i in self.postings.get(v, ()):
-                votes[t, p - i] = votes.get((t, p - i), 0) + 1
-        found: dict[str, float] = {}
-        if not votes:
-            return found
         stands: dict[int, list[int]] = {}
         for p, v in zip(place, word, strict=True):
             stands.setdefault(v, []).append(p)
-        for t, start in votes:
+        phrases: dict[str, list[int]] = {}
+        for s, k in sorted(zip(key_at, key, strict=True)):
+            phrases.setdefault(_KEYS[k][0], []).append(s)
+        found: dict[str, float] = {}
+        for t, starts in self.starts(stands).items():
             label, ws = _WORDINGS[t]
-            phrases = [s for k, s in zip(key, key_at, strict=True) if _KEYS[k][0] == label and start - DRIFT <= s <= start + len(ws) + DRIFT]
-            if not phrases:
-                continue
-            got = sum(self.idf[_VOCABULARY[w]] for i, w in enumerate(ws) if w in _VOCABULARY and _near(stands.get(_VOCABULARY[w]), start + i))
-            if got >= COVER * self.weights[t]:
-                found[label] = max(found.get(label, 0.0), min(1.0, got / self.weights[t]))
+            for start in set(starts) if label in phrases else ():
+                if found.get(label, 0.0) >= 1.0:
+                    break
+                if not _between(phrases[label], start - DRIFT, start + len(ws) + DRIFT):
+                    continue
+                got = sum(self.idf[v] for i, v in self.places[t] if _near(stands.get(v), start + i))
+                if got >= COVER * self.weights[t]:
+                    found[label] = max(found.get(label, 0.0), min(1.0, got / self.weights[t]))
         return found
 
 
-def _near(places: list[int] | None, at: int) -> bool:
-    import bisect
-
+def _between(places: list[int] | None, lo: int, hi: int) -> bool:
+    """Whether one of the sorted places lies from lo to hi."""
     if not places:
         return False
-    i = bisect.bisect_left(places, at - DRIFT)
-    return i < len(places) and places[i] <= at + DRIFT
+    i = bisect.bisect_left(places, lo)
+    return i < len(places) and places[i] <= hi
+
+
+def _near(places: list[int] | None, at: int) -> bool:
+    return _between(places, at - DRIFT, at + DRIFT)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -146,7 +182,8 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     the places of licence words, which few texts have. Document frequencies over all texts make the
     index: of each wording the rarest words. Its postings name the wordings and starts that a text could hold; of these
     the ones count that hold a mandatory phrase word by word and enough of the wording in place. A base phrase
-    has the score 1, a text without labels 0.
+    has the score 1, a text without labels 0. Texts of any length are taken whole, rows that repeat each. Columns of the result's
+    names are replaced, others stay. An empty table gives no rows.
     """
     keep = [c for c in docs.columns if c not in (text, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "label_scores")]
     rows = saved(docs.select(*keep, _scanner()(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("__scan")), "license-words")

@@ -148,7 +148,41 @@ def test_reliabilities_find_the_noisy_voter():
     patterns = [(0, (1, 1, 1, 1), 90), (0, (-1, -1, 0, 1), 100), (0, (1, -1, 1, -1), 10), (0, (-1, 1, 0, -1), 12)]
     p, w = pii.reliabilities(patterns)
     assert p[0] > 0.9 and p[1] < 0.1 and p[2] > 0.5 > p[3]
-    assert pii.fit_classifier(patterns, p, w)[2] > 0
+    assert pii.fit_classifier([(k, v, 3, c) for k, v, c in patterns], p, w)[2] > 0
+    # of spans with the same votes, the shape that goes with better votes scores higher
+    shaped = [(0, (1, 1, 1, 1), 3, 900), (0, (-1, -1, 0, 1), 0, 900), (0, (0, 0, 0, 1), 3, 50), (0, (0, 0, 0, 1), 0, 50)]
+    at = len(pii.VOTERS) * len(pii.VOTES) + len(pii.KINDS)
+    assert pii.learn(shaped)[at + 3] > pii.learn(shaped)[at]
+
+
+def test_the_query_gives_the_base_digest(spark, texts, tmp_path):
+    import hashlib
+
+    rows = [(i, t) for i, t in enumerate([t for _, t, _ in texts] + ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = {k: i for i, (k, _) in enumerate(BASE)}
+    for r in pii.op1_weak_pii(spark, str(tmp_path)).collect():
+        text = dict(rows)[r["doc_id"]] or ""
+        base = sorted(plain_spans(text), key=lambda x: (order[x[0]], x[1]))
+        assert [r[f"n_{k}"] for k in order] == [sum(x[0] == k for x in base) for k in order]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        spans = [x for x in r["spans"].split(",") if x]
+        assert len(spans) == r["n_spans"] and {f"{k}:{a}:{b}" for k, a, b in base} <= set(spans)
+
+
+def test_announced_keys_are_secrets(spark):
+    token = 'set token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here, mail joe@mail.com'
+    rows = [(i, token.replace("04db", f"{i:04x}")) for i in range(30)] + [(99, "averyveryverylongwordwithoutdigits" * 3 + " a-hyphenated-name-of-2-words-and-more")]
+    got = {r["doc_id"]: r["found"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99] == [] and all([rows[i][1][x["start"] : x["end"]] for x in got[i] if x["kind"] == "secret"] == [rows[i][1].split('"')[1]] for i in range(30))
+
+
+def test_a_long_text_full_of_addresses_is_quick(spark):
+    import time
+
+    began = time.time()
+    got = pii.find_pii(spark.createDataFrame([(1, "mail joe@mail.com or call 10.0.0.1, " * 40_000)], "doc_id long, text string")).select(F.size("found").alias("n")).first()["n"]
+    assert got == 80_000 and time.time() - began < 60
 
 
 def masked(text):

@@ -83,6 +83,17 @@ def test_standard_notices_have_their_label(spark):
     assert [got[i] for i in range(len(notices))] == list(notices.values())
 
 
+def test_rare_words_must_stand_in_their_places(spark):
+    index = licenses.Index([1.0] * len(licenses._VOCABULARY))
+    scan = lambda t: licenses.scan_words(t.encode())
+    labels = lambda t: set(index.labels(*scan(t)[3:]))
+    assert labels("licensed under the eclipse x public license. made available under the terms of the Eclipse Public License, version 2.0") == {"epl"}
+    # one rare word alone, however heavy, names no wording
+    assert index.starts({licenses._VOCABULARY[b"eclipse"]: [5]}) in ({}, {t: [] for t in index.starts({licenses._VOCABULARY[b"eclipse"]: [5]})})
+    many = ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files " * 20_000)
+    assert labels(many) == {"mit"}
+
+
 def test_words_and_shingles_equal_plain_ones(texts):
     for t in [x for _, x, _ in texts]:
         b = (t or "").encode()

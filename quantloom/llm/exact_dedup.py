@@ -82,10 +82,14 @@ def build_index(rows: DataFrame, doc_id: str, text: str, capacity: int = CAPACIT
     buckets = directory(rows.select(HASH).distinct(), capacity)
     texts = owned(rows.select(HASH, ROW, F.col(doc_id).alias(KEEP), ascii_lower(F.col(text)).alias(NORM)), buckets)
     entry = texts.groupBy(OWNER, HASH, NORM).agg(F.max(KEEP).alias(KEEP), F.coalesce(F.max_by(ROW, KEEP), F.min(ROW)).alias(ROW), F.count("*").alias(SIZE))
-    entry = saved(entry.withColumn("sha", F.sha2(NORM, 256)), "dedup-entries")
-    chains = entry.groupBy(OWNER, HASH).agg(F.count("*").alias("chain")).where("chain > 1")
-    collided = entry.join(chains, [OWNER, HASH], "left")
-    index = collided.select(OWNER, HASH, KEEP, ROW, SIZE, "sha", F.when(F.col("chain") > 1, F.col(NORM)).alias(NORM))
+    # the texts stay behind
+    entry = saved(entry.select(OWNER, HASH, KEEP, ROW, SIZE, F.sha2(NORM, 256).alias("sha")), "dedup-entries")
+    several = entry.groupBy(OWNER, HASH).agg(F.count("*").alias("chain")).where("chain > 1").select(OWNER, HASH)
+    if several.isEmpty():
+        index = entry.withColumn(NORM, F.lit(None).cast("string"))
+    else:
+        chained = entry.join(several, [OWNER, HASH], "left_semi").select(ROW)
+        index = entry.join(rows.join(chained, ROW, "left_semi").select(ROW, ascii_lower(F.col(text)).alias(NORM)), ROW, "left")
     return saved(index.repartitionByRange(OWNER, HASH).sortWithinPartitions(OWNER, HASH, "sha"), "dedup-index"), buckets
 
 

@@ -20,8 +20,10 @@ from quantloom.llm.common import saved, scratch
 REVISIT_BYTES = 100
 #: Payload bytes of a key range, and compressed bytes at which a file is closed.
 RANGE_BYTES, ROLL_BYTES = 16 << 20, 8 << 20
-#: Tasks that ranges are dealt to: two for each range, so that few tasks get several, up to so many.
+#: Tasks that key ranges are dealt to, in order: one for each range, up to so many, which then get several.
 MOST_TASKS = 50_000
+#: Rows without an id are cut by their digest into two to this power of cells, which come first.
+UNNAMED = 10
 #: Key cells that ranges are made of, by powers of two: at most so many are ever broadcast.
 CELLS, CELLS_ABOVE = 20, 10
 DATE = "2000-01-01T00:00:00Z"
@@ -116,7 +118,8 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) -> Dat
     runs again writes the same files; only files in the manifest, which Spark commits at the end, count.
     Payloads of at least REVISIT_BYTES are written once, at their smallest page_id; equal ones are revisits. Null html
     is an empty payload, a null url about:blank. A null page_id comes first and is never referred to.
-    Rows that repeat page_id and payload are all of the same type. An empty table writes no file.
+    Rows that repeat page_id and payload are all of the same type. Payloads of any length are written whole. page_id must be a whole number;
+    other columns, of any name, are not looked at. An empty table writes no file.
     """
     spark = pages.sparkSession
     from pyarrow import fs
@@ -126,18 +129,19 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) -> Dat
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     ids = pages.agg(F.min("page_id"), F.max("page_id")).first()
     lo, width = ids[0] or 0, ((ids[1] or 0) - (ids[0] or 0)) // (1 << CELLS) + 1
-    cell = F.coalesce(F.expr(f"cast((page_id - {lo}) div {width} as long)"), F.lit(-1).cast("long"))
+    unnamed = -1 - F.conv(F.substring(F.sha2(body, 256), 1, 4), 16, 10).cast("long") % (1 << UNNAMED)
+    cell = F.when(F.col("page_id").isNull(), unnamed).otherwise(F.expr(f"cast((page_id - {lo}) div {width} as long)"))
     narrow = saved(pages.select("page_id", cell.alias("cell"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("digest")), "warc-pages")
     ranges = saved(key_ranges(narrow), "warc-ranges")
     large = narrow.where((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
     again = narrow.where(F.col("payload_bytes") >= REVISIT_BYTES).join(first, "digest").where("page_id > refers_to").select("cell", "page_id", "digest", "refers_to").distinct()
-    tasks = min(MOST_TASKS, 2 * ((ranges.agg(F.max("grp")).first()[0] or 0) + 1))
-    # at most 2 ** CELLS rows of two numbers
+    tasks = min(MOST_TASKS, (ranges.agg(F.max("grp")).first()[0] or 0) + 1)
+    # at most 2 ** CELLS + 2 ** UNNAMED rows of two numbers
     ranges = F.broadcast(ranges)
     role = again.select("cell", "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "refers_to")
     page = pages.select(cell.alias("cell"), "page_id", F.lit(1).alias("kind"), "url", body.alias("body"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    dealt = role.unionByName(page).join(ranges, "cell").drop("cell").repartition(tasks, "grp").sortWithinPartitions("grp", "page_id", "kind", "digest", F.sha2("body", 256), "url")
+    dealt = role.unionByName(page).join(ranges, "cell").drop("cell").repartitionByRange(tasks, "grp").sortWithinPartitions("grp", "page_id", "kind", "digest", F.sha2("body", 256), "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shards, at, roles = _Shards(root, roll_bytes), None, {}
@@ -183,11 +187,14 @@ def parse_warc(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield head, body
 
 
-RECORD = "name string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
+RECORD = "name string, sha256 string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
 
 def read_warc(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
-    """The records of the files in the manifest under ``root``; ``payload`` False leaves the html null."""
+    """The records of the files in the manifest under ``root``; ``payload`` False leaves the html null.
+
+    A file whose bytes don't match its digest in the manifest, or a block that doesn't match its own, is an error.
+    """
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(root)
     files = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
@@ -195,16 +202,19 @@ def read_warc(spark: SparkSession, root: str, payload: bool = True) -> DataFrame
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
-                rows = []
+                rows, digest_of_file = [], hashlib.sha256(content).hexdigest()
                 for head, body in parse_warc(bytes(content)):
                     page, to = head.get("x-page-id"), head.get("x-refers-to-page")
                     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
                     size = len(body) if kind == "response" else int(head["x-payload-length"])
-                    rows.append((name, page and int(page), head["warc-target-uri"], size, digest, kind, to and int(to), body.decode() if payload and kind == "response" else None))
-                out = pd.DataFrame(rows, columns=["name", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
+                    rows.append((name, digest_of_file, page and int(page), head["warc-target-uri"], size, digest, kind, to and int(to), body.decode() if payload and kind == "response" else None))
+                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return files.mapInPandas(records, RECORD).join(manifest.select("name"), "name", "left_semi")
+    listed = manifest.select("name", F.col("sha256").alias("__listed"))
+    found = files.mapInPandas(records, RECORD).join(listed, "name")
+    whole = F.assert_true(F.col("sha256") == F.col("__listed"), F.concat(F.lit("digest of the manifest does not match: "), F.col("name")))
+    return found.where(whole.isNull()).drop("sha256", "__listed")
 
 
 def op7_warc_round_trip(spark, sf_dir: str) -> DataFrame:

@@ -288,6 +288,17 @@ def test_files_outside_the_manifest_do_not_count(spark, tmp_path):
     one = next((tmp_path / "f").glob("*.gz"))
     one.with_name("part-99999999-000000.warc.gz").write_bytes(one.read_bytes())
     assert warc.read_warc(spark, f"file://{tmp_path}/f").count() == 45
+    # a whole archive with another's content
+    first = sorted((tmp_path / "f").glob("part-0*.gz"))[0]
+    warc.write_warc(pages(spark).where("page_id < 20"), f"file://{tmp_path}/h")
+    other = sorted((tmp_path / "h").glob("part-0*.gz"))[0]
+    first.write_bytes(other.read_bytes())
+    (tmp_path / "f" / f".{first.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_warc(spark, f"file://{tmp_path}/f").collect()
+    unnamed = spark.createDataFrame([(None, "u", f"page {i} " * 40) for i in range(60)] + [(5, "u", "page 5 " * 40)], "page_id long, url string, html string")
+    warc.write_warc(unnamed, f"file://{tmp_path}/i")
+    assert warc.read_warc(spark, f"file://{tmp_path}/i").where("record_type = 'response'").count() == 61
     repeated = spark.createDataFrame([(1, "u", "y" * 200)] * 3 + [(None, "u", "y" * 200), (2, "u", "y" * 200)], "page_id long, url string, html string")
     warc.write_warc(repeated, f"file://{tmp_path}/g")
     assert sorted((r["page_id"] or -1, r["record_type"]) for r in warc.read_warc(spark, f"file://{tmp_path}/g").collect()) == [(-1, "response"), (1, "response"), (1, "response"), (1, "response"), (2, "revisit")]

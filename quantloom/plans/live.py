@@ -15,8 +15,13 @@ TOLERANCE = 0.25
 
 
 def target_book(weighted: DataFrame, day: str) -> DataFrame:
-    """(symbol, target_w) of the last bar at or before a date; empty where there is none."""
-    return as_of(weighted.select("dt", "asset", "target_w"), day).select(F.col("asset").alias("symbol"), "target_w")
+    """(symbol, target_w) of the last bar at or before a date. A date before all bars is an error when the book is read: an empty
+    book would close all that is held."""
+    found = as_of(weighted.select("dt", "asset", "target_w"), day).select(F.col("asset").alias("symbol"), "target_w")
+    early = F.assert_true(F.col("first") <= F.lit(day).cast("date"), F.lit(f"no bar at or before {day}"))
+    known = weighted.agg(F.min("dt").alias("first")).where(early.isNull())
+    # one row, and a row for each asset
+    return known.join(found, F.lit(True), "left").select("symbol", "target_w")
 
 
 def _union(target: DataFrame, positions: DataFrame, prices: DataFrame) -> DataFrame:

@@ -57,6 +57,8 @@ class Strategy:
             raise ConfigError("universe repeats a ticker")
         if self.cost_bps_per_side < 0 or any(x < 0 for x in self.cost_stress_levels):
             raise ConfigError("costs must not be negative")
+        if self.seed < 0:
+            raise ConfigError(f"seed must not be negative: {self.seed}")
         if not 0 < self.train_test_ratio < 1:
             raise ConfigError(f"train_test_ratio must be between 0 and 1: {self.train_test_ratio}")
         if not 0 <= self.cv_embargo < 1:
@@ -76,7 +78,7 @@ def _number(name: str, x) -> float:
 
 
 def _text(name: str, x) -> str:
-    if not isinstance(x, str) or not x:
+    if not isinstance(x, str) or not x.strip():
         raise ConfigError(f"{name} must be a text: {x!r}")
     return x
 
@@ -105,6 +107,8 @@ def from_mapping(values: Mapping) -> Strategy:
         raise ConfigError(f"unknown keys: {unknown}")
     if missing := sorted(names - {*values} - {"seed"}):
         raise ConfigError(f"missing keys: {missing}")
+    if not values["universe"]:
+        raise ConfigError("universe must not be empty")
     return Strategy(**{k: _READERS.get(k, _number)(k, v) for k, v in values.items()})
 
 
@@ -115,12 +119,18 @@ def load(path: str | Path) -> Strategy:
         raise ConfigError(f"no such file: {path}")
     text = path.read_text()
     if path.suffix == ".json":
-        return from_mapping(json.loads(text))
+        try:
+            return from_mapping(json.loads(text))
+        except json.JSONDecodeError as e:
+            raise ConfigError(f"{path} is no JSON: {e}") from e
     try:
         import yaml
     except ImportError as e:
         raise ConfigError("reading YAML takes the yaml package; JSON works without") from e
-    return from_mapping(yaml.safe_load(text))
+    try:
+        return from_mapping(yaml.safe_load(text))
+    except yaml.YAMLError as e:
+        raise ConfigError(f"{path} is no YAML: {e}") from e
 
 
 #: What makes two runs the same strategy.

@@ -179,3 +179,26 @@ def test_streams(spark, tmp_path):
     run_available(once_per_period(stream, "ts", "monthly"), f"{tmp_path}/c2", append_table(f"{tmp_path}/once"))
     assert spark.read.parquet(f"{tmp_path}/once").groupBy("period_key").count().where("count > 1").count() == 0
     assert spark.read.parquet(f"{tmp_path}/once").count() == 2
+
+
+def test_a_book_before_all_bars_is_an_error(spark):
+    from quantloom.plans.live import target_book
+
+    w = spark.sql("SELECT date '2020-01-02' AS dt, 'A' AS asset, 0.5D AS target_w")
+    assert [tuple(r) for r in target_book(w, "2020-01-02").collect()] == [("A", 0.5)]
+    for rows in (w, w.limit(0)):
+        with pytest.raises(Exception, match="no bar at or before"):
+            target_book(rows, "2020-01-01").collect()
+
+
+def test_configurations_name_a_universe_and_a_seed(tmp_path):
+    from dataclasses import asdict
+
+    good = {**asdict(Strategy(universe=("A",))), "universe": ["A"]}
+    assert from_mapping(good).universe == ("A",)
+    for bad in ({"universe": []}, {"universe": ["A", " "]}, {"seed": -1}):
+        with pytest.raises(ConfigError):
+            from_mapping({**good, **bad})
+    (tmp_path / "a.json").write_text("{")
+    with pytest.raises(ConfigError):
+        load(tmp_path / "a.json")

@@ -18,9 +18,11 @@ WORD_BYTES = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session without one (tests) gets a folder of its own."""
+    """The folder that driver and executors share. A local session without one (tests) gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

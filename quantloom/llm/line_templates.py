@@ -50,19 +50,25 @@ def needed(line: Column, min_docs: int) -> Column:
     return F.when(n_tokens(line) >= MIN_TOKENS, F.lit(min_docs).cast("long")).when(chars > 0, short)
 
 
+def of_row(doc_id: str, text: str) -> list[Column]:
+    """What tells rows apart: __id, and __of, a digest of the text (a longer one where the doc_id is null)."""
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return [F.col(doc_id).alias("__id"), F.when(F.col(doc_id).isNull(), digest).otherwise(F.substring(digest, 1, 8)).alias("__of")]
+
+
 def long_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """__id and __again: of the raw lines of LONG_CHARS or more, the keys of those that a smaller doc_id has, too."""
-    long = F.filter(F.array_distinct(F.split(F.col(text), "\n", -1)), lambda x: F.length(x) >= LONG_CHARS)
-    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.explode(long).alias("line")).select("__id", line_key(F.col("line")).alias("key"))
-    lines = saved(lines, "long-lines")
-    first = lines.groupBy("key").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").select("key", "first")
-    return lines.join(first, "key").where(F.col("__id") > F.col("first")).groupBy("__id").agg(F.collect_set("key").alias("__again"))
+    """__id, __of and at: the raw lines of LONG_CHARS or more that a row of smaller doc_id (null last, then by text) has, too."""
+    lines = docs.select(*of_row(doc_id, text), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line")).where(F.length("line") >= LONG_CHARS)
+    lines = saved(lines.select("__id", "__of", "at", line_key(F.col("line")).alias("key")), "long-lines")
+    row = F.struct(F.col("__id").isNull().alias("none"), "__id", "__of")
+    first = lines.groupBy("key").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first < last").select("key", "first")
+    return lines.join(first, "key").where(row > F.col("first")).select("__id", "__of", "at")
 
 
 def keyed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """__id, key and leaf of each document's different masked lines, empty ones left out, as a table in the shared folder."""
-    lines = docs.select(F.col(doc_id).alias("__id"), F.explode(F.array_distinct(masked_lines(F.col(text)))).alias("line")).where("line <> ''")
-    return saved(lines.select("__id", line_key(F.col("line")).alias("key"), leaf_of(F.col("line")).alias("leaf")), "lines")
+    """__id, __of, at (from 0), key and leaf of each row's masked lines, empty ones left out, as a table in the shared folder."""
+    lines = docs.select(*of_row(doc_id, text), F.posexplode(masked_lines(F.col(text))).alias("at", "line")).where("line <> ''")
+    return saved(lines.select("__id", "__of", "at", line_key(F.col("line")).alias("key"), leaf_of(F.col("line")).alias("leaf")), "lines")
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
@@ -114,27 +120,27 @@ def recurring_lines(docs: DataFrame, keyed: DataFrame, text: str = "text", min_d
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the text less its recurring lines, and n_lines and n_dropped.
 
-    Whether a recurring line goes depends on the line alone, so it goes from every document. Other long lines (LONG_CHARS) that
-    several documents have letter by letter stay in the smallest doc_id's. Null and empty texts have one
-    empty line and stay as they are; so do rows without a doc_id. Rows that share a doc_id are treated alike. Columns
+    Whether a recurring line goes depends on the line alone, so it goes from every row. Other long lines (LONG_CHARS) that
+    several rows have letter by letter stay in that of the smallest doc_id; rows without a doc_id come last, in order of a digest of
+    the text. Null and empty texts have one empty line and stay as they are. Rows that share doc_id and text are treated alike; rows that
+    share a doc_id alone, or have none, are rows of their own. A long text takes time in proportion to its lines. Columns
     named n_lines and n_dropped are replaced. An empty table gives no rows.
     """
     keyed = keyed_lines(docs, doc_id, text)
     gone = saved(recurring_lines(docs, keyed, text, min_docs).select("key"), "recurring")
-    lines = keyed.where("__id IS NOT NULL").select("__id", "key")
-    # a row for each document, of keys that its own lines have
-    of = lines.join(gone, "key").groupBy("__id").agg(F.collect_set("key").alias("__gone"))
-    none = F.array().cast("array<binary>")
-    of = of.join(long_repeats(docs, doc_id, text), "__id", "full").select("__id", F.coalesce("__gone", none).alias("__gone"), F.coalesce("__again", none).alias("__again"))
-    rows = docs.drop("n_lines", "n_dropped").join(of, docs[doc_id] == of["__id"], "left").drop("__id")
-    pair = F.arrays_zip(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("raw"), masked_lines(F.col(text)).alias("masked"))
-    repeated = lambda x: (F.size("__again") > 0) & (F.length(x) >= LONG_CHARS) & F.array_contains(F.col("__again"), line_key(x))
-    stays = F.filter(pair, lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_key(x["masked"])) | repeated(x["raw"]), F.lit(False)))
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda x: x["raw"]), "\n"))
-    total = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long")
-    dropped = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(total - F.size(stays))
-    out = rows.withColumns({"n_lines": total, "n_dropped": dropped, "__text": cleaned})
-    return out.withColumn(text, F.col("__text")).drop("__text", "__gone", "__again")
+    places = keyed.select("__id", "__of", "at", "key").join(gone, "key").select("__id", "__of", "at").unionByName(long_repeats(docs, doc_id, text))
+    # a row for each text, of places that it has
+    of = places.groupBy("__id", "__of").agg(F.collect_set("at").alias("__gone"))
+    rows = docs.drop("n_lines", "n_dropped").withColumn("__text_of", of_row(doc_id, text)[1])
+    rows = rows.join(of, F.col(doc_id).eqNullSafe(of["__id"]) & (F.col("__text_of") == of["__of"]), "left").drop("__id", "__of", "__text_of")
+    raw = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    stays = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.col("__gone"))
+    # an array of one row, so that the text is split once and not for each line
+    kept = F.transform(F.array(F.struct(raw.alias("raw"), stays.alias("stays"))), lambda x: F.transform(x["stays"], lambda i: F.get(x["raw"], i)))[0]
+    cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
+    out = rows.withColumns({"n_lines": F.size(raw).cast("long"), "n_dropped": dropped, "__text": cleaned})
+    return out.withColumn(text, F.col("__text")).drop("__text", "__gone")
 
 
 def op9_log_templates(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from quantloom.operators.risk import covariance, portfolio_variance, raw_weights
 from quantloom.operators.signal import momentum
 from quantloom.operators.splits import locked_split, out_of_sample, purged_folds, walk_forward, years_to_bars
 from quantloom.operators.stats import bootstrap_indices, bootstrap_means, deflated_sharpe_z, distinct_trials, hansen_spa, moments, white_reality_check
-from quantloom.plans import live, oracle, validate
+from quantloom.plans import live, oracle, report, validate
 from quantloom.plans.oracle import backtest, r, with_
 from quantloom.sources.config import Strategy
 
@@ -177,6 +177,14 @@ def drawdown_curve(spark, sf_dir):
     return out(drawdowns(tested(spark, sf_dir).bars), "dt", "bar", "below", **same("drawdown"))
 
 
+@query(
+    with_(W, WT, BT, oracle.returns_of(), select=f"""SELECT CAST(i.dt AS VARCHAR) AS dt, i.bar, {r('i.equity', 6)} AS equity, {r('i.dd * 100', 6)} AS drawdown_pct, {r('h.gross')} AS gross, {r('h.net')} AS net
+  FROM isl i JOIN (SELECT bar, sum(abs(w)) AS gross, sum(w) AS net FROM held GROUP BY bar) h ON h.bar = i.bar""", recursive=True)
+)
+def report_series(spark, sf_dir):
+    return out(report.run_series(tested(spark, sf_dir)), "dt", "bar", other={"equity": 6, "drawdown_pct": 6}, **same("equity", "drawdown_pct", "gross", "net"))
+
+
 METRICS = ("cagr", "annual_vol", "sharpe", "sortino", "profit_factor", "hit_rate", "max_drawdown", "calmar", "annual_turnover", "avg_exposure", "total_cost", "final_equity")
 _PERF = f"n_periods, max_drawdown_duration, {rs(*METRICS, digits=6)}"
 

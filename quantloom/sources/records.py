@@ -135,6 +135,19 @@ def line_chart_svg(points: Sequence[float], path: str | Path, title: str, width:
     return _write(Path(path), f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height + 20}"><text x="4" y="{height + 15}">{html.escape(title)} {lo:.4g} to {hi:.4g}</text><polyline fill="none" stroke="black" points="{line}"/></svg>\n')
 
 
+def bar_chart_svg(values: Mapping[str, float], path: str | Path, title: str, width: int = 800, height: int = 300) -> Path:
+    """One bar for each name, from the zero line up or down; unknown values have none."""
+    known = {k: v if v is not None and math.isfinite(v) else 0.0 for k, v in values.items()}
+    hi, lo = max([0.0, *known.values()]), min([0.0, *known.values()])
+    unit, step = height / ((hi - lo) or 1.0), width / max(1, len(known))
+    bars = "".join(
+        f'<rect x="{i * step:.1f}" y="{(hi - max(v, 0)) * unit:.1f}" width="{step * 0.8:.1f}" height="{abs(v) * unit:.1f}"><title>{html.escape(str(k))} {v:.4g}</title></rect>'
+        f'<text x="{i * step:.1f}" y="{height + 12}">{html.escape(str(k))}</text>'
+        for i, (k, v) in enumerate(known.items())
+    )
+    return _write(Path(path), f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height + 40}"><text x="4" y="{height + 35}">{html.escape(title)}</text>{bars}</svg>\n')
+
+
 def write_report(series: Mapping[str, Sequence[float]], metrics: Mapping, folder: str | Path, title: str) -> dict[str, Path]:
     """Metrics as CSV and HTML, and one chart per series; what was written, by name."""
     folder = Path(folder)

@@ -1,0 +1,41 @@
+import numpy as np
+import pytest
+from helpers import frame, walk
+from pyspark.sql import functions as F
+
+from quantloom.operators.backtest import run_backtest
+from quantloom.operators.panel import complete_grid
+from quantloom.plans.report import last_submitted, record_trials, recorded_trials, run_series, submit_targets, write_run_report
+
+
+def test_series_and_artefacts_of_a_run(spark, tmp_path):
+    grid = complete_grid(frame(spark, walk(40, 2, gaps=0.0)))
+    # half of the first asset, a quarter short of the second
+    run = run_backtest(grid.withColumn("target_w", F.when(F.col("asset") == "A", 0.5).otherwise(-0.25)), "daily", 2.0, 100.0)
+    got = run_series(run).orderBy("bar").toPandas()
+    assert np.allclose(got["gross"][1:], 0.75) and np.allclose(got["net"][1:], 0.25) and got["gross"][0] == 0
+    eq = got["equity"].to_numpy()
+    np.testing.assert_allclose(got["drawdown_pct"], (eq / np.maximum.accumulate(eq) - 1) * 100, atol=1e-12)
+    made = write_run_report(run, 252.0, tmp_path / "r", "run <1>")
+    assert set(made) == {"metrics_csv", "metrics_html", "equity", "drawdown_pct", "gross", "net", "contributions"}
+    assert all(p.exists() for p in made.values()) and made["contributions"].read_text().count("<rect") == 2
+    assert "run &lt;1&gt;" in made["metrics_html"].read_text() and "sharpe" in made["metrics_csv"].read_text()
+
+
+def test_a_period_keeps_its_last_targets(spark, tmp_path):
+    path = str(tmp_path / "submitted")
+    targets = lambda *rows: spark.createDataFrame(rows, "symbol string, target_w double")
+    submit_targets(targets(("A", 0.1), ("B", 0.2)), "2024-01-10", "monthly", path)
+    submit_targets(targets(("A", 0.3)), "2024-01-20", "monthly", path)
+    assert [tuple(r)[:2] for r in last_submitted(spark, path).collect()] == [("A", 0.3)]
+    submit_targets(targets(("C", 0.4)), "2024-02-01", "monthly", path)
+    assert [(r["symbol"], r["period_key"]) for r in last_submitted(spark, path).collect()] == [("C", "2024-02")]
+    assert spark.read.parquet(path).count() == 2
+
+
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_trials_are_counted_once(spark, tmp_path, repeats):
+    path = str(tmp_path / "trials")
+    for _ in range(repeats):
+        record_trials(spark.createDataFrame([("monthly", 60), ("weekly", 60)], "rebalance string, vol_window int"), path)
+    assert tuple(recorded_trials(spark, path).first()) == (2, 2 * repeats)

@@ -277,6 +277,13 @@ def test_a_text_of_many_recurring_lines_is_quick(spark):
     assert [r["n_dropped"] for r in got] == [17_000] * 4 and time.time() - began < 60
 
 
+def test_line_templates_keep_columns_of_clashing_names(spark):
+    rows = [(i, f"worker {i} finished job {i * 7} in {i} seconds flat\nown {'x' * i}", i, "k", "l", 0, "raw") for i in range(5)]
+    got = line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string, at long, key string, leaf string, n_lines int, raw string"))
+    assert got.columns == ["doc_id", "text", "at", "key", "leaf", "raw", "n_lines", "n_dropped"]
+    assert sorted((r["at"], r["key"], r["raw"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == [(i, "k", "raw", 2, 1) for i in range(5)]
+
+
 def test_rows_without_ids_or_with_one_id_are_rows_of_their_own(spark):
     said = [f"worker {i} finished job {i * 7} in {i} seconds flat" for i in range(6)]
     long = " ".join(f"{c * 3}on" for c in "abcdefghijklmnopqrstuvwxyz")

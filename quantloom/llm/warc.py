@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import saved, scratch
@@ -22,26 +22,75 @@ REVISIT_BYTES = 100
 RANGE_BYTES, ROLL_BYTES = 16 << 20, 8 << 20
 #: Tasks that key ranges are dealt to, in order: one for each range, up to so many, which then get several.
 MOST_TASKS = 50_000
-#: Rows without an id are cut by their digest into two to this power of cells, which come first.
-UNNAMED = 10
-#: Key cells that ranges are made of, by powers of two: at most so many are ever broadcast.
-CELLS, CELLS_ABOVE = 20, 10
+#: Key cells that ranges are made of, by powers of two: a level of them has at most so many. Rows of one id, or none, are cut by digest.
+CELLS, CELLS_ABOVE, PARTS = 20, 10, 10
 DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def key_ranges(pages: DataFrame) -> DataFrame:
-    """cell -> grp: page_id space cut into cells, cells put together in order up to RANGE_BYTES of payload.
+def _place(digest: Column, shift: int, below: int, parts: int) -> tuple[Column, Column]:
+    """cell and part of a page: its id without the last bits, and its digest modulo parts (rows without an id: 2 ** PARTS, in the cell below)."""
+    page_id = F.col("page_id").cast("long")
+    bits = F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
+    part = F.when(page_id.isNull(), bits % (1 << PARTS)).otherwise(bits % parts if parts > 1 else F.lit(0).cast("long"))
+    return F.coalesce(F.shiftright(page_id, shift), F.lit(below).cast("long")).alias("cell"), part.alias("part")
 
-    The number of cells is bounded, and the running sum over them is taken in two levels, so no task sees more
-    than 2 ** CELLS_ABOVE sums. The result depends on the pages alone, never on how they are partitioned.
+
+def _in_order(sums: DataFrame, parent: Column, above: Column) -> DataFrame:
+    """sums (cell, part, bytes, at: where its parent begins) with at: where the cell itself begins, in bytes of the whole.
+
+    The running sum is taken in two levels, so no task sees more than about 2 ** CELLS_ABOVE sums of a parent.
+    """
+    sums = sums.withColumns({"parent": parent, "above": above})
+    over = sums.groupBy("parent", "above").agg(F.sum("bytes").alias("sum"))
+    earlier = Window.partitionBy("parent").orderBy("above").rowsBetween(Window.unboundedPreceding, -1)
+    before = over.select("parent", "above", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+    inner = Window.partitionBy("parent", "above").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("at") + F.col("before") + F.coalesce(F.sum("bytes").over(inner), F.lit(0))
+    return sums.join(before, ["parent", "above"]).select("cell", "part", "bytes", at.alias("at"))
+
+
+def key_ranges(narrow: DataFrame) -> list[tuple[int, int, int, DataFrame]]:
+    """Levels (shift, below, parts, ranges) with ranges cell, part -> grp: page_id space cut into cells, put together in order up to RANGE_BYTES.
+
+    Cells over RANGE_BYTES (or a MOST_TASKS-th of all) are cut again in the next level, down to single ids and then by digest, so ids far from
+    all others don't widen the ranges of the rest. A level has at most 2 ** CELLS cells and parts, besides those of rows without an id. The
+    result depends on the pages alone, never on how they are partitioned.
     """
-    cells = pages.groupBy("cell").agg(F.sum(F.col("payload_bytes") + 512).alias("bytes")).withColumn("above", F.shiftright("cell", CELLS_ABOVE))
-    over = cells.groupBy("above").agg(F.sum("bytes").alias("bytes"))
-    before = over.select("above", F.coalesce(F.sum("bytes").over(Window.orderBy("above").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inner = Window.partitionBy("above").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("start") + F.coalesce(F.sum("bytes").over(inner), F.lit(0))
-    return cells.join(before, "above").select("cell", F.floor(at / RANGE_BYTES).cast("long").alias("grp"))
+    weight = F.col("payload_bytes") + 512
+    lo, hi, total = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum(weight)).first()
+    lo, hi, most = lo or 0, hi or 0, max(RANGE_BYTES, (total or 0) // MOST_TASKS)
+    shift, parts = max(1, (hi - lo).bit_length() - CELLS + 1), 1
+    below, levels = (lo >> shift) - 1, []
+    sums = narrow.groupBy(*_place(F.col("digest"), shift, below, 1)).agg(F.sum(weight).alias("bytes")).withColumn("at", F.lit(0).cast("long"))
+    parent, above = F.lit(0), F.shiftright("cell", CELLS_ABOVE)
+    while True:
+        level = saved(_in_order(sums, parent, above), "warc-ranges")
+        large = (F.col("bytes") > most) & (F.col("cell") != below) if parts == 1 else F.lit(False)
+        levels.append((shift, below, parts, level.where(~large).select("cell", "part", F.floor(F.col("at") / RANGE_BYTES).cast("long").alias("grp"))))
+        heavy = level.where(large).select(F.col("cell").alias("parent"), "at")
+        n = heavy.count()
+        if not n:
+            return levels
+        # at most MOST_TASKS cells are heavy
+        parents = F.broadcast(heavy)
+        inside = narrow.join(parents, F.shiftright(F.col("page_id").cast("long"), shift) == F.col("parent"))
+        cuts = max(1, ((1 << CELLS) // n).bit_length() - 1)
+        bits, parts = min(shift, cuts), 1 if shift else 1 << min(PARTS, cuts)
+        shift -= bits
+        sums = inside.groupBy(*_place(F.col("digest"), shift, below, parts)).agg(F.sum(weight).alias("bytes"), F.first("at").alias("at"))
+        parent, above = F.shiftright("cell", bits), F.shiftright("cell", min(bits, CELLS_ABOVE))
+
+
+def _ranged(rows: DataFrame, digest: Column, levels: list[tuple[int, int, int, DataFrame]]) -> DataFrame:
+    """rows with grp. Broadcasts have at most 2 ** CELLS + 2 ** PARTS rows of three numbers."""
+    rows = rows.withColumn("grp", F.lit(None).cast("long"))
+    for shift, below, parts, ranges in levels:
+        cell, part = _place(digest, shift, below, parts)
+        found = F.broadcast(ranges.select(F.col("cell").alias("__cell"), F.col("part").alias("__part"), F.col("grp").alias("__grp")))
+        rows = rows.join(found, (cell == F.col("__cell")) & (part == F.col("__part")), "left")
+        rows = rows.withColumn("grp", F.coalesce("grp", "__grp")).drop("__cell", "__part", "__grp")
+    return rows
 
 
 def _record(kind: str, page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to) -> bytes:
@@ -127,21 +176,16 @@ def write_warc(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) -> Dat
     where, path = fs.FileSystem.from_uri(root)
     where.create_dir(path, recursive=True)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    ids = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    lo, width = ids[0] or 0, ((ids[1] or 0) - (ids[0] or 0)) // (1 << CELLS) + 1
-    unnamed = -1 - F.conv(F.substring(F.sha2(body, 256), 1, 4), 16, 10).cast("long") % (1 << UNNAMED)
-    cell = F.when(F.col("page_id").isNull(), unnamed).otherwise(F.expr(f"cast((page_id - {lo}) div {width} as long)"))
-    narrow = saved(pages.select("page_id", cell.alias("cell"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("digest")), "warc-pages")
-    ranges = saved(key_ranges(narrow), "warc-ranges")
+    narrow = saved(pages.select("page_id", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("digest")), "warc-pages")
+    levels = key_ranges(narrow)
     large = narrow.where((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    again = narrow.where(F.col("payload_bytes") >= REVISIT_BYTES).join(first, "digest").where("page_id > refers_to").select("cell", "page_id", "digest", "refers_to").distinct()
-    tasks = min(MOST_TASKS, (ranges.agg(F.max("grp")).first()[0] or 0) + 1)
-    # at most 2 ** CELLS + 2 ** UNNAMED rows of two numbers
-    ranges = F.broadcast(ranges)
-    role = again.select("cell", "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "refers_to")
-    page = pages.select(cell.alias("cell"), "page_id", F.lit(1).alias("kind"), "url", body.alias("body"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    dealt = role.unionByName(page).join(ranges, "cell").drop("cell").repartitionByRange(tasks, "grp").sortWithinPartitions("grp", "page_id", "kind", "digest", F.sha2("body", 256), "url")
+    again = narrow.where(F.col("payload_bytes") >= REVISIT_BYTES).join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    tasks = min(MOST_TASKS, 1 + max(ranges.agg(F.max("grp")).first()[0] or 0 for *_, ranges in levels))
+    role = again.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "refers_to")
+    page = pages.select("page_id", F.lit(1).alias("kind"), "url", body.alias("body"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    both = _ranged(role, F.col("digest"), levels).unionByName(_ranged(page, F.sha2("body", 256), levels))
+    dealt = both.repartitionByRange(tasks, "grp").sortWithinPartitions("grp", "page_id", "kind", "digest", F.sha2("body", 256), "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shards, at, roles = _Shards(root, roll_bytes), None, {}

@@ -281,6 +281,21 @@ def test_the_same_pages_give_the_same_files(spark, tmp_path):
     assert files == [x[0] for x in a]
 
 
+def test_far_and_repeated_ids_leave_ranges_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 8192)
+    far = [(-(2**63), "u", "first " * 40), (2**63 - 1, "u", "last " * 40), (2**40, "u", "tiny")]
+    near = [(i, "u", f"<p>{i % 90} " * 50) for i in range(300)]
+    same = [(77, "u", f"<b>{i % 150} " * 50) for i in range(200)]
+    p = spark.createDataFrame(far + near + same, "page_id long, url string, html string").repartition(3)
+    manifest = warc.write_warc(p, f"file://{tmp_path}/a").toPandas().sort_values("grp")
+    back = warc.read_warc(spark, f"file://{tmp_path}/a")
+    assert cells(back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").toPandas().astype({"refers_to": "Int64"})) == cells(oracle(warc.OP7_SQL, pages=p.toPandas()))
+    assert manifest.n_records.sum() == 503 and manifest.groupby("grp").n_records.sum().max() < 40
+    assert all(a <= b for a, b in zip(manifest.last_page, manifest.first_page[1:]))
+    again = warc.write_warc(p.repartition(7), f"file://{tmp_path}/b").toPandas()
+    assert sorted(again.sha256) == sorted(manifest.sha256)
+
+
 def test_files_outside_the_manifest_do_not_count(spark, tmp_path):
     warc.write_warc(pages(spark).limit(0), f"file://{tmp_path}/e")
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0

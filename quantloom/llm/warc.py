@@ -23,7 +23,7 @@ RANGE_BYTES, ROLL_BYTES = 16 << 20, 8 << 20
 #: Tasks that key ranges are dealt to, in order: one for each range, up to so many, which then get several.
 MOST_TASKS = 50_000
 #: Key cells that ranges are made of, by powers of two: a level of them has at most so many. Rows of one id, or none, are cut by digest.
-CELLS, CELLS_ABOVE, PARTS = 20, 10, 10
+CELLS, CELLS_ABOVE, PARTS = 16, 8, 10
 DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 

@@ -24,6 +24,7 @@ RANGE_BYTES, ROLL_BYTES = 16 << 20, 8 << 20
 MOST_TASKS = 50_000
 #: Key cells that ranges are made of, by powers of two: a level of them has at most so many. Rows of one id, or none, are cut by digest.
 CELLS, CELLS_ABOVE, PARTS = 16, 8, 10
+CELLS_A_RANGE = 64
 DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -60,7 +61,9 @@ def key_ranges(narrow: DataFrame) -> list[tuple[int, int, int, DataFrame]]:
     weight = F.col("payload_bytes") + 512
     lo, hi, total = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum(weight)).first()
     lo, hi, most = lo or 0, hi or 0, max(RANGE_BYTES, (total or 0) // MOST_TASKS)
-    shift, parts = max(1, (hi - lo).bit_length() - CELLS + 1), 1
+    # about CELLS_A_RANGE cells for a range, where ids lie close
+    cells = min(CELLS, (CELLS_A_RANGE * (total or 0) // RANGE_BYTES).bit_length() + 1)
+    shift, parts = max(1, (hi - lo).bit_length() - cells + 1), 1
     below, levels = (lo >> shift) - 1, []
     sums = narrow.groupBy(*_place(F.col("digest"), shift, below, 1)).agg(F.sum(weight).alias("bytes")).withColumn("at", F.lit(0).cast("long"))
     parent, above = F.lit(0), F.shiftright("cell", CELLS_ABOVE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import chat, decontaminate, exact_dedup, licenses, line_templates, mixing, near_dedup, pii, quality, warc
+from quantloom.llm import chat, conv_trie, decontaminate, exact_dedup, licenses, line_templates, mixing, near_dedup, pii, quality, warc
 
 QUERIES = {
     "op1_weak_pii": pii.op1_weak_pii,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_line_crf": quality.op8_line_crf,
     "op9_log_templates": line_templates.op9_log_templates,
     "op10_chat_roles": chat.op10_chat_roles,
+    "op13_prefix_trie": conv_trie.op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_warc_round_trip": warc.OP7_SQL,
+    "op13_prefix_trie": conv_trie.OP13_SQL,
 }

@@ -53,9 +53,12 @@ def slices(texts: Sequence[bytes | None], limit: int = SLICE_BYTES) -> Iterator[
         yield first, run
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of all texts: the text's index, a 64-bit hash, start and end byte in the texts joined by a newline."""
-    a = np.frombuffer(b"\n".join(texts).translate(WORD_BYTES), np.uint8)
+def words(texts: list[bytes], table: bytes = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of all texts: the text's index, a 64-bit hash, start and end byte in the texts joined by a newline.
+
+    ``table`` makes bytes of words alike and those between words (the newline, too) spaces.
+    """
+    a = np.frombuffer(b"\n".join(texts).translate(table), np.uint8)
     inside = np.zeros(len(a) + 2, np.int8)
     inside[1:-1] = a != 0x20
     edge = np.diff(inside)

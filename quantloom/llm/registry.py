@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import chat, conv_trie, decontaminate, exact_dedup, licenses, line_templates, mixing, near_dedup, pii, quality, spelling, warc
+from quantloom.llm import chat, conv_trie, decontaminate, exact_dedup, licenses, line_templates, mixing, near_dedup, pii, pitman_yor, quality, spelling, warc
 
 QUERIES = {
     "op1_weak_pii": pii.op1_weak_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_crf": quality.op8_line_crf,
     "op9_log_templates": line_templates.op9_log_templates,
     "op10_chat_roles": chat.op10_chat_roles,
+    "op11_pitman_yor": pitman_yor.op11_pitman_yor,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_prefix_trie": conv_trie.op13_prefix_trie,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalar import impact_cost, linear_cost, period_key, request_key
+from quantloom.operators.asof import asof_join
 from quantloom.operators.backtest import rebalances, run_backtest
 from quantloom.operators.metrics import attribution, drawdowns, equity_returns, performance
 from quantloom.operators.panel import after, complete_grid, exposures, last_months, last_prices, trim_trailing_gaps, usability, with_returns
@@ -312,6 +313,19 @@ def asof_book(spark, sf_dir):
     return out(live.target_book(weighted(spark, sf_dir), ASOF), "symbol", **same("target_w"))
 
 
+_ORDERS = f"od AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, list_extract({list(ASSETS)}, CAST(o_custkey % {len(ASSETS)} AS INTEGER) + 1) AS asset FROM orders)"
+
+
+@query(with_(W, WT, _ORDERS, select=f"SELECT o.o_orderkey, CAST(o.day AS VARCHAR) AS day, o.asset, CAST(w.dt AS VARCHAR) AS dt, w.bar, {r('w.target_w')} AS target_w FROM od o ASOF LEFT JOIN wt w ON w.asset = o.asset AND w.dt <= o.day"))
+def asof_join_orders(spark, sf_dir):
+    """The weight that each order's asset had on the order's date: the last one at or before it."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    asset = F.element_at(F.array(*map(F.lit, ASSETS)), (F.col("o_custkey") % len(ASSETS) + 1).cast("int"))
+    asked = orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"), asset.alias("asset"))
+    found = asof_join(asked, weighted(spark, sf_dir).select("asset", "dt", "bar", "target_w"), "day", "dt", ["asset"])
+    return out(found, "o_orderkey", "day", "asset", "dt", "bar", **same("target_w"))
+
+
 @query(with_(D, select=f"SELECT asset, px FROM (SELECT asset, arg_max(px, bar) FILTER (px IS NOT NULL) AS px FROM grid GROUP BY asset)"), "last_prices")
 def last_known(spark, sf_dir):
     return out(last_prices(grid(spark, sf_dir, False)), "asset", "px")

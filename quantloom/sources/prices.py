@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.scalar import not_nan
 from quantloom.operators.panel import complete_grid, usability
 from quantloom.sources.config import Strategy
+from quantloom.sources.wide import price_columns
 
 log = logging.getLogger(__name__)
 SCHEMA = "dt date, asset string, px double"
@@ -70,11 +71,15 @@ class SyntheticSource:
         return rows.groupBy("asset").applyInPandas(walk, SCHEMA)
 
 
-def long_prices(wide: DataFrame, tickers: Sequence[str], end: str, dt: str = "dt") -> DataFrame:
-    """A wide payload (one column per ticker) as prices: asked tickers only, no rows after end, NaN as null."""
-    there = [t for t in tickers if t in wide.columns]
-    w = wide.select(F.to_date(dt).alias("dt"), *(F.col(f"`{t}`").cast("double").alias(t) for t in there))
-    rows = w.unpivot(["dt"], there, "asset", "px") if there else w.select("dt", F.lit(None).cast("string").alias("asset"), F.lit(None).cast("double").alias("px")).limit(0)
+def long_prices(wide: DataFrame, tickers: Sequence[str], end: str, dt: str = "dt", field: str = "Close") -> DataFrame:
+    """A wide payload as prices: asked tickers only, no rows after end, NaN as null.
+
+    It has one column per ticker, or two levels of columns (a field and a ticker, in either order), named by pairs.
+    """
+    at = price_columns(wide.columns, field)
+    there = {t: wide.columns[at[t]] for t in tickers if t in at and wide.columns[at[t]] != dt}
+    w = wide.select(F.to_date(dt).alias("dt"), *(F.col(f"`{c}`").cast("double").alias(t) for t, c in there.items()))
+    rows = w.unpivot(["dt"], [F.col(f"`{t}`") for t in there], "asset", "px") if there else w.select("dt", F.lit(None).cast("string").alias("asset"), F.lit(None).cast("double").alias("px")).limit(0)
     return rows.where(F.col("dt") <= F.lit(end).cast("date")).select("dt", "asset", not_nan(F.col("px")).alias("px"))
 
 

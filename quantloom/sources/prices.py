@@ -5,8 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
-import os
-import shutil
 import uuid
 from collections.abc import Callable, Sequence
 from datetime import date
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.scalar import not_nan
 from quantloom.operators.panel import complete_grid, usability
 from quantloom.sources.config import Strategy
+from quantloom.sources.store import Conflict, Store, as_json
 from quantloom.sources.wide import price_columns
 
 log = logging.getLogger(__name__)
@@ -88,36 +87,60 @@ def cache_key(tickers: Sequence[str], start: str, end: str) -> str:
     return hashlib.sha256("|".join([",".join(sorted(tickers)), start, end]).encode()).hexdigest()[:16]
 
 
+def table_digest(rows: DataFrame) -> str:
+    """A digest of a table's rows in any order, from one pass."""
+    h = F.xxhash64("dt", "asset", "px").cast("decimal(38,0)")
+    n, total = rows.agg(F.count("*"), F.sum(h)).first()
+    return f"{n}:{total or 0}"
+
+
 class CachedSource:
-    """A source behind a folder of Parquet tables. Only answers with rows are kept; a broken table counts as missing."""
+    """A source behind a folder of Parquet tables on any file system that Spark reads. Only answers with rows are kept; a broken table counts as missing.
+
+    A request's table is written under a new name, and then a small document is put that names it and its digest: readers follow that document, so
+    that they see a whole table, the one before or the new one, while another one is written. Of two writers at the same time one drops its table.
+    """
 
     def __init__(self, spark: SparkSession, source: PriceSource, folder: str):
         self.spark, self.source, self.folder = spark, source, folder
 
     def _read(self, path: str) -> DataFrame | None:
         try:
-            df = self.spark.read.parquet(path).select("dt", "asset", "px")
-            df.limit(1).count()  # Spark reads late
+            _, text = Store(self.spark, path).latest("current")
+            if text is None:
+                return None
+            known = json.loads(text)
+            df = self.spark.read.schema(SCHEMA).parquet(f"{path}/{known['table']}")
+            if table_digest(df) != known["digest"]:
+                raise ValueError("its digest differs")
             return df
-        except (PySparkException, Py4JJavaError) as e:
-            log.info("no cached prices at %s: %s", path, type(e).__name__)
+        except (PySparkException, Py4JJavaError, ValueError, KeyError) as e:
+            log.warning("no cached prices at %s: %s", path, type(e).__name__)
             return None
 
+    def _keep(self, path: str, found: DataFrame) -> DataFrame:
+        table = f"data-{uuid.uuid4().hex}"
+        found.select("dt", "asset", "px").write.parquet(f"{path}/{table}")
+        kept = self.spark.read.schema(SCHEMA).parquet(f"{path}/{table}")
+        store = Store(self.spark, path)
+        try:
+            store.put("current", as_json({"table": table, "digest": table_digest(kept)}), store.latest("current")[0])
+        except Conflict:
+            store.delete(table)
+            return self._read(path) or found
+        return kept
+
     def prices(self, tickers: Sequence[str], start: str, end: str) -> DataFrame:
-        path = os.path.join(self.folder, f"prices-{cache_key(tickers, start, end)}")
+        path = f"{self.folder.rstrip('/')}/prices-{cache_key(tickers, start, end)}"
         found = self._read(path)
         if found is None:
             found = self.source.prices(tickers, start, end)
             if found.isEmpty():
                 return found
-            temporary = f"{path}.{uuid.uuid4().hex}.tmp"
             try:
-                found.write.parquet(temporary)
-                os.replace(temporary, path)
-                found = self._read(path) or found
-            except (OSError, PySparkException, Py4JJavaError) as e:
+                found = self._keep(path, found)
+            except (PySparkException, Py4JJavaError) as e:
                 log.warning("prices were not cached: %s", e)
-                shutil.rmtree(temporary, ignore_errors=True)
         return found.where(F.col("asset").isin(list(tickers)))
 
 

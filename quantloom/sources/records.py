@@ -15,6 +15,7 @@ from pathlib import Path
 from typing import Protocol, runtime_checkable
 
 from quantloom.sources.config import Strategy, config_hash, fingerprint
+from quantloom.sources.store import Store, as_json
 
 
 def plain(x):
@@ -59,13 +60,17 @@ class Decision:
             raise ValueError(f"n_trials_spent must be at least 1: {self.n_trials_spent}")
 
 
-def load_decision(path: str | Path) -> Decision:
-    got = json.loads(Path(path).read_text())
+def decision_from(text: str, path) -> Decision:
+    got = json.loads(text)
     if not isinstance(got, dict) or (missing := {"config_fingerprint", "config_hash", "decision_date", "n_trials_spent"} - {*got}):
         raise ValueError(f"no decision record: {path}" + (f" lacks {sorted(missing)}" if isinstance(got, dict) else ""))
     return Decision(**{k: got[k] for k in Decision.__dataclass_fields__ if k in got})
 
 
+def load_decision(path: str | Path) -> Decision:
+    return decision_from(Path(path).read_text(), path)
+
+
 def freeze_decision(cfg: Strategy, path: str | Path, decision_date: str, n_trials: int, notes: str = "", overwrite: bool = False) -> Decision:
     """Write a decision; one of another strategy is only replaced with ``overwrite``."""
     path = Path(path)
@@ -106,6 +111,60 @@ def has_run(folder: str | Path, asof: str) -> bool:
     return (Path(folder) / f"live_state_{asof}.json").exists()
 
 
+class SharedRecords:
+    """Decisions and run states in a store that all drivers share. Every change is a version of its own; of two writers at once one fails."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def decision(self, name: str = "decision") -> Decision | None:
+        """The decision in force, or None."""
+        _, text = self.store.latest(name)
+        return decision_from(text, self.store.uri(name)) if text is not None else None
+
+    def freeze(self, cfg: Strategy, decision_date: str, n_trials: int, notes: str = "", overwrite: bool = False, name: str = "decision") -> Decision:
+        """Write a decision; one of another strategy is only replaced with ``overwrite``. ``Conflict`` (a FileExistsError) if another writer was first."""
+        version, text = self.store.latest(name)
+        if text is not None and not overwrite and decision_from(text, self.store.uri(name)).config_hash != config_hash(cfg):
+            raise FileExistsError(f"{self.store.uri(name)} holds another strategy")
+        made = Decision(fingerprint(cfg), config_hash(cfg), decision_date, n_trials, notes=notes)
+        self.store.put(name, as_json(plain(made)), version)
+        return made
+
+    def save_state(self, state: Mapping) -> None:
+        """A run's state as the last version of its date's record, and of the latest. A later date than ``state``'s stays the latest."""
+        if not state.get("asof"):
+            raise ValueError("a state needs asof")
+        mine = plain(state)
+        self.store.update(f"states/{mine['asof']}", lambda _: as_json(mine))
+
+        def later(text: str | None) -> str:
+            known = _object(text)
+            return text if known and str(known.get("asof", "")) > str(mine["asof"]) else as_json(mine)
+
+        self.store.update("latest", later)
+
+    def last_state(self) -> dict | None:
+        """The latest state, else that of the last date that can be read, else None."""
+        if (found := _object(self.store.latest("latest")[1])) is not None:
+            return found
+        return next((x for d in reversed(self.store.names("states")) if (x := self.state(d)) is not None), None)
+
+    def state(self, asof: str) -> dict | None:
+        return _object(self.store.latest(f"states/{asof}")[1])
+
+    def has_run(self, asof: str) -> bool:
+        return bool(self.store.versions(f"states/{asof}"))
+
+
+def _object(text: str | None) -> dict | None:
+    try:
+        got = json.loads(text) if text else None
+    except ValueError:
+        return None
+    return got if isinstance(got, dict) else None
+
+
 def scalars(metrics: Mapping) -> dict:
     """Metrics without nested values."""
     return {k: v for k, v in metrics.items() if not isinstance(v, (Mapping, list, tuple, set))}

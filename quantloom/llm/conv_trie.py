@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import saved
+from quantloom.llm.common import saved, scratch
 from quantloom.llm.mixing import token_count
 
 #: Turn columns of the first, second and all further blocks.
@@ -57,36 +57,52 @@ def _blocks(longest: int, widths: Sequence[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _path(width: int, until: Column | None = None) -> Column:
-    """A digest of the turn columns (those up to ``until``). Keys are of one length and gaps are at the end, so that it tells all paths apart."""
-    cols = [F.col(f"t{j}") if until is None else F.when(until >= j, F.col(f"t{j}")) for j in range(1, width + 1)]
-    return F.unhex(F.sha2(F.concat(*(F.coalesce(c, F.lit(b"")) for c in cols)), 256))
+def _whole(width: int) -> Column:
+    """All turn columns in one; keys are of one length and gaps are at the end, so that it tells all paths apart."""
+    return F.concat(*(F.coalesce(F.col(f"t{j}"), F.lit(b"")) for j in range(1, width + 1)))
+
+
+def _digest(path: Column) -> Column:
+    return F.unhex(F.sha2(path, 256))
+
+
+def _at(name: str, width: int) -> Column:
+    """Of the columns t1... or k1... the d-th, null for none."""
+    return F.get(F.array(*(F.col(f"{name}{j}") for j in range(1, width + 1))), F.col("d") - 1)
 
 
 def _rolled(rows: DataFrame, width: int, *aggs: Column) -> DataFrame:
     """ROLLUP over base and the turn columns; d, the number of turns of a prefix, from grouping_id. Groups that end in a gap are none."""
     names = [f"t{j}" for j in range(1, width + 1)]
-    found = rows.rollup("base", *names).agg(F.grouping_id().alias("gid"), *aggs)
-    d = width - F.bit_count("gid")
-    whole = F.coalesce(*(F.when(d == j, F.col(f"t{j}").isNotNull()) for j in range(1, width + 1)), d == 0)
-    return found.withColumn("d", d).where(whole & (d >= 0)).drop("gid")
+    found = rows.rollup("base", *names).agg(F.grouping_id().alias("gid"), *aggs).withColumn("d", width - F.bit_count("gid")).drop("gid")
+    return found.where((F.col("d") == 0) | (F.col("d") > 0) & _at("t", width).isNotNull())
 
 
 def _nodes(wide: DataFrame, width: int) -> DataFrame:
     """The block's nodes: base, t1..., d, path, parent (its path), conv_id, n_convs and the tokens of the last turn."""
     tokens = [F.max(f"k{j}").alias(f"k{j}") for j in range(1, width + 1)]
-    found = _rolled(wide, width, F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), *tokens)
-    last = F.coalesce(*(F.when(F.col("d") == j, F.col(f"k{j}")) for j in range(1, width + 1)), F.lit(0).cast("long"))
-    found = found.withColumns({"path": _path(width), "parent": _path(width, F.col("d") - 1), "tokens": last})
-    return found.drop(*(f"k{j}" for j in range(1, width + 1)))
+    found = _rolled(wide, width, F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), *tokens).withColumn("whole", _whole(width))
+    above = F.substring("whole", F.lit(1), F.octet_length("t1") * (F.col("d") - 1))
+    found = found.withColumns({"path": _digest(F.col("whole")), "parent": _digest(above), "tokens": F.coalesce(_at("k", width), F.lit(0).cast("long"))})
+    return found.drop("whole", *(f"k{j}" for j in range(1, width + 1)))
 
 
-def _wide(turns: DataFrame, before: int, width: int) -> DataFrame:
+def _wide(turns: DataFrame, block: int, width: int) -> DataFrame:
     """One row for each conversation with a turn of the block: t1... (keys) and k1... (tokens)."""
-    part = turns.where((F.col("pos") > before) & (F.col("pos") <= before + width))
-    pick = lambda j, c: F.max(F.when(F.col("pos") == before + j, F.col(c)))
+    pick = lambda j, c: F.max(F.when(F.col("at") == j, F.col(c)))
     each = range(1, width + 1)
-    return part.groupBy("conv_id").agg(*(pick(j, "key").alias(f"t{j}") for j in each), *(pick(j, "tokens").alias(f"k{j}") for j in each))
+    return turns.where(F.col("block") == block).groupBy("conv_id").agg(*(pick(j, "key").alias(f"t{j}") for j in each), *(pick(j, "tokens").alias(f"k{j}") for j in each))
+
+
+def _blocked(turns: DataFrame, blocks: list[tuple[int, int]], widths: Sequence[int]) -> DataFrame:
+    """turns with block (its number) and at (the place in it, from 1)."""
+    steady = len(widths) - 1
+    first, width = (blocks[steady][0], widths[-1]) if len(blocks) > steady else (1 << 60, 1)
+    block, before = F.floor((F.col("pos") - 1 - first) / width) + steady, first + F.floor((F.col("pos") - 1 - first) / width) * width
+    for i in reversed(range(min(steady, len(blocks)))):
+        end = blocks[i][0] + blocks[i][1]
+        block, before = F.when(F.col("pos") <= end, i).otherwise(block), F.when(F.col("pos") <= end, blocks[i][0]).otherwise(before)
+    return turns.withColumns({"block": block.cast("int"), "at": (F.col("pos") - before).cast("int")})
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,21 +161,24 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, widths: Sequence[int] = WIDT
     """
     turns = saved(turns, "trie-turns")
     longest = turns.agg(F.max("pos")).first()[0] or 0
-    at = convs.select("conv_id", F.lit(0).cast("long").alias("base"))
-    blocks, nodes, ends = _blocks(longest, widths), [], []
+    blocks = _blocks(longest, widths)
+    turns = saved(_blocked(turns, blocks, widths).repartition("block"), "trie-blocks") if len(blocks) > 1 else _blocked(turns, blocks, widths)
+    spark = turns.sparkSession
+    found, ended = scratch(spark, "trie-found"), scratch(spark, "trie-ended")
+    at, nodes = convs.select("conv_id", F.lit(0).cast("long").alias("base")), []
     for i, (before, width) in enumerate(blocks):
-        wide = saved(at.join(_wide(turns, before, width), "conv_id", "inner" if i else "left").withColumn("path", _path(width)), "trie-wide")
+        wide = saved(at.join(_wide(turns, i, width), "conv_id", "inner" if i else "left").withColumn("path", _digest(_whole(width))), "trie-wide")
         nodes.append(saved(_nodes(wide, width).where(F.lit(True) if not i else F.col("d") > 0), "trie-nodes"))
         # the last node of each conversation in this block
         left = wide.select("conv_id", "base", "path").join(nodes[i].select("base", "path", "d", F.col("conv_id").alias("node")), ["base", "path"])
-        left = saved(left.select("conv_id", "node", (F.col("d") + before).alias("depth")), "trie-ends")
+        left = left.select("conv_id", "node", (F.col("d") + before).alias("depth"))
         if i + 1 < len(blocks):
-            on = turns.where(F.col("pos") == before + width + 1).select("conv_id")
-            full = left.where(F.col("depth") == before + width)
-            at = saved(full.join(on, "conv_id", "left_semi").select("conv_id", F.col("node").alias("base")), "trie-next")
-            left = left.join(at.select("conv_id"), "conv_id", "left_anti")
-        ends.append(left)
-    out, below = [], None
+            on = turns.where((F.col("block") == i + 1) & (F.col("at") == 1)).select("conv_id", F.lit(True).alias("on"))
+            left = saved(left.join(on, "conv_id", "left"), "trie-left")
+            at = left.where("on").select("conv_id", F.col("node").alias("base"))
+            left = left.where("on IS NULL").drop("on")
+        left.write.mode("append").parquet(ended)
+    below = None
     for i in reversed(range(len(blocks))):
         before, width = blocks[i]
         mine = nodes[i]
@@ -172,20 +191,15 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, widths: Sequence[int] = WIDT
         mine = mine.withColumn("n_children", F.coalesce("__inner", "__outer", F.lit(0)).cast("long"))
         mine = saved(mine.withColumns({"__leaves": F.coalesce("__leaves", F.lit(0)) + (F.col("n_children") == 0).cast("long"), "__saved": F.coalesce("__saved", F.lit(0)) + (F.col("n_convs") - 1) * F.col("tokens")}), "trie-counted")
         sums = _rolled(mine.drop("d"), width, F.sum("__leaves").alias("n_leaves"), F.sum("__saved").alias("saved_tokens"))
-        sums = saved(sums.withColumn("path", _path(width)).select("base", "path", "d", "n_leaves", "saved_tokens"), "trie-sums")
+        sums = saved(sums.withColumn("path", _digest(_whole(width))).select("base", "path", "d", "n_leaves", "saved_tokens"), "trie-sums")
         parents = mine.select("base", F.col("path").alias("parent"), F.col("conv_id").alias("__up"))
         whole = mine.join(sums.drop("d"), ["base", "path"]).join(parents, ["base", "parent"], "left")
         up = F.when(F.col("d") > 1, F.col("__up")) if i else F.when(F.col("d") > 0, F.col("__up"))
         up = F.coalesce(up, F.col("base")) if i else up
-        out.append(whole.select("conv_id", (F.col("d") + before).cast("long").alias("depth"), up.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens"))
+        whole.select("conv_id", (F.col("d") + before).cast("long").alias("depth"), up.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens").write.mode("append").parquet(found)
         below = sums.where("d = 0").select("base", F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved")).join(mine.where("d = 1").groupBy("base").agg(F.count("*").alias("children")), "base")
-    all_nodes, all_ends = out[0], ends[0]
-    for x in out[1:]:
-        all_nodes = all_nodes.unionByName(x)
-    for x in ends[1:]:
-        all_ends = all_ends.unionByName(x)
-    digests = ends_digest(all_ends).withColumnRenamed("node", "conv_id")
-    return all_nodes.join(digests, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+    digests = ends_digest(spark.read.parquet(ended)).withColumnRenamed("node", "conv_id")
+    return spark.read.parquet(found).join(digests, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
 
 
 def op13_prefix_trie(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalar import not_nan, simple_return
+from quantloom.operators.guards import one_of_each
 
 
 def in_time(by: Sequence[str] = (), asset: bool = True) -> WindowSpec:
@@ -28,14 +29,15 @@ def calendar(prices: DataFrame) -> DataFrame:
 
 
 def complete_grid(prices: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """One row for each date and asset, px null where there is no price; (dt, asset) must be unique in prices.
+    """One row for each date and asset, px null where there is no price. A (dt, asset) that prices have twice ends the query with the number of its rows.
 
     Offsets of bars mean rows only once every asset has all bars. ``assets`` (a column asset) sets the assets, also such
     without prices.
     """
     named = prices.select("asset").where("asset IS NOT NULL").distinct() if assets is None else assets.select("asset").distinct()
     grid = calendar(prices).crossJoin(named)
-    return grid.join(prices.select("dt", "asset", not_nan(F.col("px")).alias("px")), ["dt", "asset"], "left").select("dt", "bar", "asset", "px")
+    cells = one_of_each(prices.where("dt IS NOT NULL AND asset IS NOT NULL").select("dt", "asset", not_nan(F.col("px")).alias("px")), ["dt", "asset"], "px")
+    return grid.join(cells, ["dt", "asset"], "left").select("dt", "bar", "asset", "px")
 
 
 def with_returns(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:

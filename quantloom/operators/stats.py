@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalar import EULER_GAMMA, normal_cdf, normal_ppf, not_nan, sample_kurtosis, sample_skew
+from quantloom.functions.scalar import EULER_GAMMA, normal_cdf_of, normal_ppf, normal_ppf_of, not_nan, sample_kurtosis, sample_skew
 
 INF = float("inf")
 
@@ -37,25 +36,28 @@ def moments(rows: DataFrame, r: str = "r", by: Sequence[str] = ()) -> DataFrame:
     return g.select(*by, "n", "mean", "sd", sample_skew(F.col("g1"), n).alias("skew"), (sample_kurtosis(F.col("g2"), n) + 3).alias("kurtosis"))
 
 
-def deflated_sharpe_z(rows: DataFrame, n_trials: int, r: str = "r", by: Sequence[str] = (), var_trials: float | None = None) -> DataFrame:
-    """Per run: sharpe per bar, the hurdle sr0 and z, whose normal probability is the deflated Sharpe ratio."""
+def expected_max_factor_of(n_trials: Column) -> Column:
+    """The same for a number of trials in each row; null where it is below 1."""
+    n = n_trials.cast("double")
+    several = (1 - EULER_GAMMA) * normal_ppf_of(1 - 1 / n) + EULER_GAMMA * normal_ppf_of(1 - 1 / (n * math.e))
+    return F.when(n == 1, 0.0).when(n > 1, several)
+
+
+def deflated_sharpe_z(rows: DataFrame, n_trials: int | Column, r: str = "r", by: Sequence[str] = (), var_trials: float | None = None) -> DataFrame:
+    """Per run: sharpe per bar, the hurdle sr0 and z, whose normal probability is the deflated Sharpe ratio. A column of trials is one of ``by``."""
     m = moments(rows, r, by).withColumn("sharpe", F.when(F.col("n") >= 2, F.try_divide(F.col("mean"), F.when(F.col("sd") > 1e-14, F.col("sd")))))
     sr = F.col("sharpe")
     term = 1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr
     m = m.withColumn("__term", F.when(term > 0, term))
     spread = F.lit(float(var_trials)) if var_trials is not None else F.try_divide(F.col("__term"), F.col("n") - 1)
-    m = m.withColumn("sr0", F.sqrt(spread) * expected_max_factor(n_trials))
+    factor = expected_max_factor_of(n_trials) if isinstance(n_trials, Column) else F.lit(expected_max_factor(n_trials))
+    m = m.withColumn("sr0", F.sqrt(spread) * factor)
     return m.withColumn("z", F.try_divide((sr - F.col("sr0")) * F.sqrt((F.col("n") - 1).cast("double")), F.sqrt("__term"))).drop("__term")
 
 
-def deflated_sharpe(rows: DataFrame, n_trials: int, r: str = "r", by: Sequence[str] = (), var_trials: float | None = None) -> DataFrame:
-    """The same with dsr, the probability itself (Spark has no normal distribution function)."""
-
-    @F.pandas_udf("double")
-    def cdf(z: pd.Series) -> pd.Series:
-        return z.map(normal_cdf)
-
-    return deflated_sharpe_z(rows, n_trials, r, by, var_trials).withColumn("dsr", F.when(F.col("z").isNotNull(), cdf("z")))
+def deflated_sharpe(rows: DataFrame, n_trials: int | Column, r: str = "r", by: Sequence[str] = (), var_trials: float | None = None) -> DataFrame:
+    """The same with dsr, the probability itself."""
+    return deflated_sharpe_z(rows, n_trials, r, by, var_trials).withColumn("dsr", normal_cdf_of(F.col("z")))
 
 
 def _draw(kind: str, seed: int) -> Column:

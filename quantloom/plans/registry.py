@@ -17,7 +17,7 @@ from quantloom.operators.panel import after, complete_grid, exposures, last_mont
 from quantloom.operators.risk import covariance, portfolio_variance, raw_weights, with_volatility
 from quantloom.operators.signal import momentum
 from quantloom.operators.splits import locked_split, out_of_sample, purged_folds, walk_forward, years_to_bars
-from quantloom.operators.stats import bootstrap_indices, bootstrap_means, deflated_sharpe_z, distinct_trials, hansen_spa, moments, white_reality_check
+from quantloom.operators.stats import bootstrap_indices, bootstrap_means, deflated_sharpe, deflated_sharpe_z, distinct_trials, expected_max_factor_of, hansen_spa, moments, white_reality_check
 from quantloom.plans import live, oracle, report, validate
 from quantloom.plans.oracle import backtest, r, with_
 from quantloom.sources.config import Strategy
@@ -284,10 +284,10 @@ _Z = """z AS (SELECT *, (sharpe - sr0) * sqrt(n - 1) / sqrt(term) AS z FROM (SEL
   SELECT asset, n, mean / sd AS sharpe, CASE WHEN 1 - skew * (mean / sd) + (kurtosis - 1) / 4 * (mean / sd) * (mean / sd) > 0 THEN 1 - skew * (mean / sd) + (kurtosis - 1) / 4 * (mean / sd) * (mean / sd) END AS term FROM mo)))"""
 
 
-def _z_sql() -> str:
+def _z_sql(more: str = "") -> str:
     # the expected maximum of five normal trials: (1 - g) z(1 - 1/5) + g z(1 - 1/(5 e)), with the normal quantiles as numbers
     factor = "((1 - 0.5772156649015329) * 0.8416212335729143 + 0.5772156649015329 * 1.4496656592240218)"
-    return with_(W, _MOM, _Z.replace("FACTOR", factor), select=f"SELECT asset, n, {rs('sharpe', 'sr0', 'z', digits=6)} FROM z")
+    return with_(W, _MOM, _Z.replace("FACTOR", factor), select=f"SELECT asset, n, {more}{rs('sharpe', 'sr0', 'z', digits=6)} FROM z")
 
 
 @query(_z_sql())
@@ -295,6 +295,28 @@ def deflated_sharpe_z_per_asset(spark, sf_dir):
     return out(deflated_sharpe_z(with_returns(grid(spark, sf_dir)), 5, "ret", ["asset"]), "asset", "n", digits=6, **same("sharpe", "sr0", "z"))
 
 
+# no normal distribution there: Simpson's rule over the density, 2,000 steps from 0
+_PHI = "0.5::DOUBLE + z / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * i / 2000, 2) / 2)))"
+
+
+@query(_z_sql(r(_PHI, 6) + " AS dsr, "))
+def deflated_sharpe_per_asset(spark, sf_dir):
+    found = deflated_sharpe(with_returns(grid(spark, sf_dir)), 5, "ret", ["asset"])
+    return out(found, "asset", "n", digits=6, **same("dsr", "sharpe", "sr0", "z"))
+
+
+# as many trials as an order has lines; quantiles by bisection over the same rule
+@query(f"""WITH t AS (SELECT n, count(*) AS n_orders FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY n),
+q AS (SELECT n, n_orders, unnest([1 - 1 / n::DOUBLE, 1 - 1 / (n * exp(1))]) AS p, unnest([1, 2]) AS k FROM t WHERE n > 1),
+b AS (SELECT n, n_orders, k, list_reduce(list_prepend([-9.0::DOUBLE, 9.0::DOUBLE], list_transform(range(0, 60), lambda j: [p, 0.0::DOUBLE])),
+  lambda lh, x: CASE WHEN {_PHI.replace('z', '((lh[1] + lh[2]) / 2)')} < p THEN [(lh[1] + lh[2]) / 2, lh[2]] ELSE [lh[1], (lh[1] + lh[2]) / 2] END)[1] AS z FROM q)
+SELECT n AS n_trials, n_orders, {r('sum(CASE WHEN k = 1 THEN (1 - 0.5772156649015329) * z ELSE 0.5772156649015329 * z END)', 6)} AS factor FROM b GROUP BY n, n_orders UNION ALL SELECT n, n_orders, 0.0 FROM t WHERE n = 1""")
+def expected_max_factors(spark, sf_dir):
+    """The expected maximum of as many normal trials as orders have lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n_trials"))
+    return out(lines.groupBy("n_trials").agg(F.count("*").alias("n_orders")).withColumn("factor", expected_max_factor_of(F.col("n_trials"))), "n_trials", "n_orders", digits=6, **same("factor"))
+
+
 @query(with_(D, select=f"SELECT {DT}, bar, asset, px FROM grid WHERE dt > (SELECT max(dt) FROM grid) - INTERVAL 12 MONTH"))
 def retrospective_slice(spark, sf_dir):
     return out(last_months(grid(spark, sf_dir, False), 12), "dt", "bar", "asset", "px")

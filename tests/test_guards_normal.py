@@ -1,0 +1,99 @@
+"""Guards on inputs, and the normal distribution as column expressions."""
+
+import math
+import re
+from statistics import NormalDist
+
+import pytest
+from helpers import TESTDATA, cells, date, frame, oracle
+from pyspark.sql import functions as F
+
+from quantloom.functions.scalar import normal_cdf_of, normal_ppf_of
+from quantloom.operators.guards import BadInput, Guard, performance_faults, price_faults, return_faults, weight_faults
+from quantloom.operators.panel import complete_grid, with_returns
+from quantloom.operators.stats import deflated_sharpe, expected_max_factor, expected_max_factor_of
+from quantloom.plans import registry
+
+INF, NAN = math.inf, math.nan
+
+
+def scans(df):
+    return len(re.findall(r"FileScan|Scan ExistingRDD|LocalTableScan", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_each_fault_is_counted_in_the_pass_that_reads(spark, tmp_path):
+    rows = [(date("2024-01-01"), "A", 1.0), (date("2024-01-01"), "B", 0.0), (date("2024-01-02"), "B", -3.0), (date("2024-01-03"), "B", INF), (None, "B", 1.0), (date("2024-01-04"), None, NAN), (date("2024-01-05"), "A", None)]
+    spark.createDataFrame(rows, "dt date, asset string, px double").write.parquet(f"{tmp_path}/p")
+    prices = spark.read.parquet(f"{tmp_path}/p")
+    guard = Guard(price_faults(), "prices")
+    watched = guard.watched(prices)
+    assert scans(watched.groupBy("asset").count()) == scans(prices.groupBy("asset").count()) == 1
+    assert watched.groupBy("asset").count().count() == 3
+    assert guard.counts() == {"rows": 7, "rows without a date": 1, "rows without an asset": 1, "prices at or below 0": 2, "infinite prices": 1}
+    with pytest.raises(BadInput, match="prices: 1 rows without a date, 1 rows without an asset, 2 prices at or below 0, 1 infinite prices"):
+        guard.check()
+    with pytest.raises(Exception, match="prices: prices at or below 0"):
+        Guard({"prices at or below 0": price_faults()["prices at or below 0"]}, "prices").stopped(prices).count()
+    good = Guard(price_faults())
+    good.watched(prices.where("px = 1 AND dt IS NOT NULL")).collect()
+    assert good.check() == 1
+    with pytest.raises(RuntimeError):
+        Guard({}).counts()
+
+
+@pytest.mark.parametrize("faults, schema, rows, want", [
+    (return_faults, "ret double", [(0.1,), (-2.0,), (-1.0,), (INF,), (-INF,), (NAN,), (None,)], {"returns below -1": 1, "infinite returns": 2}),
+    (weight_faults, "target_w double", [(INF,), (-INF,), (NAN,), (None,), (2.0,)], {"infinite weights": 2}),
+    (performance_faults, "d double", [(INF,), (NAN,), (None,), (0.0,)], {"performances that are no finite number": 3}),
+])
+def test_faults(spark, faults, schema, rows, want):
+    guard = Guard(faults())
+    guard.watched(spark.createDataFrame(rows, schema)).collect()
+    assert {k: n for k, n in guard.counts().items() if k != "rows"} == want
+
+
+def test_a_repeated_cell_ends_the_query_with_its_count(spark, tmp_path):
+    prices = frame(spark, [[1.0, 2.0], [3.0, 4.0]])
+    prices.write.parquet(f"{tmp_path}/p")
+    read = spark.read.parquet(f"{tmp_path}/p")
+    assert complete_grid(read).count() == 4
+    twice = read.unionByName(read.where("asset = 'B' AND px = 4"))
+    with pytest.raises(Exception, match="2 rows of 2018-01-02, B"):
+        complete_grid(twice).collect()
+    with pytest.raises(Exception, match="2 rows of"):
+        with_returns(complete_grid(twice)).agg(F.sum("ret")).collect()
+    # calendar, assets and cells each read the table once, as before
+    assert scans(complete_grid(read)) == 3
+
+
+def test_the_normal_distribution(spark):
+    n = NormalDist()
+    xs = [i / 50 for i in range(-400, 401)] + [-37.5, -20.0, -9.0, 9.0, 40.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", normal_cdf_of(F.col("x")).alias("p")).collect()
+    for r in got:
+        want = 0.5 * math.erfc(-r["x"] / math.sqrt(2))
+        assert abs(r["p"] - want) < 1e-13 and (want < 1e-250 or abs(r["p"] / want - 1) < 1e-6)
+    ps = [10.0**-k for k in range(1, 16)] + [i / 997 for i in range(1, 997)] + [0.02425, 0.97575, 1 - 1e-12]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_ppf_of(F.col("p")).alias("x")).collect()
+    assert max(abs(r["x"] - n.inv_cdf(r["p"])) for r in got) < 1e-9
+    odd = spark.createDataFrame([(0.0,), (1.0,), (-0.1,), (1.5,), (NAN,), (None,)], "p double").select(normal_ppf_of(F.col("p"))).collect()
+    assert [r[0] for r in odd] == [-INF, INF, None, None, None, None]
+    odd = spark.createDataFrame([(INF,), (-INF,), (NAN,), (None,)], "x double").select(normal_cdf_of(F.col("x"))).collect()
+    assert [r[0] for r in odd[:2]] == [1.0, 0.0] and math.isnan(odd[2][0]) and odd[3][0] is None
+
+
+def test_trials_in_rows(spark):
+    got = {r["n"]: r["f"] for r in spark.range(0, 60).select(F.col("id").alias("n"), expected_max_factor_of(F.col("id")).alias("f")).collect()}
+    assert got[0] is None and all(got[n] == pytest.approx(expected_max_factor(n), abs=1e-9) for n in range(1, 60))
+    rows = spark.range(200).select(F.explode(F.array(F.lit(1), F.lit(5))).alias("trials"), (F.sin("id") / 50 + 0.004).alias("r"))
+    by_row = {x["trials"]: x["dsr"] for x in deflated_sharpe(rows, F.col("trials"), by=["trials"]).collect()}
+    for n in (1, 5):
+        assert by_row[n] == pytest.approx(deflated_sharpe(rows.where(F.col("trials") == n), n).first()["dsr"], abs=1e-12)
+
+
+def test_the_deflated_sharpe_query_is_without_python(spark):
+    tables = {"lineitem": f"{TESTDATA}/lineitem.parquet"}
+    for name in ("deflated_sharpe_per_asset", "expected_max_factors"):
+        got = registry.QUERIES[name](spark, TESTDATA)
+        assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+        assert cells(got.toPandas()) == cells(oracle(registry.ORACLE_SQL[name], **tables))

@@ -43,16 +43,25 @@ def expected_max_factor_of(n_trials: Column) -> Column:
     return F.when(n == 1, 0.0).when(n > 1, several)
 
 
-def deflated_sharpe_z(rows: DataFrame, n_trials: int | Column, r: str = "r", by: Sequence[str] = (), var_trials: float | None = None) -> DataFrame:
-    """Per run: sharpe per bar, the hurdle sr0 and z, whose normal probability is the deflated Sharpe ratio. A column of trials is one of ``by``."""
+def sharpe_moments(rows: DataFrame, r: str = "r", by: Sequence[str] = ()) -> DataFrame:
+    """Per run: the moments, sharpe per bar and term, the variance of sharpe times n - 1; null where it isn't positive."""
     m = moments(rows, r, by).withColumn("sharpe", F.when(F.col("n") >= 2, F.try_divide(F.col("mean"), F.when(F.col("sd") > 1e-14, F.col("sd")))))
     sr = F.col("sharpe")
     term = 1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr
-    m = m.withColumn("__term", F.when(term > 0, term))
-    spread = F.lit(float(var_trials)) if var_trials is not None else F.try_divide(F.col("__term"), F.col("n") - 1)
-    factor = expected_max_factor_of(n_trials) if isinstance(n_trials, Column) else F.lit(expected_max_factor(n_trials))
-    m = m.withColumn("sr0", F.sqrt(spread) * factor)
-    return m.withColumn("z", F.try_divide((sr - F.col("sr0")) * F.sqrt((F.col("n") - 1).cast("double")), F.sqrt("__term"))).drop("__term")
+    return m.withColumn("term", F.when(term > 0, term))
+
+
+def hurdle_and_z(n_trials: int | Column, var_trials: float | None = None) -> tuple[Column, Column]:
+    """sr0 and z over the columns of ``sharpe_moments``, for one number of trials of any."""
+    spread = F.lit(float(var_trials)) if var_trials is not None else F.try_divide(F.col("term"), F.col("n") - 1)
+    sr0 = F.sqrt(spread) * (expected_max_factor_of(n_trials) if isinstance(n_trials, Column) else F.lit(expected_max_factor(n_trials)))
+    return sr0, F.try_divide((F.col("sharpe") - sr0) * F.sqrt((F.col("n") - 1).cast("double")), F.sqrt("term"))
+
+
+def deflated_sharpe_z(rows: DataFrame, n_trials: int | Column, r: str = "r", by: Sequence[str] = (), var_trials: float | None = None) -> DataFrame:
+    """Per run: sharpe per bar, the hurdle sr0 and z, whose normal probability is the deflated Sharpe ratio. A column of trials is one of ``by``."""
+    sr0, z = hurdle_and_z(n_trials, var_trials)
+    return sharpe_moments(rows, r, by).withColumns({"sr0": sr0, "z": z}).drop("term")
 
 
 def deflated_sharpe(rows: DataFrame, n_trials: int | Column, r: str = "r", by: Sequence[str] = (), var_trials: float | None = None) -> DataFrame:

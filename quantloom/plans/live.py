@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalar import truncate
+from quantloom.functions.scalar import not_nan, truncate
+from quantloom.operators.asof import asof_join, every_days
 from quantloom.operators.panel import as_of
 
 FLAT = 1e-6
@@ -24,29 +25,60 @@ def target_book(weighted: DataFrame, day: str) -> DataFrame:
     return known.join(found, F.lit(True), "left").select("symbol", "target_w")
 
 
-def _union(target: DataFrame, positions: DataFrame, prices: DataFrame) -> DataFrame:
-    t = target.select("symbol", F.coalesce(F.nanvl(F.col("target_w"), F.lit(0.0)), F.lit(0.0)).alias("target_w"))
-    both = t.join(positions, "symbol", "full").join(prices.select("symbol", "px"), "symbol", "left")
+def prices_as_of(prices: DataFrame, runs: DataFrame) -> DataFrame:
+    """(asof, asset, dt, px, bar_dt): for each run (asof, each once) every asset's last price at or before it, and the run's last bar with any price.
+
+    Nothing after asof is seen; bars at the end without any price are no bars; gaps before are passed over, asset by asset. One plan for all runs. An asset without a
+    price by then has a null; a run before all prices has no bar.
+    """
+    known = prices.select("dt", "asset", not_nan(F.col("px")).alias("px")).where("px IS NOT NULL")
+    asked = runs.select("asof").distinct()
+    each = asked.crossJoin(F.broadcast(prices.select("asset").where("asset IS NOT NULL").distinct()))
+    found = asof_join(each, known, "asof", "dt", ["asset"])
+    bars = found.groupBy("asof").agg(F.max("dt").alias("bar_dt"))
+    return found.join(bars, "asof").select("asof", "asset", "dt", "px", "bar_dt")
+
+
+def books_as_of(weighted: DataFrame, runs: DataFrame) -> DataFrame:
+    """(asof, symbol, target_w, bar_dt): each run's target book, the weights of the last bar with any price at or before it. A run before all bars is an error."""
+    bars = weighted.where("px IS NOT NULL").select(F.col("dt").alias("bar_dt")).distinct()
+    at = asof_join(runs.select("asof").distinct(), bars, "asof", "bar_dt", bucket=every_days(36_500))
+    early = F.concat(F.lit("no bar at or before "), F.col("asof").cast("string"))
+    at = at.where(F.when(F.col("bar_dt").isNotNull(), F.lit(True)).otherwise(F.raise_error(early).cast("boolean")))
+    book = weighted.select(F.col("dt").alias("bar_dt"), F.col("asset").alias("symbol"), "target_w")
+    return book.join(F.broadcast(at), "bar_dt").select("asof", "symbol", "target_w", "bar_dt")
+
+
+def _union(target: DataFrame, positions: DataFrame, prices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    keys = [*by, "symbol"]
+    t = target.select(*keys, F.coalesce(F.nanvl(F.col("target_w"), F.lit(0.0)), F.lit(0.0)).alias("target_w"))
+    both = t.join(positions, keys, "full").join(prices.select(*keys, "px"), keys, "left")
     return both.withColumn("target_w", F.coalesce("target_w", F.lit(0.0)))
 
 
-def plan_orders(target: DataFrame, positions: DataFrame, prices: DataFrame, equity: float, min_notional: float = 0.0, fractional: bool = False, max_gross: float | None = None) -> DataFrame:
+def _per_run(rows: DataFrame, equity: float | DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with equity: one number, or a table of one for each run."""
+    return rows.join(F.broadcast(equity.select(*by, "equity")), [*by]) if isinstance(equity, DataFrame) else rows.withColumn("equity", F.lit(float(equity)))
+
+
+def plan_orders(target: DataFrame, positions: DataFrame, prices: DataFrame, equity: float | DataFrame, min_notional: float = 0.0, fractional: bool = False, max_gross: float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Orders that take positions (symbol, qty) to target (symbol, target_w), at prices (symbol, px); in order of symbol.
 
     Symbols without a positive price, changes under ``min_notional`` and whole quantities of 0 are left out. A target of more gross
-    exposure than ``max_gross`` fails.
+    exposure than ``max_gross`` fails. With ``by`` all tables have these columns, too, and so has equity, a table: every run is planned at once.
     """
     if max_gross is not None:
-        gross = target.agg(F.sum(F.abs("target_w")).alias("g")).select(F.assert_true(F.coalesce("g", F.lit(0.0)) <= max_gross + 1e-9, "the target's gross exposure exceeds the cap").alias("ok"), F.lit(1).alias("one"))
-        target = target.crossJoin(F.broadcast(gross)).where("ok IS NULL").drop("ok", "one")
-    rows = _union(target, positions.select("symbol", "qty"), prices).withColumn("qty", F.coalesce("qty", F.lit(0.0)))
+        gross = target.groupBy(*by).agg(F.sum(F.abs("target_w")).alias("g")).select(*by, F.assert_true(F.coalesce("g", F.lit(0.0)) <= max_gross + 1e-9, "the target's gross exposure exceeds the cap").alias("ok"), F.lit(1).alias("one"))
+        target = (target.join(F.broadcast(gross), [*by]) if by else target.crossJoin(F.broadcast(gross))).where("ok IS NULL").drop("ok", "one")
+    rows = _per_run(_union(target, positions.select(*by, "symbol", "qty"), prices, by), equity, by).withColumn("qty", F.coalesce("qty", F.lit(0.0)))
     rows = rows.where((F.col("px") > 0) & ~F.isnan("px") & (F.col("px") < float("inf")))
-    held = F.col("qty") * F.col("px")
-    rows = rows.withColumns({"current_weight": F.try_divide(held, F.lit(float(equity))) if equity > 0 else F.lit(0.0), "change": F.col("target_w") * equity - held})
+    held, money = F.col("qty") * F.col("px"), F.col("equity")
+    rows = rows.withColumns({"current_weight": F.when(money > 0, F.try_divide(held, money)).otherwise(0.0), "change": F.col("target_w") * money - held})
     rows = rows.where(F.abs("change") >= min_notional)
     delta = F.try_divide(F.col("change"), F.col("px"))
     rows = rows.withColumn("delta", delta if fractional else truncate(delta)).where("delta <> 0")
     return rows.select(
+        *by,
         "symbol",
         F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side"),
         F.abs("delta").alias("qty"),
@@ -55,7 +87,7 @@ def plan_orders(target: DataFrame, positions: DataFrame, prices: DataFrame, equi
         F.col("target_w").alias("target_weight"),
         "current_weight",
         F.when((F.col("target_w") == 0) & (F.col("qty") != 0), "close").otherwise("rebalance").alias("reason"),
-    ).orderBy("symbol")
+    ).orderBy(*by, "symbol")
 
 
 def plan_summary(orders: DataFrame, target: DataFrame, bps: float) -> DataFrame:
@@ -66,21 +98,21 @@ def plan_summary(orders: DataFrame, target: DataFrame, bps: float) -> DataFrame:
     return o.withColumn("est_cost", F.col("gross_notional") * (bps * 1e-4)).crossJoin(t)
 
 
-def reconcile(target: DataFrame, positions: DataFrame, prices: DataFrame, equity: float) -> DataFrame:
-    """(symbol, target_weight, current_weight, deviation) of all targets and positions; without a price a position's market_value counts."""
-    rows = _union(target, positions.select("symbol", "qty", "market_value"), prices)
+def reconcile(target: DataFrame, positions: DataFrame, prices: DataFrame, equity: float | DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(symbol, target_weight, current_weight, deviation) of all targets and positions; without a price a position's market_value counts. With ``by`` for each run."""
+    rows = _per_run(_union(target, positions.select(*by, "symbol", "qty", "market_value"), prices, by), equity, by)
     value = F.when((F.col("px") > 0) & ~F.isnan("px"), F.col("qty") * F.col("px")).otherwise(F.col("market_value"))
-    current = F.coalesce(F.try_divide(value, F.lit(float(equity))), F.lit(0.0)) if equity > 0 else F.lit(0.0)
-    return rows.select("symbol", F.col("target_w").alias("target_weight"), current.alias("current_weight"), (F.col("target_w") - current).alias("deviation"))
+    current = F.when(F.col("equity") > 0, F.coalesce(F.try_divide(value, F.col("equity")), F.lit(0.0))).otherwise(0.0)
+    return rows.select(*by, "symbol", F.col("target_w").alias("target_weight"), current.alias("current_weight"), (F.col("target_w") - current).alias("deviation"))
 
 
-def reconcile_summary(book: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row: l1, max_deviation, gross exposures and the flags flat (but meant to be invested), off_target and anomaly."""
+def reconcile_summary(book: DataFrame, tolerance: float = TOLERANCE, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each run): l1, max_deviation, gross exposures and the flags flat (but meant to be invested), off_target and anomaly."""
     if tolerance <= 0:
         raise ValueError(f"tolerance must be positive: {tolerance}")
     zero = F.lit(0.0)
     s = lambda c: F.coalesce(F.sum(F.abs(c)), zero)
-    out = book.agg(s("deviation").alias("l1"), F.coalesce(F.max(F.abs("deviation")), zero).alias("max_deviation"), s("target_weight").alias("target_gross"), s("current_weight").alias("current_gross"))
+    out = book.groupBy(*by).agg(s("deviation").alias("l1"), F.coalesce(F.max(F.abs("deviation")), zero).alias("max_deviation"), s("target_weight").alias("target_gross"), s("current_weight").alias("current_gross"))
     out = out.withColumns({"flat": (F.col("current_gross") <= FLAT) & (F.col("target_gross") > tolerance), "off_target": F.col("l1") > tolerance})
     return out.withColumn("anomaly", F.col("flat") | F.col("off_target"))
 

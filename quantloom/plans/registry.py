@@ -18,7 +18,7 @@ from quantloom.operators.risk import covariance, portfolio_variance, raw_weights
 from quantloom.operators.signal import momentum
 from quantloom.operators.splits import locked_split, out_of_sample, purged_folds, walk_forward, years_to_bars
 from quantloom.operators.stats import bootstrap_indices, bootstrap_means, deflated_sharpe, deflated_sharpe_z, distinct_trials, expected_max_factor_of, hansen_spa, moments, white_reality_check
-from quantloom.plans import live, oracle, report, validate
+from quantloom.plans import live, liverun, oracle, report, validate
 from quantloom.plans.oracle import backtest, r, with_
 from quantloom.sources.config import Strategy
 
@@ -560,3 +560,69 @@ _HOLDOUT = _verdict_sql(
 def holdout_verdict(spark, sf_dir):
     found = validate.holdout_verdict(weighted(spark, sf_dir), WEEK, DECISION, 5, validate.Holdout(min_bars=52, wf_bars=(26, 13, 13)))
     return out(found, "n_bars", "sufficient", "n_periods", "max_drawdown_duration", "n_windows", "is_stable", "retain_1", "retain_5", digits=6, **same(*METRICS, *_STEADY, "z_1", "z_5"))
+
+
+_LAST_YEARS = _verdict_sql(
+    "r AS (SELECT dt, CAST(bar - min(bar) OVER () AS INTEGER) AS bar, asset, px, target_w FROM wt WHERE dt > (SELECT max(dt) FROM wt) - INTERVAL 24 MONTH)",
+    "nr AS (SELECT count(DISTINCT bar) AS n_bars FROM r)", {"1": "0", "5": _FIVE}, _windows_sql("r", 26, 13, 13), "r", "(is_stable OR n_windows < 2)",
+    f"SELECT n_bars, n_bars >= 52 AS sufficient, {_SAID}, {r('z1', 6)} AS z_1, {r('z5', 6)} AS z_5, coalesce(z1 > {_QUANTILE}, FALSE) AND LEG AS retain_1, coalesce(z5 > {_QUANTILE}, FALSE) AND LEG AS retain_5 FROM nr, a_perf, zz, st",
+)
+
+
+@query(_LAST_YEARS)
+def holdout_retrospective(spark, sf_dir):
+    """The hold-out of the last two years."""
+    how = validate.Holdout("retrospective", months=24, min_bars=52, wf_bars=(26, 13, 13))
+    found = validate.holdout_verdict(weighted(spark, sf_dir), WEEK, DECISION, 5, how)
+    return out(found, "n_bars", "sufficient", "n_periods", "max_drawdown_duration", "n_windows", "is_stable", "retain_1", "retain_5", digits=6, **same(*METRICS, *_STEADY, "z_1", "z_5"))
+
+
+# a run for each week; some are dry, forced, on a synthetic source or of another configuration
+_RUNS = f"""ru AS (SELECT dt AS day, bar, bar % 5 <> 0 AS live, bar % 13 = 0 AS force, bar % 17 <> 0 AS is_real, bar % 19 <> 0 AS is_known FROM cal),
+hp AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS day, l_returnflag || CASE WHEN l_linenumber = 1 THEN 'X' ELSE l_linestatus END AS symbol, round(sum(l_quantity) / 10, 0) AS qty, sum(l_extendedprice) / 10 AS mv FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2),
+lq AS (SELECT dt AS day, asset AS symbol, last_value(px IGNORE NULLS) OVER (PARTITION BY asset ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS px FROM grid),
+r1 AS (SELECT *, strftime(day, '%Y-%m') AS period, live AND NOT (is_real AND is_known) AS refused, live AND is_real AND is_known AS could FROM ru),
+r2 AS (SELECT *, coalesce(bool_or(could) OVER (PARTITION BY period ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS done FROM r1),
+r3 AS (SELECT *, could AND (NOT done OR force) AS submits FROM r2),
+r4 AS (SELECT *, max(CASE WHEN submits THEN day END) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sent, CASE WHEN submits THEN 'submit' WHEN refused THEN 'refuse' WHEN could THEN 'skip' ELSE 'preview' END AS action FROM r3),
+rf AS (SELECT r.day, w.asset AS symbol, w.target_w AS tw FROM r4 r JOIN wt w ON w.dt = CASE WHEN r.action = 'skip' THEN r.sent ELSE r.day END),
+rb AS (SELECT coalesce(f.day, h.day) AS day, coalesce(f.symbol, h.symbol) AS symbol, coalesce(tw, 0) AS tw, CASE WHEN h.symbol IS NULL THEN 0 WHEN q.px > 0 THEN h.qty * q.px / {EQUITY} ELSE h.mv / {EQUITY} END AS cw
+  FROM rf f FULL JOIN hp h ON h.day = f.day AND h.symbol = f.symbol LEFT JOIN lq q ON q.day = coalesce(f.day, h.day) AND q.symbol = coalesce(f.symbol, h.symbol)),
+rs AS (SELECT day, sum(abs(tw - cw)) AS l1, sum(abs(tw)) AS tg, sum(abs(cw)) AS cg FROM rb GROUP BY day),
+r5 AS (SELECT r.*, s.l1, s.tg, s.cg, (s.cg <= 1e-6 AND s.tg > WIDE) OR s.l1 > WIDE AS anomaly FROM r4 r JOIN rs s ON s.day = r.day),
+ro AS (SELECT day, count(*) AS n_orders, sum(abs(d) * px) AS notional FROM (SELECT r.day, q.px, trunc((coalesce(w.target_w, 0) * {EQUITY} - coalesce(h.qty, 0) * q.px) / q.px) AS d, abs(coalesce(w.target_w, 0) * {EQUITY} - coalesce(h.qty, 0) * q.px) AS change
+  FROM r4 r JOIN (SELECT dt AS day, asset AS symbol FROM wt UNION SELECT day, symbol FROM hp) u ON u.day = r.day JOIN lq q ON q.day = r.day AND q.symbol = u.symbol LEFT JOIN wt w ON w.dt = r.day AND w.asset = u.symbol LEFT JOIN hp h ON h.day = r.day AND h.symbol = u.symbol WHERE q.px > 0) WHERE d <> 0 AND change >= 100 GROUP BY day)""".replace("WIDE", "0.5")
+
+
+def _live(spark, sf_dir: str) -> liverun.LiveRuns:
+    panel = weighted(spark, sf_dir)
+    bar = F.col("bar")
+    runs = panel.select(F.col("dt").alias("asof"), "bar").distinct().select("asof", F.lit(EQUITY).alias("equity"), (bar % 5 != 0).alias("live"), (bar % 13 == 0).alias("force"), F.when(bar % 17 != 0, "real").otherwise("synthetic").alias("source"), F.when(bar % 19 != 0, "known").otherwise("other").alias("config_hash"))
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag <> 'R'").select("l_shipdate", "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice")
+    symbol = F.concat("l_returnflag", F.when(F.col("l_linenumber") == 1, "X").otherwise(F.col("l_linestatus")))
+    held = item.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("asof"), symbol.alias("symbol")).agg(F.round(F.sum("l_quantity") / 10, 0).alias("qty"), (F.sum("l_extendedprice") / 10).alias("market_value"))
+    earlier = runs.select("asof", F.lit("").alias("symbol"), F.lit(0.0).alias("target_w")).where("false")
+    return liverun.live_runs(panel, runs, held, earlier, WEEK, "known", liverun.Limits(min_notional=100.0, tolerance=0.5))
+
+
+@query(with_(W, WT, _RUNS, select=f"""SELECT CAST(r.day AS VARCHAR) AS "asof", period, action, CASE WHEN action = 'skip' THEN 'submitted' ELSE 'today' END AS reference, {r('l1', 6)} AS l1, {r('cg', 6)} AS current_gross, {r('tg', 6)} AS target_gross,
+  anomaly, CASE WHEN action = 'refuse' THEN 1 WHEN action = 'skip' AND anomaly THEN 2 ELSE 0 END AS exit_code, coalesce(n_orders, 0) AS n_orders, {r('coalesce(notional, 0)', 4)} AS notional FROM r5 r LEFT JOIN ro o ON o.day = r.day"""))
+def live_runs(spark, sf_dir):
+    """Every week as a live run: action, reconciliation with what was submitted, orders and exit code."""
+    found = _live(spark, sf_dir)
+    orders = found.orders.groupBy("asof").agg(F.count("*").alias("n_orders"), F.sum("notional").alias("notional"))
+    rows = found.runs.join(orders, "asof", "left").withColumns({"n_orders": F.coalesce("n_orders", F.lit(0).cast("long")), "notional": F.coalesce("notional", F.lit(0.0))})
+    return out(rows, "asof", "period", "action", "reference", "anomaly", "exit_code", "n_orders", digits=6, other={"notional": 4}, **same("l1", "current_gross", "target_gross", "notional"))
+
+
+@query(
+    with_(W, WT, _RUNS, select="""SELECT CAST(day AS VARCHAR) AS "asof", gate, severity, reason FROM (
+  SELECT day, 'data' AS gate, CASE WHEN is_real THEN 'ok' WHEN live THEN 'refuse' ELSE 'warn' END AS severity, CASE WHEN is_real THEN '' ELSE 'the source is synthetic' END AS reason FROM r5
+  UNION ALL SELECT day, 'drift', CASE WHEN is_known THEN 'ok' WHEN live THEN 'refuse' ELSE 'warn' END, CASE WHEN is_known THEN '' ELSE 'the configuration is not the recorded one' END FROM r5
+  UNION ALL SELECT day, 'cadence', CASE WHEN action = 'skip' THEN 'skip' ELSE 'ok' END, CASE WHEN action = 'skip' THEN 'already submitted for ' || period ELSE '' END FROM r5
+  UNION ALL SELECT day, 'reconcile', CASE WHEN action = 'skip' AND anomaly THEN 'escalate' WHEN anomaly THEN 'warn' ELSE 'ok' END, '' FROM r5)""")
+)
+def live_gates(spark, sf_dir):
+    """Every week's gates (the reconciliation's figures are in live_runs)."""
+    g = _live(spark, sf_dir).gates
+    return out(g.withColumn("reason", F.when(F.col("gate") == "reconcile", "").otherwise(F.col("reason"))), "asof", "gate", "severity", "reason")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.scalar import normal_cdf_of
 from quantloom.operators.backtest import run_backtest
 from quantloom.operators.metrics import equity_returns, performance
 from quantloom.operators.panel import after, last_months, rebased, with_returns
 from quantloom.operators.risk import target_weights
 from quantloom.operators.signal import momentum
-from quantloom.operators.splits import in_windows, locked_split, walk_forward, years_to_bars
-from quantloom.operators.stats import deflated_sharpe
+from quantloom.operators.splits import in_windows, walk_forward, years_to_bars
+from quantloom.operators.stats import hurdle_and_z, sharpe_moments
 from quantloom.sources.config import Strategy
+from quantloom.sources.scratch import kept
 
 DSR_THRESHOLD, MIN_POSITIVE, MAX_DISPERSION = 0.60, 0.5, 2.0
 
@@ -64,26 +65,44 @@ def stability(per_window: DataFrame, min_positive: float = MIN_POSITIVE, max_dis
     return got.withColumn("is_stable", F.coalesce(ok, F.lit(False))).drop("__k")
 
 
-def _judged(weighted: DataFrame, slice_: DataFrame, windows: DataFrame, cfg: Strategy, trials: Sequence[int], threshold: float, always_stable_under: int = 0) -> DataFrame:
-    b = replay(slice_.select("dt", "bar", "asset", "px", "target_w").withColumn("run", F.lit(0)), cfg, ["run"])
-    r = equity_returns(b.bars, ["run"])
-    out = performance(b.bars, cfg.periods_per_year, ["run"])
+#: The fold of the judged slice beside those of the windows.
+SLICE = -1
+
+
+def _judged(panel: DataFrame, lo, hi, windows: DataFrame, cfg: Strategy, trials: Sequence[int], threshold: float, always_stable_under: int = 0) -> DataFrame:
+    """The bars from lo to before hi and all test windows are the runs of one replay, whose bars are written once; all figures come from these.
+
+    The deflated Sharpe ratios of all numbers of trials come from one set of moments.
+    """
+    slice_ = panel.agg(F.lit(SLICE).alias("fold"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    runs = slice_.unionByName(windows.where("role = 'test'").select("fold", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")))
+    b = replay(in_windows(panel, runs).drop("lo", "hi"), cfg, ["fold"])
+    bars = kept(b.bars, "verdict-bars")
+    figures = kept(performance(bars, cfg.periods_per_year, ["fold"]), "verdict-figures")
+    m = sharpe_moments(equity_returns(bars.where(F.col("fold") == SLICE), ["fold"]), by=["fold"])
+    found = {}
     for n in trials:
-        out = out.join(deflated_sharpe(r, n, by=["run"]).select("run", F.col("dsr").alias(f"dsr_{n}"), F.col("z").alias(f"z_{n}")), "run", "left")
-    steady = stability(window_metrics(weighted, windows, cfg))
-    out = out.crossJoin(steady)
+        _, z = hurdle_and_z(n)
+        found |= {f"z_{n}": z, f"dsr_{n}": normal_cdf_of(z)}
+    out = figures.where(F.col("fold") == SLICE).join(m.select("fold", *(c.alias(k) for k, c in found.items())), "fold", "left")
+    out = out.crossJoin(stability(figures.where("fold >= 0")))
     leg = F.col("is_stable") | (F.col("n_windows") < always_stable_under)
     for n in trials:
         out = out.withColumn(f"retain_{n}", F.coalesce(F.col(f"dsr_{n}") > threshold, F.lit(False)) & leg)
-    return out.drop("run")
+    return out.drop("fold")
+
+
+def _panel(weighted: DataFrame) -> DataFrame:
+    return weighted.select("dt", "bar", "asset", "px", "target_w")
 
 
 def final_verdict(weighted: DataFrame, cfg: Strategy, n_trials: int, threshold: float = DSR_THRESHOLD) -> DataFrame:
     """One row: the locked test's metrics, its deflated Sharpe ratio, stability over the whole history, and whether to retain."""
-    bars = weighted.select("dt", "bar").distinct()
-    test = weighted.join(locked_split(bars, cfg.train_test_ratio).where("role = 'test'").select("bar"), "bar", "left_semi")
+    panel = kept(_panel(weighted), "verdict-panel")
+    bars = panel.select("dt", "bar").distinct()
     w = [years_to_bars(x, cfg.periods_per_year) for x in (cfg.wf_train_years, cfg.wf_test_years, cfg.wf_step_years)]
-    out = _judged(weighted, test, walk_forward(bars, *w), cfg, [n_trials], threshold)
+    n = F.max("bar") + 1
+    out = _judged(panel, F.floor(n * F.lit(float(cfg.train_test_ratio))), n, walk_forward(bars, *w), cfg, [n_trials], threshold)
     return out.withColumnsRenamed({f"dsr_{n_trials}": "dsr", f"z_{n_trials}": "z", f"retain_{n_trials}": "retain"})
 
 
@@ -112,17 +131,8 @@ def holdout_verdict(weighted: DataFrame, cfg: Strategy, decision_date: str, n_tr
 
     Fewer than two windows do not judge stability. Weights come from the whole history, the replay starts flat.
     """
-    part = rebased(holdout_slice(weighted, how, decision_date))
+    part = kept(rebased(_panel(holdout_slice(weighted, how, decision_date))), "verdict-panel")
     size = part.agg(F.count_distinct("bar").alias("n_bars")).withColumn("sufficient", F.col("n_bars") >= how.min_bars)
     w = how.wf_bars or [years_to_bars(x, cfg.periods_per_year) for x in (cfg.wf_train_years, cfg.wf_test_years, cfg.wf_step_years)]
-    trials = sorted({1, n_trials})
-    judged = _judged(part, part, walk_forward(part.select("dt", "bar").distinct(), *w), cfg, trials, how.threshold, always_stable_under=2)
+    judged = _judged(part, F.lit(0), F.max("bar") + 1, walk_forward(part.select("dt", "bar").distinct(), *w), cfg, sorted({1, n_trials}), how.threshold, always_stable_under=2)
     return size.join(judged, F.col("sufficient"), "left")
-
-
-def months_to_bars(months: float, periods_per_year: float) -> int:
-    return int(round(months * periods_per_year / 12))
-
-
-def describe(value: float | None, digits: int = 4) -> str:
-    return "n/a" if value is None or math.isnan(value) else f"{value:.{digits}f}"

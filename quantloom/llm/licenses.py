@@ -20,6 +20,21 @@ def _published(version: int) -> list[str]:
     return [f"gnu general public license as published by the free software foundation {either}version {version} of the license" for either in ("either ", "")]
 
 
+def _commons(*conditions: str) -> list[str]:
+    return [f"creative commons attribution {c}" for c in conditions]
+
+
+def _commons_notices(*conditions: str) -> list[str]:
+    return [f"licensed under the {c} 4 0 international license" for c in _commons(*conditions)]
+
+
+#: The begin of each label's SPDX identifier, as words.
+SPDX = {
+    "mit": "mit", "apache-2": "apache 2 0", "gpl-2": "gpl 2 0", "gpl-3": "gpl 3 0", "lgpl": "lgpl", "agpl-3": "agpl 3 0", "bsd": "bsd", "mpl-2": "mpl 2 0", "isc": "isc",
+    "cc-by": "cc by", "cc-by-nc": "cc by nc", "cc-by-sa": "cc by sa", "cc-by-nd": "cc by nd", "cc0": "cc0 1 0", "unlicense": "unlicense", "epl": "epl", "eupl": "eupl",
+    "boost": "bsl 1 0", "zlib": "zlib", "artistic-2": "artistic 2 0", "ofl": "ofl", "cddl": "cddl", "ms-pl": "ms pl",
+}
+
 #: Notices by label. Each has the phrases of which one must stand in it word by word, and its usual wordings.
 TEMPLATES = {
     "mit": (["mit license", "permission is hereby granted free of charge"], ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"]),
@@ -31,11 +46,11 @@ TEMPLATES = {
     "bsd": (["bsd license", "redistribution and use in source and binary forms"], ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"]),
     "mpl-2": (["mozilla public license"], ["subject to the terms of the mozilla public license version 2 0"]),
     "isc": (["isc license", "permission to use copy modify and or distribute this software"], ["released under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"]),
-    "cc-by": (["creative commons attribution"], ["licensed under the creative commons attribution 4 0 international license"]),
-    "cc-by-nc": (["cc by nc", "creative commons attribution noncommercial"], ["licensed under cc by nc 4 0", "licensed under the creative commons attribution noncommercial 4 0 international license"]),
-    "cc-by-sa": (["cc by sa", "creative commons attribution sharealike"], ["licensed under cc by sa 4 0", "licensed under the creative commons attribution sharealike 4 0 international license"]),
+    "cc-by": (["creative commons attribution", "cc by 4 0", "cc by 3 0", "cc by 2 0"], ["licensed under the creative commons attribution 4 0 international license", "licensed under cc by 4 0", "licensed under cc by 3 0", "licensed under cc by 2 0"]),
+    "cc-by-nc": (["cc by nc", *_commons("noncommercial", "non commercial")], ["licensed under cc by nc 4 0", *_commons_notices("noncommercial", "non commercial")]),
+    "cc-by-sa": (["cc by sa", *_commons("sharealike", "share alike")], ["licensed under cc by sa 4 0", *_commons_notices("sharealike", "share alike")]),
     "cc0": (["cc0 1 0", "dedicated to the public domain"], ["this work is dedicated to the public domain under cc0 1 0 universal"]),
-    "cc-by-nd": (["cc by nd", "creative commons attribution noderivatives"], ["licensed under cc by nd 4 0", "licensed under the creative commons attribution noderivatives 4 0 international license"]),
+    "cc-by-nd": (["cc by nd", *_commons("noderivatives", "no derivatives", "noderivs", "no derivs")], ["licensed under cc by nd 4 0", *_commons_notices("noderivatives", "no derivatives", "noderivs", "no derivs")]),
     "unlicense": (["free and unencumbered software"], ["this is free and unencumbered software released into the public domain"]),
     "epl": (["eclipse public license"], ["made available under the terms of the eclipse public license version 2 0"]),
     "eupl": (["european union public licence"], ["licensed under the european union public licence version 1 2"]),
@@ -48,6 +63,9 @@ TEMPLATES = {
     "openrail": (["openrail license", "responsible ai license"], ["licensed under the openrail license", "subject to the terms of the responsible ai license"]),
     "reserved": (["all rights reserved"], ["all rights reserved"]),
 }
+for _label, _id in SPDX.items():
+    for _part in TEMPLATES[_label]:
+        _part.append(f"spdx license identifier {_id}")
 #: Words too common to be looked up; they count for phrases alone.
 COMMON = frozenset("a all and any are as by can either for from in is it of on or other that the this to with without you your may not be use file free person copy forms following met fee purpose".split())
 #: Rarest words of a wording that the index has postings of.
@@ -79,6 +97,19 @@ def _by_anchor(phrases: list[tuple[str, list[bytes]]]) -> dict[bytes, list[tuple
 _BASE_AT, _KEY_AT = _by_anchor(_BASE), _by_anchor(_KEYS)
 
 
+def _inside() -> dict[int, list[tuple[int, int]]]:
+    """Of each key phrase the longer ones of other labels that hold it, and where."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for k, (label, p) in enumerate(_KEYS):
+        for long, (other, q) in enumerate(_KEYS):
+            if other != label and len(q) > len(p):
+                found.setdefault(k, []).extend((long, i) for i in range(len(q) - len(p) + 1) if q[i : i + len(p)] == p)
+    return {k: x for k, x in found.items() if x}
+
+
+_INSIDE = _inside()
+
+
 def _places(text_words: list[bytes], hits: list[int], anchors: dict) -> list[tuple[int, int]]:
     """(phrase, start) of all places where a phrase's words stand consecutively."""
     out = []
@@ -147,7 +178,11 @@ class Index:
         for p, v in zip(place, word, strict=True):
             stands.setdefault(v, []).append(p)
         phrases: dict[str, list[int]] = {}
+        stand = set(zip(key, key_at, strict=True))
         for s, k in sorted(zip(key_at, key, strict=True)):
+            # a phrase that is a part of another label's where it stands says nothing of its own
+            if any((long, s - i) in stand for long, i in _INSIDE.get(k, ())):
+                continue
             phrases.setdefault(_KEYS[k][0], []).append(s)
         found: dict[str, float] = {}
         for t, starts in self.starts(stands).items():

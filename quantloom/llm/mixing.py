@@ -16,7 +16,7 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the random key that name a range of a source: 4096 ranges, each a task's group.
 RANGE_DIGITS = 3
 
-SOURCE, KEY, RANGE, TOKENS, BEFORE, TIE = (f"__mix_{x}" for x in ("source", "key", "range", "tokens", "before", "tie"))
+SOURCE, KEY, RANGE, TOKENS, BEFORE, TIE, DIGEST = (f"__mix_{x}" for x in ("source", "key", "range", "tokens", "before", "tie", "digest"))
 
 
 def token_count(text: Column) -> Column:
@@ -65,19 +65,19 @@ def mix(
     target holds, then up to the word at which the rest of the target ends. The position of a row is the sum
     over the ranges of keys before its own plus a running sum within its range, so no task ever holds a source.
     A null source is a source of its own, the last; a row with a null doc_id has its key from its other columns; rows with equal
-    keys are taken in order of doc_id and size. Rows of no words (null, empty texts) are taken 0 times; long texts count whole. An
+    keys are taken in order of doc_id, size and a digest of all columns, so that reruns cut the same row. Rows of no words (null, empty texts) are taken 0 times; long texts count whole. An
     empty table gives no rows.
     """
     order = F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source).cast("string"), F.lit("")))
     # rows without an id are dealt by their content
     known = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("~"), F.xxhash64(*docs.columns).cast("string")))
     key = F.md5(F.concat(F.lit(seed + ":"), known))
-    rows = docs.withColumns({TOKENS: tokens, SOURCE: order, KEY: key}).drop("size", "source_size", "target", "taken").withColumn(RANGE, F.substring(KEY, 1, RANGE_DIGITS))
+    rows = docs.withColumns({TOKENS: tokens, SOURCE: order, KEY: key, DIGEST: F.xxhash64(*docs.columns)}).drop("size", "source_size", "target", "taken").withColumn(RANGE, F.substring(KEY, 1, RANGE_DIGITS))
     ranges = saved(rows.groupBy(SOURCE, RANGE).agg(F.sum(TOKENS).alias(TOKENS)), "mix-ranges")
     goal = targets(ranges.groupBy(SOURCE).agg(F.sum(TOKENS).alias("source_size")), weights, share, epochs)
     earlier = Window.partitionBy(SOURCE).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(SOURCE, RANGE, F.coalesce(F.sum(TOKENS).over(earlier), F.lit(0)).alias(BEFORE)).join(goal, SOURCE)
-    within = Window.partitionBy(SOURCE, RANGE).orderBy(KEY, F.col(doc_id), TOKENS).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(SOURCE, RANGE).orderBy(KEY, F.col(doc_id), TOKENS, DIGEST).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(TIE, F.coalesce(F.sum(TOKENS).over(within), F.lit(0))).join(ranges, [SOURCE, RANGE])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") - whole * F.col("source_size"))

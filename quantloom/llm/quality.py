@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.arrays import SLICE_BYTES, mix64, slices, words
 
+log = logging.getLogger(__name__)
 #: Labelled documents that the field is trained on: those of the smallest hashed ids, of so many lines at most, which bounds what the
 #: driver gathers.
 TRAIN_DOCS, TRAIN_DOC_LINES = 3000, 512
@@ -199,7 +201,6 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     Every line of a document bears the document's label. Only the sample's line features reach the driver.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    sample = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n)
 
     @F.pandas_udf("lines array<binary>")
     def features(texts: pd.Series) -> pd.DataFrame:
@@ -210,13 +211,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             rows += [[x[i:j].tobytes()] for i, j in zip(cut, cut[1:], strict=False)]
         return pd.DataFrame({"lines": rows})
 
-    # the sample is at most 2 * n rows of two numbers; some have no document in this table
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     n_lines = F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
     short = docs.where(F.coalesce(n_lines, F.lit(1)) <= TRAIN_DOC_LINES)
+    # drawn from the labels that have a document here, whatever else is labelled: n rows of two numbers at most
+    there = known.join(short.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
+    sample = there.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = short.select(F.col(doc_id).alias("doc_id"), body.alias("__text")).join(F.broadcast(sample), "doc_id")
     found = chosen.select("doc_id", "quality", features("__text").alias("f")).select("doc_id", "quality", "f.lines").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
     if not found:
+        log.warning("no labelled document to learn quality from: every score is 0.5")
         return None
     x = [np.frombuffer(r["lines"][0], np.float32).reshape(-1, WIDTH).astype(float) for r in found]
     return fit_documents(x, np.array([r["quality"] > 0 for r in found]))

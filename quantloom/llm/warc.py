@@ -234,13 +234,14 @@ def parse_warc(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield head, body
 
 
-RECORD = "name string, sha256 string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
+RECORD = "name string, sha256 string, n long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
 
 def read_warc(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
     """The records of the files in the manifest under ``root``; ``payload`` False leaves the html null.
 
-    A file whose bytes don't match its digest in the manifest, or a block that doesn't match its own, is an error.
+    A listed file that is gone is an error at once, one whose bytes don't match its digest in the manifest or that has another number of records, or a block that doesn't
+    match its own digest, is an error. Files that are not listed are not looked at.
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(root)
@@ -254,14 +255,19 @@ def read_warc(spark: SparkSession, root: str, payload: bool = True) -> DataFrame
                     page, to = head.get("x-page-id"), head.get("x-refers-to-page")
                     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
                     size = len(body) if kind == "response" else int(head["x-payload-length"])
-                    rows.append((name, digest_of_file, page and int(page), head["warc-target-uri"], size, digest, kind, to and int(to), body.decode() if payload and kind == "response" else None))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
+                    rows.append((name, digest_of_file, 0, page and int(page), head["warc-target-uri"], size, digest, kind, to and int(to), body.decode() if payload and kind == "response" else None))
+                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")]).assign(n=len(rows))
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    listed = manifest.select("name", F.col("sha256").alias("__listed"))
+    listed = manifest.select("name", F.col("sha256").alias("__listed"), F.col("n_records").alias("__n"))
+    # names alone are listed here, no contents are read
+    gone = [r["name"] for r in listed.join(files.select("name"), "name", "left_anti").select("name").orderBy("name").limit(5).collect()]
+    if gone:
+        raise FileNotFoundError(f"a file of the manifest is missing: {', '.join(gone)}")
     found = files.mapInPandas(records, RECORD).join(listed, "name")
     whole = F.assert_true(F.col("sha256") == F.col("__listed"), F.concat(F.lit("digest of the manifest does not match: "), F.col("name")))
-    return found.where(whole.isNull()).drop("sha256", "__listed")
+    counted = F.assert_true(F.col("n") == F.col("__n"), F.concat(F.lit("number of records of the manifest does not match: "), F.col("name")))
+    return found.where(whole.isNull() & counted.isNull()).drop("sha256", "n", "__listed", "__n")
 
 
 def op7_warc_round_trip(spark, sf_dir: str) -> DataFrame:

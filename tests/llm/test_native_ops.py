@@ -132,6 +132,16 @@ ODD = [
 ]
 
 
+def test_rows_of_one_id_and_size_are_cut_alike_in_reruns(spark):
+    rows = [(7, f"{w} two three", "a") for w in ("x", "y", "z", "u", "v")] * 3
+    taken = []
+    for parts in (1, 3, 5):
+        df = spark.createDataFrame(rows[parts:] + rows[:parts], "doc_id long, text string, source string").repartition(parts)
+        mixed = mixing.mix(df, mixing.token_count(F.col("text")), weights=(1,), share=0.7)
+        taken.append(sorted((r["text"], r["taken"]) for r in mixed.collect()))
+    assert taken[0] == taken[1] == taken[2] and {0, 3} <= {t for _, t in taken[0]}
+
+
 def test_base_spans_equal_plain_regular_expressions(spark, texts):
     rows = [(i, t) for i, t in enumerate([t for _, t, _ in texts] + ODD)]
     got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))

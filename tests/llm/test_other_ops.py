@@ -83,6 +83,39 @@ def test_standard_notices_have_their_label(spark):
     assert [got[i] for i in range(len(notices))] == list(notices.values())
 
 
+def labelled(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"plain text number {i} of no license at all") for i in range(40)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_a_phrase_within_anothers_says_nothing(spark):
+    cases = {
+        "Licensed under the Creative Commons Attribution 4.0 International License.": "cc-by",
+        "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+        "Licensed under the Creative Commons Attribution Non-Commercial 4.0 International License.": "cc-by-nc",
+        "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "Licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.": "cc-by-nd",
+        "Licensed under the Creative Commons Attribution-NoDerivs 4.0 International License.": "cc-by-nd",
+        "Text: licensed under CC BY 4.0": "cc-by",
+        "Text: licensed under CC BY-SA 4.0": "cc-by-sa",
+        # both, at different places
+        "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. " + "pictures come otherwise " * 9 + "Licensed under the Creative Commons Attribution 4.0 International License.": "cc-by,cc-by-sa",
+    }
+    assert labelled(spark, cases) == list(cases.values())
+
+
+def test_each_identifier_gives_its_label_alone(spark):
+    texts = [f"// SPDX-License-Identifier: {i.replace(' ', '-')}\nint main() {{}}" for i in licenses.SPDX.values()]
+    texts += ["# SPDX-License-Identifier: GPL-3.0-only", "# SPDX-License-Identifier: Apache-2.0", "# SPDX-License-Identifier: BSD-3-Clause", "# SPDX-License-Identifier: CC-BY-NC-4.0", "# SPDX-License-Identifier: none"]
+    assert labelled(spark, texts) == [*licenses.SPDX, "gpl-3", "apache-2", "bsd", "cc-by-nc", ""]
+
+
+def test_each_wording_gives_its_label_alone(spark):
+    texts = [" ".join(w.decode() for w in ws) for _, ws in licenses._WORDINGS]
+    assert labelled(spark, texts) == [label for label, _ in licenses._WORDINGS]
+
+
 def test_rare_words_must_stand_in_their_places(spark):
     index = licenses.Index([1.0] * len(licenses._VOCABULARY))
     scan = lambda t: licenses.scan_words(t.encode())
@@ -319,6 +352,26 @@ def test_files_outside_the_manifest_do_not_count(spark, tmp_path):
     assert sorted((r["page_id"] or -1, r["record_type"]) for r in warc.read_warc(spark, f"file://{tmp_path}/g").collect()) == [(-1, "response"), (1, "response"), (1, "response"), (1, "response"), (2, "revisit")]
 
 
+def test_what_the_manifest_lists_must_be_there(spark, tmp_path):
+    extra = pages(spark).withColumns({"name": F.lit("x"), "grp": F.lit(1), "digest": F.lit("y")})
+    warc.write_warc(extra, f"file://{tmp_path}/a", roll_bytes=2000)
+    assert warc.read_warc(spark, f"file://{tmp_path}/a").count() == 45
+    files = sorted((tmp_path / "a").glob("part-0*.gz"))
+    kept = files[1].read_bytes()
+    files[1].unlink()
+    # whatever columns are asked for
+    for ask in (lambda df: df.select("page_id").collect(), lambda df: df.count(), lambda df: df.where("record_type = 'revisit'").collect()):
+        with pytest.raises(Exception, match=f"a file of the manifest is missing: {files[1].name}"):
+            ask(warc.read_warc(spark, f"file://{tmp_path}/a"))
+    files[1].write_bytes(kept)
+    assert warc.read_warc(spark, f"file://{tmp_path}/a").count() == 45
+    listed = spark.read.parquet(f"{tmp_path}/a/_manifest").toPandas()
+    listed.loc[0, "n_records"] += 1
+    spark.createDataFrame(listed, warc.MANIFEST).write.mode("overwrite").parquet(f"{tmp_path}/a/_manifest")
+    with pytest.raises(Exception, match="number of records"):
+        warc.read_warc(spark, f"file://{tmp_path}/a").collect()
+
+
 # quality
 
 
@@ -366,6 +419,17 @@ def test_held_out_accuracy_and_edges(spark, empty):
     assert [r["score"] for r in none] == [0.5] * 3 and quality.with_score(empty, labels).count() == 0
 
 
+def test_labels_of_other_documents_change_nothing(spark, caplog):
+    rows = list(corpus(150, 4))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(rows[0][0], rows[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    others = spark.range(10_000, 60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    score = lambda l: sorted((r["doc_id"], r["score"]) for r in quality.with_score(docs, l).collect())
+    assert score(labels.unionByName(others)) == score(labels)
+    assert quality.train(docs, labels.unionByName(others), n=40)[0].tolist() == quality.train(docs, labels, n=40)[0].tolist()
+    assert {s for _, s in score(others)} == {0.5} and "no labelled document" in caplog.text
+
+
 def test_one_text_of_many_lines_pads_no_other():
     import tracemalloc
 

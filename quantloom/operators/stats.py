@@ -75,20 +75,23 @@ def _draw(kind: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap_indices(spark: SparkSession, n: int, n_boot: int, avg_block: float, seed: int = 0) -> DataFrame:
+def bootstrap_indices(spark: SparkSession, n: int | DataFrame, n_boot: int, avg_block: float, seed: int = 0) -> DataFrame:
     """(b, step, t): the stationary bootstrap. Each step restarts at random with probability 1 / avg_block, else goes on by one, round the end.
 
-    A step's index is its last restart's start plus the steps since, so no step waits for the one before.
+    A step's index is its last restart's start plus the steps since, so no step waits for the one before. n, the number of rows, is a number or one row with
+    a column n, which is then worked out with the rest.
     """
-    if n < 1 or n_boot < 1 or avg_block <= 0:
+    if isinstance(n, int) and n < 1 or n_boot < 1 or avg_block <= 0:
         raise ValueError(f"n, n_boot and avg_block must be positive: {n}, {n_boot}, {avg_block}")
     p = min(1.0, 1.0 / avg_block)
-    rows = spark.range(n_boot).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("step"))
+    size = n.select(F.col("n").cast("long").alias("n")) if isinstance(n, DataFrame) else spark.range(1).select(F.lit(n).cast("long").alias("n"))
+    steps = F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("step")
+    rows = spark.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(size.where("n > 0"))).select("b", "n", steps)
     opens = (F.col("step") == 0) | (_draw("restart", seed) < int(p * (1 << 32)))
-    rows = rows.withColumn("at", F.when(opens, F.struct("step", (_draw("start", seed) % n).alias("start"))))
+    rows = rows.withColumn("at", F.when(opens, F.struct("step", (_draw("start", seed) % F.col("n")).alias("start"))))
     w = Window.partitionBy("b").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last("at", ignorenulls=True).over(w)
-    return rows.select("b", "step", ((last["start"] + F.col("step") - last["step"]) % n).alias("t"))
+    return rows.select("b", "step", ((last["start"] + F.col("step") - last["step"]) % F.col("n")).alias("t"))
 
 
 def column_stats(perf: DataFrame) -> DataFrame:

@@ -451,7 +451,7 @@ def cache_keys(spark, sf_dir):
 @query("SELECT round(l_tax * 100, 0) AS bps, bool_or(l_linenumber = 1) AS is_base FROM lineitem GROUP BY 1")
 def config_levels_dedup(spark, sf_dir):
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_tax", "l_linenumber")
-    return item.groupBy(F.round(F.col("l_tax") * 100, 0).alias("bps")).agg(F.bool_or(F.col("l_linenumber") == 1).alias("is_base"))
+    return validate.distinct_levels(item.select(F.round(F.col("l_tax") * 100, 0).alias("bps"), (F.col("l_linenumber") == 1).alias("is_base")))
 
 
 def _number(kind: str) -> str:
@@ -469,8 +469,7 @@ def _perf(spark, sf_dir: str):
     # a row for each asset
     rank = rows.select("asset").distinct().withColumn("k", F.row_number().over(Window.orderBy("asset")) - 1)
     perf = rows.join(rank, "asset").select((F.col("bar") - 1).alias("t"), "k", F.coalesce("ret", F.lit(0.0)).alias("d"))
-    n = perf.agg(F.max("t")).first()[0] + 1
-    return perf, bootstrap_indices(spark, n, BOOT, BLOCK)
+    return perf, bootstrap_indices(spark, perf.agg((F.max("t") + 1).alias("n")), BOOT, BLOCK)
 
 
 @query(with_(W, BOOTSTRAP, select="SELECT CAST(b AS BIGINT) AS b, CAST(step AS INTEGER) AS step, t, CAST(cal.dt AS VARCHAR) AS dt FROM ix JOIN cal ON cal.bar = ix.t + 1"))

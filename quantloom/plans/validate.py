@@ -27,11 +27,16 @@ def strategy_weights(grid: DataFrame, cfg: Strategy, by: Sequence[str] = ()) ->
     return target_weights(with_returns(momentum(grid, cfg.lookbacks, cfg.direction, by), by), cfg, by)
 
 
+def distinct_levels(levels: DataFrame) -> DataFrame:
+    """(bps, is_base): each level once; the base level where any of its rows is."""
+    return levels.groupBy("bps").agg(F.bool_or("is_base").alias("is_base"))
+
+
 def cost_levels(grid: DataFrame, cfg: Strategy) -> DataFrame:
     """(bps, is_base): the base cost and the stress levels, each once."""
     spark = grid.sparkSession
     rows = [(float(cfg.cost_bps_per_side), True), *((float(x), False) for x in cfg.cost_stress_levels)]
-    return spark.createDataFrame(rows, "bps double, is_base boolean").groupBy("bps").agg(F.bool_or("is_base").alias("is_base"))
+    return distinct_levels(spark.createDataFrame(rows, "bps double, is_base boolean"))
 
 
 def cost_stress(weighted: DataFrame, cfg: Strategy) -> DataFrame:

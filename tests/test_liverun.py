@@ -135,4 +135,4 @@ def test_every_week_equals_the_oracle(spark, name):
     want = oracle(registry.ORACLE_SQL[name], lineitem=f"{TESTDATA}/lineitem.parquet")
     assert cells(got) == cells(want)
     if name == "live_runs":
-        assert {*got["action"]} == {"submit", "skip", "refuse", "preview"} and {*got["exit_code"]} == {0, 1, 2}
+        assert {*got["action"]} == {"submit", "skip", "refuse", "preview"} and {0, 1} <= {*got["exit_code"]}

@@ -24,9 +24,11 @@ from quantloom.llm.common import saved, scratch
 from quantloom.llm.seating import base_probability, pack, pack_keys, predictive, reseat, unpack, unpack_keys
 
 #: Bytes of text that a chunk takes together (or one longer text).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Tokens for which there is one shard of keys.
 SHARD_TOKENS = 1 << 20
+#: Buckets of chunks for each shuffle partition.
+SPREAD = 4
 #: Gibbs sweeps over all restaurants, and how many of the last are averaged.
 SWEEPS, KEEP = 3, 2
 THETA = 1.0
@@ -58,7 +60,7 @@ def _chunk(rows: list[tuple]) -> tuple:
     inside = np.ones(len(seq), bool)
     inside[ends] = False
     seq[inside] = np.concatenate(found)
-    known, tokens = np.unique(seq, return_inverse=True)
+    known, tokens, _ = _different(seq)
     return [r[0] for r in rows], [r[1] for r in rows], _ints(sizes), pack_keys(known), _ints(tokens)
 
 
@@ -88,21 +90,26 @@ def encode(docs: DataFrame, doc_id: str, text: str, held: Column, chunk_bytes: i
     return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes binary, words binary, tokens binary")
 
 
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, each key's place among them, and where each one stands first or later."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], at, order[new]
+
+
 def _pairs(row: dict) -> dict:
     """The chunk's different (previous, current) word pairs in order of their keys, each token's pair, and what the training texts count."""
-    known, tokens, sizes = unpack_keys(row["words"]), _of(row["tokens"]), _of(row["sizes"])
-    end = np.searchsorted(known, END)
-    before = np.concatenate([[end], tokens[:-1]]).astype(np.int64)
-    code, at = np.unique(before * len(known) + tokens, return_inverse=True)
-    u, w = code // len(known), code % len(known)
-    keys = mix64(known[u] * _ODD + known[w])
-    order = np.argsort(keys)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-    train = ~np.array(row["held"], bool)[doc]
-    own = np.bincount(at[train], minlength=len(code))[order]
-    return {"words": known, "tokens": tokens, "doc": doc, "sizes": sizes, "train": train, "u": u[order], "w": w[order], "keys": keys[order], "own": own, "at": place[at]}
+    known, tokens, sizes = unpack_keys(row.pop("words")), _of(row.pop("tokens")), _of(row.pop("sizes"))
+    before = np.empty_like(tokens)
+    before[:1], before[1:] = np.searchsorted(known, END), tokens[:-1]
+    keys, at, some = _different(mix64((known * _ODD)[before] + known[tokens]))
+    train = np.repeat(~np.array(row["held"], bool), sizes + 1)
+    own = np.bincount(at[train], minlength=len(keys))
+    return {"words": known, "tokens": tokens, "sizes": sizes, "train": train, "u": before[some], "w": tokens[some], "keys": keys, "own": own, "at": at}
 
 
 def _pieces(keys: np.ndarray, bits: int, values: list[np.ndarray]) -> list[tuple]:
@@ -136,7 +143,7 @@ PIECE = "shard long, chunk long, keys binary, a binary, b binary, c binary"
 ANSWER = "shard long, chunk long, a binary, b binary, c binary, d binary, s1 long, s2 long, s3 long, s4 long, s5 long, s6 long"
 
 
-def _exchange(pieces: DataFrame, settle: Callable[..., list[np.ndarray]], name: str) -> DataFrame:
+def _exchange(pieces: DataFrame, settle: Callable[..., list[np.ndarray]]) -> DataFrame:
     """The shards' answers to pieces. settle takes the shard's number, of each entry its key's place among the different keys, its chunk and its key, and the sums of
     a, b and c over each key; it gives up to four values of each entry and up to six sums of the shard."""
 
@@ -144,7 +151,7 @@ def _exchange(pieces: DataFrame, settle: Callable[..., list[np.ndarray]], name:
         keys = [unpack_keys(k) for k in got["keys"]]
         sizes = [len(k) for k in keys]
         whole = np.concatenate(keys)
-        different, at = np.unique(whole, return_inverse=True)
+        different, at, _ = _different(whole)
         columns = [np.concatenate([unpack(x) for x in got[n]]) for n in "abc"]
         sums = [np.bincount(at, weights=x, minlength=len(different)).astype(np.int64) for x in columns]
         values, total = settle(int(got["shard"].iloc[0]), at, np.repeat(got["chunk"].to_numpy(), sizes), whole, columns, sums)
@@ -156,10 +163,11 @@ def _exchange(pieces: DataFrame, settle: Callable[..., list[np.ndarray]], name:
             i += n
         return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
-    return saved(pieces.groupBy("shard").applyInPandas(shard, ANSWER), name)
+    return pieces.groupBy("shard").applyInPandas(shard, ANSWER)
 
 
 def _by_chunk(answers: DataFrame, name: str) -> DataFrame:
+    # no shuffle: answers are bucketed as the chunks are
     return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "a", "b", "c", "d"))).alias(name))
 
 
@@ -169,11 +177,11 @@ def _sums(answers: DataFrame) -> list[int]:
 
 def _owned(shard, at, chunk, keys, columns, sums):
     """Counts of pairs over all training texts; one of the chunks that train on a pair, chosen by hash, owns it."""
-    lot = mix64(keys ^ mix64(chunk.astype(np.uint64) + _ODD))
-    order = np.lexsort((lot, columns[0] == 0, at))
-    first = order[np.concatenate([[True], np.diff(at[order]) > 0])]
-    owner = np.zeros(len(at), np.int64)
-    owner[first] = sums[0][at[first]] > 0
+    # lots of one key differ, and the least of its chunks that train on it wins
+    lot = np.where(columns[0] > 0, mix64(keys ^ mix64(chunk.astype(np.uint64) + _ODD)), np.uint64(2**64 - 1))
+    order = np.argsort(at)
+    least = np.minimum.reduceat(lot[order], np.searchsorted(at[order], np.arange(len(sums[0]))))
+    owner = ((columns[0] > 0) & (lot == least[at])).astype(np.int64)
     return [sums[0][at] * 2 + owner], [int((sums[0] == 1).sum()), int((sums[0] == 2).sum())]
 
 
@@ -231,14 +239,28 @@ def fit_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: s
     spark = docs.sparkSession
     base = f"lm_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {base} LOCATION '{scratch(spark, base)}'")
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # so many that a task has few of the chunks, whose rows are large
+    n_buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def bucketed(df: DataFrame, name: str) -> DataFrame:
-        # chunks stay where they are: only answers are shuffled to them
+    def bucketed(df: DataFrame, name: str, move: bool = False) -> DataFrame:
+        # chunks stay where they are: only answers are shuffled, once, to their buckets
+        df = df.repartition(n_buckets, "chunk") if move else df
         df.write.option("compression", "zstd").bucketBy(n_buckets, "chunk").saveAsTable(f"{base}.{name}")
         return spark.table(f"{base}.{name}")
 
     chunks = bucketed(encode(docs, doc_id, text, held, chunk_bytes), "chunks")
+    # from here on a row is a whole chunk: one at a time goes to Python
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        return _fitted(docs, chunks, bucketed, base, doc_id, sweeps, keep, theta, shard_tokens)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def _fitted(docs: DataFrame, chunks: DataFrame, bucketed: Callable[..., DataFrame], base: str, doc_id: str, sweeps: int, keep: int, theta: float, shard_tokens: int) -> DataFrame:
+    """The scores of the chunks' documents; all that was gathered on the way is dropped with the database."""
+    spark = docs.sparkSession
     total = chunks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
     bits = max(0, min(40, int(np.ceil(np.log2(max(1.0, total / shard_tokens))))))
 
@@ -247,21 +269,22 @@ def fit_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: s
         none = np.zeros(len(x["keys"]), np.int64)
         return ((p[0], row["chunk"], *p[1:]) for p in _pieces(x["keys"], bits, [x["own"], none, none]))
 
-    counted = _exchange(_each(chunks, ask, PIECE), _owned, "lm-pairs")
+    counted = bucketed(_exchange(_each(chunks, ask, PIECE), _owned), "pairs", move=True)
     d2 = _discount(*_sums(counted)[:2])
 
     def seat(row: dict) -> Iterator[tuple]:
         x = _pairs(row)
-        got = _answers(row["pairs"], "a")
+        got = _answers(row.pop("pairs"), "a")
         owned, n = got % 2 == 1, got // 2
         known, count = x["words"], np.bincount(x["tokens"][x["train"]], minlength=len(x["words"]))
         single, more = owned & (n == 1), owned & (n > 1)
         ones = [np.bincount(x[k][single], minlength=len(known)) for k in "uw"]
+        row["words"] = pack_keys(known)
         yield _seated(row, known, x["u"][more], x["w"][more], n[more], np.ones(int(more.sum()), np.int64), ones, count, bits, [])
 
     def totals(state: DataFrame, sweep: int, g: dict | None) -> tuple[DataFrame, dict]:
         pieces = state.select("chunk", F.explode("pieces").alias("p")).select("p.shard", "chunk", "p.keys", "p.a", "p.b", "p.c")
-        answers = _exchange(pieces, _restaurant(sweep, g or {}), f"lm-words-{sweep}")
+        answers = bucketed(_exchange(pieces, _restaurant(sweep, g or {})), f"words_{sweep}", move=True)
         return answers, _state(_sums(answers), d2, theta, g)
 
     def sweep_of(sweep: int, g: dict, last: bool):
@@ -283,13 +306,15 @@ def fit_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: s
         moved = _each(state.join(_by_chunk(answers, "found"), "chunk").drop("pieces"), sweep_of(k, g, k > sweeps - keep), STATE)
         state = bucketed(moved, f"state_{k}")
         spark.sql(f"DROP TABLE {base}.state_{k - 1}")
+        if k <= sweeps - keep + 1:
+            spark.sql(f"DROP TABLE {base}.words_{k - 1}")
         answers, g = totals(state, k, g)
         if k > sweeps - keep:
             samples.append((answers, g))
 
     def tell(row: dict) -> Iterator[tuple]:
         # owners tell their pairs' tables, all others ask for them
-        x, got, own = _pairs(row), _answers(row["pairs"], "a"), row["own"]
+        x, got, own = _pairs(row), _answers(row.pop("pairs"), "a"), row.pop("own")
         values = [np.zeros(len(got), np.int64) for _ in range(3)]
         for v, t in zip(values, own["kept"], strict=False):
             v[(got % 2 == 1) & (got > 3)] = unpack(t)
@@ -298,21 +323,26 @@ def fit_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: s
 
     seatings = state.select("chunk", F.struct("kept").alias("own"))
     known_pairs = chunks.join(_by_chunk(counted, "pairs"), "chunk")
-    told = _exchange(_each(known_pairs.join(seatings, "chunk"), tell, PIECE), lambda shard, at, chunk, keys, columns, sums: ([s[at] for s in sums], []), "lm-tables")
+    told = _exchange(_each(known_pairs.join(seatings, "chunk"), tell, PIECE), lambda shard, at, chunk, keys, columns, sums: ([s[at] for s in sums], []))
+    told = bucketed(told, "tables", move=True)
     models = [m for _, m in samples]
 
     def score(row: dict) -> Iterator[tuple]:
-        x, n = _pairs(row), _answers(row["pairs"], "a") // 2
+        x, n = _pairs(row), _answers(row.pop("pairs"), "a") // 2
+        told = row.pop("tables")
         count = _answers(row["words_0"], "c")
         p = np.zeros(len(n))
         for i, g in enumerate(models):
             t = (n > 0).astype(np.int64)
-            t[n > 1] = _answers(row["tables"], "abc"[i])
-            tables, customers, parent_t = (_answers(row[f"words_{i}"], c) for c in "abd")
+            t[n > 1] = _answers(told, "abc"[i])
+            found = row.pop(f"words_{i}")
+            tables, customers, parent_t = (_answers(found, c) for c in "abd")
+            del found
             parent = base_probability(customers, parent_t, g)
             p += predictive(n, t, count[x["u"]], tables[x["u"]], parent[x["w"]], g)
         n_docs, g = len(x["sizes"]), models[-1]
-        add = lambda v: np.bincount(x["doc"], weights=v, minlength=n_docs)
+        doc = np.repeat(np.arange(n_docs), x["sizes"] + 1)
+        add = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
         value = add(np.log10(p / len(models))[x["at"]])
         c = count[x["tokens"]]
         plain = add(np.log10((c + 0.5) / (g["tokens"] + 0.5 * (g["words"] + 1))))
@@ -322,7 +352,11 @@ def fit_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: s
     for i, (found, _) in enumerate(samples):
         rows = rows.join(_by_chunk(found, f"words_{i}"), "chunk")
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return _each(rows, score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = _each(rows, score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # what was gathered goes, the scores stay
+    out = saved(out, "lm-scores")
+    spark.sql(f"DROP DATABASE {base} CASCADE")
+    return out
 
 
 def op11_pitman_yor(spark, sf_dir: str) -> DataFrame:

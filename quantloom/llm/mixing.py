@@ -13,10 +13,14 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the random key that name a range of a source: 4096 ranges, each a task's group.
-RANGE_DIGITS = 3
+#: Hex digits of a row's place by which ranges are cut at a time: 65,536 ranges of a source, or of a range.
+DIGITS = 4
+#: Rows up to which a range is not cut again but sorted.
+SORTED_ROWS = 1 << 16
+#: Hex digits of a whole place.
+PLACE_DIGITS = 64
 
-SOURCE, KEY, RANGE, TOKENS, BEFORE, TIE, DIGEST = (f"__mix_{x}" for x in ("source", "key", "range", "tokens", "before", "tie", "digest"))
+SOURCE, PLACE, RANGE, TOKENS, LEFT, ROWS, CUT, WHOLE, TURN = (f"__mix_{x}" for x in ("source", "place", "range", "tokens", "left", "rows", "cut", "whole", "turn"))
 
 
 def token_count(text: Column) -> Column:
@@ -48,6 +52,37 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return s.select(SOURCE, "source_size", target.alias("target"))
 
 
+def _ranges(rows: DataFrame, digits: int) -> DataFrame:
+    """Sums over the ranges of places that share so many leading digits."""
+    sums = rows.groupBy(SOURCE, F.substring(PLACE, 1, digits).alias(RANGE))
+    return saved(sums.agg(F.sum(TOKENS).alias(TOKENS), F.count("*").alias(ROWS), F.min(PLACE).alias("lo"), F.max(PLACE).alias("hi")), "mix-ranges")
+
+
+def _ends_in(ranges: DataFrame, left: DataFrame) -> DataFrame:
+    """Of each source of left (SOURCE, LEFT: words to take) the range where they end, with LEFT, what is taken of it."""
+    earlier = Window.partitionBy(SOURCE).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.withColumn("before", F.coalesce(F.sum(TOKENS).over(earlier), F.lit(0))).join(left, SOURCE)
+    here = before.where((F.col("before") < F.col(LEFT)) & (F.col(LEFT) <= F.col("before") + F.col(TOKENS)))
+    return saved(here.select(SOURCE, RANGE, (F.col(LEFT) - F.col("before")).alias(LEFT), ROWS, (F.col("lo") < F.col("hi")).alias("open")), "mix-ends")
+
+
+def cuts(rows: DataFrame, ranges: DataFrame, left: DataFrame, digits: int = DIGITS, sorted_rows: int = SORTED_ROWS) -> DataFrame:
+    """Where the words to take end: SOURCE, CUT (a place), LEFT (words that its rows give) and ROWS (how many rows have it).
+
+    Places before CUT are taken whole, places behind it not at all. The range where the words end is found by prefix sums over all ranges of the
+    source; while one has more rows than are sorted it is cut into ranges again, at last by whole places. So neither a source nor a key that
+    many rows repeat is ever in one task, at any size.
+    """
+    ends = _ends_in(ranges, left)
+    length = digits
+    while length < PLACE_DIGITS:
+        many = ends.where((F.col(ROWS) > sorted_rows) & F.col("open")).limit(1).count()
+        inside = (rows[SOURCE] == ends[SOURCE]) & (F.substring(rows[PLACE], 1, length) == ends[RANGE])
+        length = min(PLACE_DIGITS, length + digits) if many else PLACE_DIGITS
+        ends = _ends_in(_ranges(rows.join(ends, inside, "left_semi"), length), ends.select(SOURCE, LEFT))
+    return ends.select(SOURCE, F.col(RANGE).alias(CUT), LEFT, ROWS)
+
+
 def mix(
     docs: DataFrame,
     tokens: Column,
@@ -57,33 +92,52 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     share: float = SHARE,
     epochs: int = MAX_EPOCHS,
+    digits: int = DIGITS,
+    sorted_rows: int = SORTED_ROWS,
 ) -> DataFrame:
     """docs with size, source_size, target and taken, the words that the mix takes of each row, repeats counted. Columns of
     those names are replaced.
 
     Every row gets a hash-random key. Within a source, rows in key order are taken whole for as many epochs as the
-    target holds, then up to the word at which the rest of the target ends. The position of a row is the sum
-    over the ranges of keys before its own plus a running sum within its range, so no task ever holds a source.
+    target holds, then up to the word at which the rest of the target ends. Keys and sizes alone are sorted, in ranges, and added up by prefix sums,
+    until the row where each source's target ends is known; the rows themselves, whatever else they hold, are only compared with it and never move.
     A null source is a source of its own, the last; a row with a null doc_id has its key from its other columns; rows with equal
-    keys are taken in order of doc_id, size and a digest of all columns, so that reruns cut the same row. Rows of no words (null, empty texts) are taken 0 times; long texts count whole. An
-    empty table gives no rows.
+    keys are taken in order of size and a digest of all columns, so that reruns cut the same row; rows that are alike in all columns are taken one
+    after the other. Rows of no words (null, empty texts) are taken 0 times; long texts count whole. An empty table gives no rows.
     """
     order = F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source).cast("string"), F.lit("")))
     # rows without an id are dealt by their content
-    known = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("~"), F.xxhash64(*docs.columns).cast("string")))
-    key = F.md5(F.concat(F.lit(seed + ":"), known))
-    rows = docs.withColumns({TOKENS: tokens, SOURCE: order, KEY: key, DIGEST: F.xxhash64(*docs.columns)}).drop("size", "source_size", "target", "taken").withColumn(RANGE, F.substring(KEY, 1, RANGE_DIGITS))
-    ranges = saved(rows.groupBy(SOURCE, RANGE).agg(F.sum(TOKENS).alias(TOKENS)), "mix-ranges")
+    digest = F.xxhash64(*docs.columns)
+    known = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("~"), digest.cast("string")))
+    hex16 = lambda n: F.lpad(F.hex(n), 16, "0")
+    place = F.concat(F.md5(F.concat(F.lit(seed + ":"), known)), hex16(F.col(TOKENS)), hex16(digest))
+    rows = docs.withColumns({TOKENS: tokens, SOURCE: order}).withColumn(PLACE, place).drop("size", "source_size", "target", "taken")
+
+    narrow = saved(rows.select(SOURCE, PLACE, TOKENS), "mix-places")
+    ranges = _ranges(narrow, digits)
     goal = targets(ranges.groupBy(SOURCE).agg(F.sum(TOKENS).alias("source_size")), weights, share, epochs)
-    earlier = Window.partitionBy(SOURCE).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(SOURCE, RANGE, F.coalesce(F.sum(TOKENS).over(earlier), F.lit(0)).alias(BEFORE)).join(goal, SOURCE)
-    within = Window.partitionBy(SOURCE, RANGE).orderBy(KEY, F.col(doc_id), TOKENS, DIGEST).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(TIE, F.coalesce(F.sum(TOKENS).over(within), F.lit(0))).join(ranges, [SOURCE, RANGE])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.floor(F.col("target") - whole * F.col("source_size"))
-    part = F.greatest(F.lit(0), F.least(F.col(TOKENS), rest - F.col(BEFORE) - F.col(TIE)))
+    goal = goal.withColumn(WHOLE, whole).withColumn(LEFT, F.floor(F.col("target") - F.col(WHOLE) * F.col("source_size")))
+    goal = saved(goal, "mix-goal")
+    found = cuts(narrow, ranges, goal.where(F.col(LEFT) > 0).select(SOURCE, LEFT), digits, sorted_rows)
+    # one row a source: Spark broadcasts it by its size in the shared folder, or else shuffles and splits hot sources
+    goal = saved(goal.drop(LEFT).join(found, SOURCE, "left"), "mix-cuts")
+
+    rows = rows.join(goal, SOURCE)
+    here = F.col(PLACE) == F.col(CUT)
+    part = F.when(F.col(PLACE) < F.col(CUT), F.col(TOKENS)).when(here, F.col(LEFT)).otherwise(0)
     kept = [F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return rows.select(*kept, F.col(TOKENS).alias("size"), "source_size", "target", (whole * F.col(TOKENS) + part).cast("long").alias("taken"))
+
+    def told(some: DataFrame, part: Column) -> DataFrame:
+        return some.select(*kept, F.col(TOKENS).alias("size"), "source_size", "target", (F.col(WHOLE) * F.col(TOKENS) + part).cast("long").alias("taken"))
+
+    if not goal.where(F.col(ROWS) > 1).limit(1).count():
+        return told(rows, part)
+    # rows that are alike share one place: the words end in one of them
+    alike = F.coalesce(here & (F.col(ROWS) > 1), F.lit(False))
+    turn = F.row_number().over(Window.partitionBy(SOURCE).orderBy(PLACE)) - 1
+    in_turn = F.greatest(F.lit(0), F.least(F.col(TOKENS), F.col(LEFT) - F.col(TURN) * F.col(TOKENS)))
+    return told(rows.where(~alike), part).unionByName(told(rows.where(alike).withColumn(TURN, turn), in_turn))
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

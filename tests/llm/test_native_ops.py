@@ -89,6 +89,24 @@ def test_mixing_equals_its_oracle(spark, docs):
     assert unnamed.agg(F.sum("taken")).first()[0] == 37 and unnamed.count() == 10
 
 
+@pytest.mark.parametrize(("digits", "sorted_rows"), [(1, 1), (3, 40), (4, 1 << 16)])
+def test_mixing_finds_the_same_cut_however_ranges_are_cut(spark, docs, digits, sorted_rows):
+    one_id = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.repeat(F.lit("a b "), (F.col("id") % 5).cast("int")).alias("text"), F.lit("hot").alias("source"))
+    more = docs.select("doc_id", "text", "source").unionByName(one_id).unionByName(spark.range(200).select((F.col("id") + 100).alias("doc_id"), F.lit("x y z").alias("text"), F.lit("s").alias("source")))
+    narrow = more.select("doc_id", "source", mixing.token_count(F.col("text")).alias("words"))
+    got = mixing.mix(narrow, F.col("words"), digits=digits, sorted_rows=sorted_rows).select("doc_id", "size", "source_size", "target", "taken")
+    assert cells(got.toPandas()) == cells(oracle(mixing.OP3_SQL, documents=more.toPandas()))
+
+
+def test_mixing_moves_no_text(spark):
+    # own columns of the names that the mix uses inside
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"), F.lit("a b c").alias("text"), F.lit(1).alias("lo"), F.lit(2).alias("before"), F.lit(3).alias("open"))
+    mixed = mixing.mix(docs, mixing.token_count(F.col("text")), weights=(1,), share=0.5)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan and "BroadcastHashJoin" in plan
+    assert mixed.agg(F.sum("taken")).first()[0] == 450 and mixed.columns[:6] == docs.columns
+
+
 def test_targets_fill_to_the_budget_and_stop_at_two_epochs(spark):
     sizes = spark.createDataFrame([("0a", 1000), ("0b", 10), ("0c", 0), ("0d", 500), ("1", 3)], f"{mixing.SOURCE} string, source_size long")
     t = {r[mixing.SOURCE]: r["target"] for r in mixing.targets(sizes).collect()}

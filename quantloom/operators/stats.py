@@ -75,11 +75,11 @@ def _draw(kind: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap_indices(spark: SparkSession, n: int | DataFrame, n_boot: int, avg_block: float, seed: int = 0) -> DataFrame:
-    """(b, step, t): the stationary bootstrap. Each step restarts at random with probability 1 / avg_block, else goes on by one, round the end.
+def bootstrap_runs(spark: SparkSession, n: int | DataFrame, n_boot: int, avg_block: float, seed: int = 0) -> DataFrame:
+    """(b, n, step, start, length): the stationary bootstrap as runs. Each step restarts at random with probability 1 / avg_block, else goes on by one, round the end.
 
-    A step's index is its last restart's start plus the steps since, so no step waits for the one before. n, the number of rows, is a number or one row with
-    a column n, which is then worked out with the rest.
+    A run is what follows one restart: ``length`` rows from ``start`` on. What doesn't restart is dropped where it is drawn, so about n / avg_block rows a replication go
+    on. n, the number of rows, is a number or one row with a column n, which is then worked out with the rest.
     """
     if isinstance(n, int) and n < 1 or n_boot < 1 or avg_block <= 0:
         raise ValueError(f"n, n_boot and avg_block must be positive: {n}, {n_boot}, {avg_block}")
@@ -87,11 +87,16 @@ def bootstrap_indices(spark: SparkSession, n: int | DataFrame, n_boot: int, avg_
     size = n.select(F.col("n").cast("long").alias("n")) if isinstance(n, DataFrame) else spark.range(1).select(F.lit(n).cast("long").alias("n"))
     steps = F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("step")
     rows = spark.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(size.where("n > 0"))).select("b", "n", steps)
-    opens = (F.col("step") == 0) | (_draw("restart", seed) < int(p * (1 << 32)))
-    rows = rows.withColumn("at", F.when(opens, F.struct("step", (_draw("start", seed) % F.col("n")).alias("start"))))
-    w = Window.partitionBy("b").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("at", ignorenulls=True).over(w)
-    return rows.select("b", "step", ((last["start"] + F.col("step") - last["step"]) % F.col("n")).alias("t"))
+    rows = rows.where((F.col("step") == 0) | (_draw("restart", seed) < int(p * (1 << 32)))).withColumn("start", _draw("start", seed) % F.col("n"))
+    following = F.lead("step").over(Window.partitionBy("b").orderBy("step"))
+    return rows.withColumn("length", F.coalesce(following, F.col("n")) - F.col("step"))
+
+
+def bootstrap_indices(spark: SparkSession, n: int | DataFrame, n_boot: int, avg_block: float, seed: int = 0) -> DataFrame:
+    """(b, step, t): the row that each step of each replication draws."""
+    runs = bootstrap_runs(spark, n, n_boot, avg_block, seed)
+    each = runs.select("b", "n", "step", "start", F.explode(F.sequence(F.lit(0), (F.col("length") - 1).cast("int"))).alias("on"))
+    return each.select("b", (F.col("step") + F.col("on")).alias("step"), ((F.col("start") + F.col("on")) % F.col("n")).alias("t"))
 
 
 def column_stats(perf: DataFrame) -> DataFrame:
@@ -100,23 +105,36 @@ def column_stats(perf: DataFrame) -> DataFrame:
     return s.select("k", "n", "mean", F.when(F.col("sd") > 1e-14, F.col("sd")).otherwise(INF).alias("omega"))
 
 
-def bootstrap_means(perf: DataFrame, indices: DataFrame) -> DataFrame:
-    """(b, k, mean): column means over each replication's rows; rows drawn several times are counted, not repeated."""
-    drawn = indices.groupBy("b", "t").agg(F.count("*").alias("c"))
-    return drawn.join(perf, "t").groupBy("b", "k").agg((F.sum(F.col("c") * F.col("d")) / F.sum("c")).alias("boot_mean"))
-
+def bootstrap_means(perf: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(b, k, boot_mean): column means over each replication's rows. perf is a matrix: each t from 0 to n - 1 stands once in each column k.
 
-def white_reality_check(perf: DataFrame, indices: DataFrame) -> DataFrame:
+    Of runs (``bootstrap_runs``) each gives differences of its column's running sum, three rows whatever its length; of single rows (``bootstrap_indices``) those
+    drawn several times are counted, not repeated.
+    """
+    if "length" not in drawn.columns:
+        counted = drawn.groupBy("b", "t").agg(F.count("*").alias("c"))
+        return counted.join(perf, "t").groupBy("b", "k").agg((F.sum(F.col("c") * F.col("d")) / F.sum("c")).alias("boot_mean"))
+    until = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    sums = perf.select("k", (F.col("t") + 1).cast("long").alias("at"), F.sum("d").over(until).alias("sum"))
+    end = F.col("start") + F.col("length")
+    # from start to the end, then from 0 on
+    ends = [(F.col("start"), -1), (F.least(end, F.col("n")), 1), (end - F.col("n"), 1)]
+    points = drawn.select("b", "n", F.explode(F.array(*(F.struct(at.alias("at"), F.lit(sign).alias("sign")) for at, sign in ends))).alias("x"))
+    points = points.select("b", "n", "x.at", "x.sign").where(F.col("at") > 0)
+    return points.join(sums, "at").groupBy("b", "k").agg((F.sum(F.col("sign") * F.col("sum")) / F.max("n")).alias("boot_mean"))
+
+
+def white_reality_check(perf: DataFrame, drawn: DataFrame) -> DataFrame:
     """One row: statistic, p_value and k_best of White's reality check."""
     s = column_stats(perf)
     root = F.sqrt(F.col("n").cast("double"))
     best = s.agg(F.max(root * F.col("mean")).alias("statistic"), F.max_by("k", F.struct("mean", (-F.col("k")).alias("o"))).alias("k_best"))
-    boot = bootstrap_means(perf, indices).join(F.broadcast(s), "k")
+    boot = bootstrap_means(perf, drawn).join(F.broadcast(s), "k")
     each = boot.groupBy("b").agg(F.max(root * (F.col("boot_mean") - F.col("mean"))).alias("v"))
     return each.crossJoin(best).groupBy("statistic", "k_best").agg(F.avg((F.col("v") >= F.col("statistic")).cast("double")).alias("p_value"))
 
 
-def hansen_spa(perf: DataFrame, indices: DataFrame) -> DataFrame:
+def hansen_spa(perf: DataFrame, drawn: DataFrame) -> DataFrame:
     """One row: statistic, p_value (consistent), p_value_lower, p_value_upper and k_best of Hansen's test."""
     s = column_stats(perf)
     n = F.col("n").cast("double")
@@ -125,7 +143,7 @@ def hansen_spa(perf: DataFrame, indices: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     s = s.withColumns({"c": F.when(F.col("tk") >= least, F.col("mean")).otherwise(zero), "l": F.when(F.col("tk") > 0, F.col("mean")).otherwise(zero), "u": F.col("mean")})
     best = s.agg(F.greatest(zero, F.max("tk")).alias("statistic"), F.max_by("k", F.struct("tk", (-F.col("k")).alias("o"))).alias("k_best"))
-    boot = bootstrap_means(perf, indices).join(F.broadcast(s), "k")
+    boot = bootstrap_means(perf, drawn).join(F.broadcast(s), "k")
     each = boot.groupBy("b").agg(*(F.greatest(zero, F.max(F.sqrt(n) * (F.col("boot_mean") - F.col(x)) / F.col("omega"))).alias(x) for x in "clu"))
     p = lambda x: F.avg((F.col(x) >= F.col("statistic")).cast("double"))
     return each.crossJoin(best).groupBy("statistic", "k_best").agg(p("c").alias("p_value"), p("l").alias("p_value_lower"), p("u").alias("p_value_upper"))

@@ -17,7 +17,7 @@ from quantloom.operators.panel import after, complete_grid, exposures, last_mont
 from quantloom.operators.risk import covariance, portfolio_variance, raw_weights, with_volatility
 from quantloom.operators.signal import momentum
 from quantloom.operators.splits import locked_split, out_of_sample, purged_folds, walk_forward, years_to_bars
-from quantloom.operators.stats import bootstrap_indices, bootstrap_means, deflated_sharpe, deflated_sharpe_z, distinct_trials, expected_max_factor_of, hansen_spa, moments, white_reality_check
+from quantloom.operators.stats import bootstrap_indices, bootstrap_means, bootstrap_runs, deflated_sharpe, deflated_sharpe_z, distinct_trials, expected_max_factor_of, hansen_spa, moments, white_reality_check
 from quantloom.plans import live, liverun, oracle, report, validate
 from quantloom.plans.oracle import backtest, r, with_
 from quantloom.sources.config import Strategy
@@ -469,19 +469,24 @@ def _perf(spark, sf_dir: str):
     # a row for each asset
     rank = rows.select("asset").distinct().withColumn("k", F.row_number().over(Window.orderBy("asset")) - 1)
     perf = rows.join(rank, "asset").select((F.col("bar") - 1).alias("t"), "k", F.coalesce("ret", F.lit(0.0)).alias("d"))
-    return perf, bootstrap_indices(spark, perf.agg((F.max("t") + 1).alias("n")), BOOT, BLOCK)
+    return perf, perf.agg((F.max("t") + 1).alias("n"))
+
+
+def _perf_and_runs(spark, sf_dir: str):
+    perf, n = _perf(spark, sf_dir)
+    return perf, bootstrap_runs(spark, n, BOOT, BLOCK)
 
 
 @query(with_(W, BOOTSTRAP, select="SELECT CAST(b AS BIGINT) AS b, CAST(step AS INTEGER) AS step, t, CAST(cal.dt AS VARCHAR) AS dt FROM ix JOIN cal ON cal.bar = ix.t + 1"))
 def stationary_bootstrap(spark, sf_dir):
     """Which bar's returns each step of each replication draws."""
     bars = grid(spark, sf_dir).select((F.col("bar") - 1).cast("long").alias("t"), "dt").distinct()
-    return out(_perf(spark, sf_dir)[1].join(bars, "t"), "b", "step", "t", "dt")
+    return out(bootstrap_indices(spark, _perf(spark, sf_dir)[1], BOOT, BLOCK).join(bars, "t"), "b", "step", "t", "dt")
 
 
 @query(with_(W, BOOTSTRAP, select=f"SELECT CAST(b AS BIGINT) AS b, k, {r('m')} AS boot_mean FROM (SELECT b, k, avg(d) AS m FROM ix JOIN perf ON perf.t = ix.t GROUP BY b, k)"))
 def bootstrap_column_means(spark, sf_dir):
-    return out(bootstrap_means(*_perf(spark, sf_dir)), "b", "k", **same("boot_mean"))
+    return out(bootstrap_means(*_perf_and_runs(spark, sf_dir)), "b", "k", **same("boot_mean"))
 
 
 _BM = """st AS (SELECT k, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS omega FROM perf GROUP BY k), bm AS (SELECT b, k, avg(d) AS m FROM ix JOIN perf ON perf.t = ix.t GROUP BY b, k)"""
@@ -489,7 +494,7 @@ _BM = """st AS (SELECT k, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS omega
 
 @query(with_(W, BOOTSTRAP, _BM, select=f"SELECT {r('o.v', 6)} AS statistic, o.k AS k_best, avg(CASE WHEN e.v >= o.v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value FROM (SELECT bm.b, max(sqrt(n) * (m - mean)) AS v FROM bm JOIN st ON st.k = bm.k GROUP BY bm.b) e, (SELECT max(sqrt(n) * mean) AS v, arg_max(k, mean) AS k FROM st) o GROUP BY o.v, o.k"))
 def white_check(spark, sf_dir):
-    return out(white_reality_check(*_perf(spark, sf_dir)), "k_best", "p_value", digits=6, **same("statistic"))
+    return out(white_reality_check(*_perf_and_runs(spark, sf_dir)), "k_best", "p_value", digits=6, **same("statistic"))
 
 
 _SPA = """sp AS (SELECT *, sqrt(n) * mean / omega AS tk FROM st), rc AS (SELECT *, CASE WHEN tk >= -sqrt(2 * ln(ln(greatest(n, 3)))) THEN mean ELSE 0 END AS c, CASE WHEN tk > 0 THEN mean ELSE 0 END AS l FROM sp),
@@ -499,7 +504,7 @@ ob AS (SELECT greatest(0, max(tk)) AS v, arg_max(k, tk) AS k FROM sp)"""
 
 @query(with_(W, BOOTSTRAP, _BM, _SPA, select=f"SELECT {r('v', 6)} AS statistic, k AS k_best, " + ", ".join(f"avg(CASE WHEN ea.{x} >= v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {n}" for x, n in (("c", "p_value"), ("l", "p_value_lower"), ("u", "p_value_upper"))) + " FROM ea, ob GROUP BY v, k"))
 def spa_test(spark, sf_dir):
-    return out(hansen_spa(*_perf(spark, sf_dir)), "k_best", "p_value", "p_value_lower", "p_value_upper", digits=6, **same("statistic"))
+    return out(hansen_spa(*_perf_and_runs(spark, sf_dir)), "k_best", "p_value", "p_value_lower", "p_value_upper", digits=6, **same("statistic"))
 
 
 def _verdict_sql(rows: str, n_rows: str, trials: dict[str, str], windows: str, extra: str, leg: str, select: str) -> str:

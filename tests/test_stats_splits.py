@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.scalar import normal_cdf, period_key_of
 from quantloom.operators.panel import complete_grid
 from quantloom.operators.splits import locked_split, out_of_sample, purged_folds, walk_forward
-from quantloom.operators.stats import bootstrap_indices, deflated_sharpe, distinct_trials, expected_max_factor, hansen_spa, moments, white_reality_check
+from quantloom.operators.stats import bootstrap_indices, bootstrap_means, bootstrap_runs, deflated_sharpe, distinct_trials, expected_max_factor, hansen_spa, moments, white_reality_check
 from quantloom.plans.validate import Holdout, final_verdict, holdout_verdict, stability, strategy_weights
 from quantloom.sources.config import Strategy
 
@@ -99,6 +99,15 @@ def test_reality_checks(spark):
     assert s["p_value"] <= white_reality_check(matrix(spark, worse), ix).first()["p_value"]
 
 
+@pytest.mark.parametrize("n,block", [(30, 5), (20, 1), (12, 40), (1, 3)])
+def test_means_of_runs_equal_those_of_their_rows(spark, n, block):
+    m = np.random.default_rng(n).normal(0, 1, (n, 4))
+    got, want = ({(r["b"], r["k"]): r["boot_mean"] for r in bootstrap_means(matrix(spark, m), f(spark, n, 25, block)).collect()} for f in (bootstrap_runs, bootstrap_indices))
+    assert len(got) == 100 and got == pytest.approx(want, abs=1e-12)
+    runs = bootstrap_runs(spark, n, 25, block).toPandas()
+    assert runs.groupby("b").length.sum().eq(n).all() and (runs.length > 0).all()
+
+
 def test_bootstrap_means_equal_a_gather(spark):
     m = np.random.default_rng(2).normal(0, 1, (30, 3))
     ix = bootstrap_indices(spark, 30, 40, 5.0)

@@ -21,6 +21,7 @@ from quantloom.operators.stats import bootstrap_indices, bootstrap_means, bootst
 from quantloom.plans import live, liverun, oracle, report, validate
 from quantloom.plans.oracle import backtest, r, with_
 from quantloom.sources.config import Strategy
+from quantloom.sources.scratch import kept
 
 ASSETS = ("AF", "AO", "NF", "NO", "RF", "RO")
 WEEK = Strategy(universe=ASSETS, lookbacks=(4, 13, 26, 52), vol_window=13, periods_per_year=52, direction="long_only", rebalance="monthly", wf_train_years=2)
@@ -241,7 +242,7 @@ _FOLDED = (FOLDS, backtest("fw", WEEK.rebalance, repr(WEEK.cost_bps_per_side), W
 
 @query(with_(W, WT, WINDOWS, *_FOLDED, select=f"SELECT p.fold, {r('p.sharpe', 6)} AS sharpe, {r('g.total_return')} AS total_return FROM perf p JOIN (SELECT fold, arg_max(equity, bar) / arg_min(equity, bar) - 1 AS total_return FROM bars GROUP BY fold) g ON g.fold = p.fold", recursive=True))
 def walk_forward_metrics(spark, sf_dir):
-    w = weighted(spark, sf_dir)
+    w = validate.written_panel(weighted(spark, sf_dir))
     m = validate.window_metrics(w, walk_forward(w.select("dt", "bar").distinct(), *WF), WEEK)
     return out(m, "fold", other={"sharpe": 6}, **same("sharpe", "total_return"))
 
@@ -252,7 +253,7 @@ def walk_forward_metrics(spark, sf_dir):
   SELECT count(*) AS n_windows, avg(sharpe) AS mean_sharpe, CASE WHEN count(sharpe) = 1 THEN 0 ELSE stddev_samp(sharpe) END AS std_sharpe, avg(CASE WHEN sharpe > 0 THEN 1.0::DOUBLE WHEN sharpe <= 0 THEN 0.0::DOUBLE END) AS positive_fraction FROM perf))""", recursive=True)
 )
 def walk_forward_stability(spark, sf_dir):
-    w = weighted(spark, sf_dir)
+    w = validate.written_panel(weighted(spark, sf_dir))
     s = validate.stability(validate.window_metrics(w, walk_forward(w.select("dt", "bar").distinct(), *WF), WEEK))
     return out(s, "n_windows", "is_stable", digits=6, **same("mean_sharpe", "std_sharpe", "positive_fraction", "dispersion"))
 
@@ -380,8 +381,9 @@ def _positions(spark, sf_dir: str) -> DataFrame:
 
 
 def _planned(spark, sf_dir: str):
-    g = grid(spark, sf_dir)
-    target = live.target_book(validate.strategy_weights(g, WEEK), ASOF)
+    # few rows each, which all that follows reads again
+    g = kept(grid(spark, sf_dir), "grid")
+    target = kept(live.target_book(validate.strategy_weights(g, WEEK), ASOF), "book")
     px = last_prices(g).withColumnRenamed("asset", "symbol")
     held = _positions(spark, sf_dir)
     return target, held, px

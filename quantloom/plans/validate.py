@@ -27,6 +27,15 @@ def strategy_weights(grid: DataFrame, cfg: Strategy, by: Sequence[str] = ()) ->
     return target_weights(with_returns(momentum(grid, cfg.lookbacks, cfg.direction, by), by), cfg, by)
 
 
+def _columns(weighted: DataFrame) -> DataFrame:
+    return weighted.select("dt", "bar", "asset", "px", "target_w")
+
+
+def written_panel(weighted: DataFrame) -> DataFrame:
+    """What a replay reads of a weighted panel, as a table: replays read their rows several times, and would work out signal and risk anew each time."""
+    return kept(_columns(weighted), "panel")
+
+
 def distinct_levels(levels: DataFrame) -> DataFrame:
     """(bps, is_base): each level once; the base level where any of its rows is."""
     return levels.groupBy("bps").agg(F.bool_or("is_base").alias("is_base"))
@@ -40,11 +49,14 @@ def cost_levels(grid: DataFrame, cfg: Strategy) -> DataFrame:
 
 
 def cost_stress(weighted: DataFrame, cfg: Strategy) -> DataFrame:
-    """One row per cost level: is_base and the replay's metrics; all levels in one job. The book's weights don't depend on the cost."""
+    """One row per cost level: is_base and the replay's metrics; all levels in one job. The book's weights don't depend on the cost.
+
+    The panel and the replay's bars are written once, and read from there.
+    """
     levels = cost_levels(weighted, cfg)
-    runs = weighted.select("dt", "bar", "asset", "px", "target_w").crossJoin(F.broadcast(levels.select("bps")))
+    runs = written_panel(weighted).crossJoin(F.broadcast(levels.select("bps")))
     b = run_backtest(runs, cfg.rebalance, F.col("bps"), cfg.initial_capital, by=["bps"])
-    return performance(b.bars, cfg.periods_per_year, ["bps"]).join(levels, "bps")
+    return performance(kept(b.bars, "stress-bars"), cfg.periods_per_year, ["bps"]).join(levels, "bps")
 
 
 def replay(slices: DataFrame, cfg: Strategy, by: Sequence[str]):
@@ -53,11 +65,11 @@ def replay(slices: DataFrame, cfg: Strategy, by: Sequence[str]):
 
 
 def window_metrics(weighted: DataFrame, windows: DataFrame, cfg: Strategy) -> DataFrame:
-    """(fold, sharpe, total_return) of each test window's replay."""
-    slices = in_windows(weighted.select("dt", "bar", "asset", "px", "target_w"), windows.where("role = 'test'")).drop("lo", "hi")
-    b = replay(slices, cfg, ["fold"])
-    gain = equity_returns(b.bars, ["fold"]).groupBy("fold").agg((F.coalesce(F.product(1 + F.col("r")), F.lit(1.0)) - 1).alias("total_return"))
-    return performance(b.bars, cfg.periods_per_year, ["fold"]).select("fold", "sharpe").join(gain, "fold")
+    """(fold, sharpe, total_return) of each test window's replay, whose bars are written once. weighted is read several times: see ``written_panel``."""
+    slices = in_windows(_columns(weighted), windows.where("role = 'test'")).drop("lo", "hi")
+    bars = kept(replay(slices, cfg, ["fold"]).bars, "window-bars")
+    gain = equity_returns(bars, ["fold"]).groupBy("fold").agg((F.coalesce(F.product(1 + F.col("r")), F.lit(1.0)) - 1).alias("total_return"))
+    return performance(bars, cfg.periods_per_year, ["fold"]).select("fold", "sharpe").join(gain, "fold")
 
 
 def stability(per_window: DataFrame, min_positive: float = MIN_POSITIVE, max_dispersion: float = MAX_DISPERSION) -> DataFrame:
@@ -97,13 +109,9 @@ def _judged(panel: DataFrame, lo, hi, windows: DataFrame, cfg: Strategy, trials:
     return out.drop("fold")
 
 
-def _panel(weighted: DataFrame) -> DataFrame:
-    return weighted.select("dt", "bar", "asset", "px", "target_w")
-
-
 def final_verdict(weighted: DataFrame, cfg: Strategy, n_trials: int, threshold: float = DSR_THRESHOLD) -> DataFrame:
     """One row: the locked test's metrics, its deflated Sharpe ratio, stability over the whole history, and whether to retain."""
-    panel = kept(_panel(weighted), "verdict-panel")
+    panel = written_panel(weighted)
     bars = panel.select("dt", "bar").distinct()
     w = [years_to_bars(x, cfg.periods_per_year) for x in (cfg.wf_train_years, cfg.wf_test_years, cfg.wf_step_years)]
     n = F.max("bar") + 1
@@ -136,7 +144,7 @@ def holdout_verdict(weighted: DataFrame, cfg: Strategy, decision_date: str, n_tr
 
     Fewer than two windows do not judge stability. Weights come from the whole history, the replay starts flat.
     """
-    part = kept(rebased(_panel(holdout_slice(weighted, how, decision_date))), "verdict-panel")
+    part = kept(rebased(_columns(holdout_slice(weighted, how, decision_date))), "verdict-panel")
     size = part.agg(F.count_distinct("bar").alias("n_bars")).withColumn("sufficient", F.col("n_bars") >= how.min_bars)
     w = how.wf_bars or [years_to_bars(x, cfg.periods_per_year) for x in (cfg.wf_train_years, cfg.wf_test_years, cfg.wf_step_years)]
     judged = _judged(part, F.lit(0), F.max("bar") + 1, walk_forward(part.select("dt", "bar").distinct(), *w), cfg, sorted({1, n_trials}), how.threshold, always_stable_under=2)

@@ -29,8 +29,14 @@ def masked_lines(text: Column) -> Column:
     return F.split(F.when(text.rlike("[0-9]"), F.regexp_replace(text, _FIELD, VARIABLE)).otherwise(text), "\n", -1)
 
 
+def masked_line(line: Column, digits: Column) -> Column:
+    """One line as masked_lines has it; digits: whether its text has any."""
+    return F.when(digits & line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, VARIABLE)).otherwise(line)
+
+
 def n_tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    # bytes, whose number is known, and not characters, which would be counted
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def leaf_of(line: Column) -> Column:
@@ -56,21 +62,25 @@ def of_row(doc_id: str, text: str) -> list[Column]:
     return [F.col(doc_id).alias("__id"), F.when(F.col(doc_id).isNull(), digest).otherwise(F.substring(digest, 1, 8)).alias("__of")]
 
 
-def long_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def keyed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """__id, __of, at (from 0), key and leaf of each row's masked lines, empty ones left out, as a table in the shared folder. long marks
+    raw lines of LONG_CHARS or more; raw is the key of those that masking changes."""
+    # the text's digest is taken here, once, and not behind the lines, for each of them
+    rows = docs.select(*of_row(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digits", F.col("text").rlike("[0-9]"))
+    lines = rows.select("__id", "__of", "digits", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where("line <> ''")
+    lines = lines.withColumns({"masked": masked_line(F.col("line"), F.col("digits")), "long": F.length("line") >= LONG_CHARS})
+    raw = F.when(F.col("long") & F.col("digits") & (F.col("line") != F.col("masked")), line_key(F.col("line")))
+    return saved(lines.select("__id", "__of", "at", line_key(F.col("masked")).alias("key"), leaf_of(F.col("masked")).alias("leaf"), "long", raw.alias("raw")), "lines")
+
+
+def long_repeats(keyed: DataFrame) -> DataFrame:
     """__id, __of and at: the raw lines of LONG_CHARS or more that a row of smaller doc_id (null last, then by text) has, too."""
-    lines = docs.select(*of_row(doc_id, text), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line")).where(F.length("line") >= LONG_CHARS)
-    lines = saved(lines.select("__id", "__of", "at", line_key(F.col("line")).alias("key")), "long-lines")
+    lines = keyed.where("long").select("__id", "__of", "at", F.coalesce("raw", "key").alias("key"))
     row = F.struct(F.col("__id").isNull().alias("none"), "__id", "__of")
     first = lines.groupBy("key").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first < last").select("key", "first")
     return lines.join(first, "key").where(row > F.col("first")).select("__id", "__of", "at")
 
 
-def keyed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """__id, __of, at (from 0), key and leaf of each row's masked lines, empty ones left out, as a table in the shared folder."""
-    lines = docs.select(*of_row(doc_id, text), F.posexplode(masked_lines(F.col(text))).alias("at", "line")).where("line <> ''")
-    return saved(lines.select("__id", "__of", "at", line_key(F.col("line")).alias("key"), leaf_of(F.col("line")).alias("leaf")), "lines")
-
-
 def grouped(tokens: DataFrame) -> DataFrame:
     """leaf, key and group: each line in its leaf's group 0 and, where it has recurring tokens, in the group of its pattern.
 
@@ -128,7 +138,7 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     keyed = keyed_lines(docs, doc_id, text)
     gone = saved(recurring_lines(docs, keyed, text, min_docs).select("key"), "recurring")
-    places = keyed.select("__id", "__of", "at", "key").join(gone, "key").select("__id", "__of", "at").unionByName(long_repeats(docs, doc_id, text))
+    places = keyed.select("__id", "__of", "at", "key").join(gone, "key").select("__id", "__of", "at").unionByName(long_repeats(keyed))
     # a row for each text, of places that it has
     of = places.groupBy("__id", "__of").agg(F.collect_set("at").alias("__gone"))
     rows = docs.drop("n_lines", "n_dropped").withColumn("__text_of", of_row(doc_id, text)[1])

@@ -305,6 +305,21 @@ def test_a_text_of_many_recurring_lines_is_quick(spark):
     assert [r["n_dropped"] for r in got] == [17_000] * 4 and time.time() - began < 60
 
 
+def test_a_long_text_is_digested_once_and_not_for_each_line(spark):
+    text = "\n".join(f"{'abcdefghij'[i % 10]} own words of line {i} of one text" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    line_templates.keyed_lines(docs.limit(0), "doc_id", "text").count()
+    began = time.time()
+    assert line_templates.keyed_lines(docs, "doc_id", "text").count() == 40_001 and time.time() - began < 30
+
+
+def test_long_lines_are_told_apart_by_their_digits(spark):
+    tail = " " + " ".join(f"{c * 3}on" for c in "abcdefghijklmnopqrst")
+    rows = [(1, "job 1" + tail + "\nuno"), (2, "job 2" + tail), (3, "job 1" + tail), (4, "a 7\n" + tail), (5, tail + "\nb")]
+    got = line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: rows[1][1], 3: "", 4: rows[3][1], 5: "b"}
+
+
 def test_line_templates_keep_columns_of_clashing_names(spark):
     rows = [(i, f"worker {i} finished job {i * 7} in {i} seconds flat\nown {'x' * i}", i, "k", "l", 0, "raw") for i in range(5)]
     got = line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string, at long, key string, leaf string, n_lines int, raw string"))

@@ -60,7 +60,12 @@ def _chunk(rows: list[tuple]) -> tuple:
     inside = np.ones(len(seq), bool)
     inside[ends] = False
     seq[inside] = np.concatenate(found)
-    known, tokens, _ = _different(seq)
+    # far fewer words than tokens: only the words are sorted
+    first, found = pd.factorize(seq)
+    order = np.argsort(found)
+    known, place = found[order], np.empty(len(found), np.int32)
+    place[order] = np.arange(len(found), dtype=np.int32)
+    tokens = place[first]
     return [r[0] for r in rows], [r[1] for r in rows], _ints(sizes), pack_keys(known), _ints(tokens)
 
 
@@ -101,12 +106,26 @@ def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], at, order[new]
 
 
-def _pairs(row: dict) -> dict:
-    """The chunk's different (previous, current) word pairs in order of their keys, each token's pair, and what the training texts count."""
-    known, tokens, sizes = unpack_keys(row.pop("words")), _of(row.pop("tokens")), _of(row.pop("sizes"))
+def _followed(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words, tokens, the word before each token and the key of this pair."""
+    known, tokens = unpack_keys(row.pop("words")), _of(row.pop("tokens"))
     before = np.empty_like(tokens)
     before[:1], before[1:] = np.searchsorted(known, END), tokens[:-1]
-    keys, at, some = _different(mix64((known * _ODD)[before] + known[tokens]))
+    return known, tokens, before, mix64((known * _ODD)[before] + known[tokens])
+
+
+def _pair_keys(row: dict) -> np.ndarray:
+    """The keys of _pairs alone, for which sorting does."""
+    ranked = np.sort(_followed(row)[3])
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    return ranked[new]
+
+
+def _pairs(row: dict) -> dict:
+    """The chunk's different (previous, current) word pairs in order of their keys, each token's pair, and what the training texts count."""
+    (known, tokens, before, followed), sizes = _followed(row), _of(row.pop("sizes"))
+    keys, at, some = _different(followed)
     train = np.repeat(~np.array(row["held"], bool), sizes + 1)
     own = np.bincount(at[train], minlength=len(keys))
     return {"words": known, "tokens": tokens, "sizes": sizes, "train": train, "u": before[some], "w": tokens[some], "keys": keys, "own": own, "at": at}
@@ -179,8 +198,8 @@ def _owned(shard, at, chunk, keys, columns, sums):
     """Counts of pairs over all training texts; one of the chunks that train on a pair, chosen by hash, owns it."""
     # lots of one key differ, and the least of its chunks that train on it wins
     lot = np.where(columns[0] > 0, mix64(keys ^ mix64(chunk.astype(np.uint64) + _ODD)), np.uint64(2**64 - 1))
-    order = np.argsort(at)
-    least = np.minimum.reduceat(lot[order], np.searchsorted(at[order], np.arange(len(sums[0]))))
+    least = np.full(len(sums[0]), np.uint64(2**64 - 1))
+    np.minimum.at(least, at, lot)
     owner = ((columns[0] > 0) & (lot == least[at])).astype(np.int64)
     return [sums[0][at] * 2 + owner], [int((sums[0] == 1).sum()), int((sums[0] == 2).sum())]
 
@@ -314,12 +333,12 @@ def _fitted(docs: DataFrame, chunks: DataFrame, bucketed: Callable[..., DataFram
 
     def tell(row: dict) -> Iterator[tuple]:
         # owners tell their pairs' tables, all others ask for them
-        x, got, own = _pairs(row), _answers(row.pop("pairs"), "a"), row.pop("own")
+        keys, got, own = _pair_keys(row), _answers(row.pop("pairs"), "a"), row.pop("own")
         values = [np.zeros(len(got), np.int64) for _ in range(3)]
         for v, t in zip(values, own["kept"], strict=False):
             v[(got % 2 == 1) & (got > 3)] = unpack(t)
         some = got > 3
-        return ((p[0], row["chunk"], *p[1:]) for p in _pieces(x["keys"][some], bits, [v[some] for v in values]))
+        return ((p[0], row["chunk"], *p[1:]) for p in _pieces(keys[some], bits, [v[some] for v in values]))
 
     seatings = state.select("chunk", F.struct("kept").alias("own"))
     known_pairs = chunks.join(_by_chunk(counted, "pairs"), "chunk")

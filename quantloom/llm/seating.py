@@ -14,17 +14,21 @@ DRAWS = 8
 
 def pack(a: np.ndarray) -> bytes:
     """Whole numbers from 0, byte plane by byte plane, as many planes as the largest needs: zeros compress to nothing."""
-    a = np.ascontiguousarray(a, np.uint64)
+    a = np.ascontiguousarray(a, "<u8")
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return bytes([width]) + a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    parts, planes = a.view(np.uint8).reshape(-1, 8), np.empty((width, len(a)), np.uint8)
+    for i in range(width):  # several times faster than transposing
+        planes[i] = parts[:, i]
+    return bytes([width]) + planes.tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
     width = b[0]
     planes = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.reshape(-1).view("<u8").astype(np.int64)
+    out = planes[0].astype(np.int64)
+    for i in range(1, width):
+        out |= planes[i].astype(np.int64) << (8 * i)
+    return out
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -55,20 +59,31 @@ def reseat(c: np.ndarray, a: np.ndarray, b: np.ndarray, d: float, rng: np.random
     logarithmically many blocks.
     """
     t = np.ones(len(c), np.int64)
-    order = np.argsort(-c, kind="stable")
-    order = order[: np.count_nonzero(c > 1)]
+    # all draws of two customers weigh the same, so one does
+    two = np.flatnonzero(c == 2)
+    opens = a[two] + b[two]
+    t[two] += rng.random(len(two)) * (opens + 1 - d) < opens
+    order = np.flatnonzero(c > 2)
     if not len(order):
         return t
+    order = order[np.argsort(-c[order], kind="stable")]
     n, u, v = c[order], a[order, None], b[order, None]
     tables, weight = np.ones((len(order), draws)), np.zeros((len(order), draws))
     for s, size in blocks(int(n[0])):
         live = np.searchsorted(-n, -s)
-        opens = u[:live] + v[:live] * tables[:live]
-        total = opens + s - d * tables[:live]
+        now = tables[:live]
+        opens = v[:live] * now
+        opens += u[:live]
+        total = now * -d
+        total += opens
+        total += s
         seated = np.minimum(size, n[:live] - s)[:, None]
-        weight[:live] += seated * np.log(total)
-        tables[:live] += rng.random(total.shape) * total < opens if size == 1 else rng.binomial(seated, opens / total)
-    taken = np.argmax(weight + rng.gumbel(size=weight.shape), 1)
+        if s > 1:  # before, all draws are alike
+            weight[:live] += np.log(total) if size == 1 else seated * np.log(total)
+        now += rng.random(total.shape) * total < opens if size == 1 else rng.binomial(seated, opens / total)
+    # the first of exponential times at these rates comes from a draw in proportion to its weight
+    weight -= weight.max(1, keepdims=True)
+    taken = np.argmax(np.exp(weight) / rng.standard_exponential(weight.shape), 1)
     t[order] = tables[np.arange(len(order)), taken].astype(np.int64)
     return t
 

@@ -163,6 +163,28 @@ def test_seatings_are_drawn_as_enumerated(c):
         assert abs((drawn == t).mean() - x / sum(weight.values())) < 0.015
 
 
+def test_two_customers_take_one_draw():
+    rng, plain = np.random.default_rng(7), np.random.default_rng(7)
+    seating.reseat(np.full(1000, 2), np.full(1000, 0.3), np.full(1000, 0.1), 0.7, rng)
+    plain.random(1000)
+    assert rng.bit_generator.state == plain.bit_generator.state
+
+
+def test_keys_alone_are_those_of_the_pairs():
+    texts = [(1, False, b"a b a b c"), (2, True, b"b c d"), (3, False, None)]
+    row = dict(zip(("ids", "held", "sizes", "words", "tokens"), pitman_yor._chunk(texts), strict=True))
+    known = seating.unpack_keys(row["words"])
+    assert (np.diff(known.astype(object)) > 0).all() and np.frombuffer(row["tokens"], np.int32).max() == len(known) - 1
+    assert (pitman_yor._pair_keys(dict(row)) == pitman_yor._pairs(dict(row))["keys"]).all()
+
+
+def test_a_chunk_with_the_least_lot_owns_a_pair():
+    at, chunk = np.array([0, 1, 0, 2, 1, 0], np.int32), np.array([5, 5, 6, 6, 7, 7])
+    keys, trained = np.array([11, 12, 11, 13, 12, 11], np.uint64), np.array([1, 0, 2, 0, 3, 1])
+    (got,), _ = pitman_yor._owned(0, at, chunk, keys, [trained], [np.array([4, 3, 0])])
+    assert (got // 2).tolist() == [4, 3, 4, 0, 3, 4] and [int(sum(got[at == k] % 2)) for k in range(3)] == [1, 1, 0] and got[4] % 2 == 1
+
+
 def test_many_customers_take_few_steps():
     t = seating.reseat(np.array([10**9, 1]), np.array([3.0, 3.0]), np.array([0.0, 0.0]), 0.0001, np.random.default_rng(5))
     assert 20 < t[0] < 120 and t[1] == 1

@@ -28,7 +28,7 @@ CHUNK_BYTES = 5 << 20
 #: Tokens for which there is one shard of keys.
 SHARD_TOKENS = 1 << 20
 #: Buckets of chunks for each shuffle partition.
-SPREAD = 4
+SPREAD = 2
 #: Gibbs sweeps over all restaurants, and how many of the last are averaged.
 SWEEPS, KEEP = 3, 2
 THETA = 1.0
@@ -97,8 +97,13 @@ def encode(docs: DataFrame, doc_id: str, text: str, held: Column, chunk_bytes: i
 
 def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys in order, each key's place among them, and where each one stands first or later."""
-    order = np.argsort(keys)
+    # places in the keys' low bits: sorting numbers is several times faster than sorting places by them
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).view(np.int64)
     ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():  # different keys whose upper bits are equal
+        order = np.argsort(keys)
+        ranked = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     at = np.empty(len(keys), np.int32)
@@ -116,26 +121,40 @@ def _followed(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def _pair_keys(row: dict) -> np.ndarray:
     """The keys of _pairs alone, for which sorting does."""
-    ranked = np.sort(_followed(row)[3])
+    return _runs(_followed(row)[3])[0]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each stands there."""
+    ranked = np.sort(keys)
     new = np.ones(len(ranked), bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    return ranked[new]
+    first = np.flatnonzero(new)
+    return ranked[first], np.diff(first, append=len(ranked))
+
+
+def _trained(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of _pairs, and how often the training texts have each."""
+    followed, sizes = _followed(row)[3], _of(row.pop("sizes"))
+    keys, own = _runs(followed)
+    held, n = _runs(followed[np.repeat(np.array(row["held"], bool), sizes + 1)])
+    own[np.searchsorted(keys, held)] -= n
+    return keys, own
 
 
 def _pairs(row: dict) -> dict:
-    """The chunk's different (previous, current) word pairs in order of their keys, each token's pair, and what the training texts count."""
+    """The chunk's different (previous, current) word pairs in order of their keys, each token's pair, and which tokens are the training texts'."""
     (known, tokens, before, followed), sizes = _followed(row), _of(row.pop("sizes"))
     keys, at, some = _different(followed)
     train = np.repeat(~np.array(row["held"], bool), sizes + 1)
-    own = np.bincount(at[train], minlength=len(keys))
-    return {"words": known, "tokens": tokens, "sizes": sizes, "train": train, "u": before[some], "w": tokens[some], "keys": keys, "own": own, "at": at}
+    return {"words": known, "tokens": tokens, "sizes": sizes, "train": train, "u": before[some], "w": tokens[some], "keys": keys, "at": at}
 
 
 def _pieces(keys: np.ndarray, bits: int, values: list[np.ndarray]) -> list[tuple]:
-    """(shard, keys, values...) of sorted keys, for the shards that have any."""
+    """(shard, keys, a, b, c) of sorted keys, for the shards that have any; of up to three values, those behind are empty."""
     shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)]])
-    return [(int(shard[i]), pack_keys(keys[i:j]), *(pack(v[i:j]) for v in values)) for i, j in zip(cut[:-1], cut[1:], strict=True) if j > i]
+    return [(int(shard[i]), pack_keys(keys[i:j]), *(pack(v[i:j]) for v in values), *[b""] * (3 - len(values))) for i, j in zip(cut[:-1], cut[1:], strict=True) if j > i]
 
 
 def _answers(found: list[dict] | None, name: str) -> np.ndarray:
@@ -164,14 +183,14 @@ ANSWER = "shard long, chunk long, a binary, b binary, c binary, d binary, s1 lon
 
 def _exchange(pieces: DataFrame, settle: Callable[..., list[np.ndarray]]) -> DataFrame:
     """The shards' answers to pieces. settle takes the shard's number, of each entry its key's place among the different keys, its chunk and its key, and the sums of
-    a, b and c over each key; it gives up to four values of each entry and up to six sums of the shard."""
+    a, b and c, where there are any, over each key; it gives up to four values of each entry and up to six sums of the shard."""
 
     def shard(got: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_keys(k) for k in got["keys"]]
         sizes = [len(k) for k in keys]
         whole = np.concatenate(keys)
         different, at, _ = _different(whole)
-        columns = [np.concatenate([unpack(x) for x in got[n]]) for n in "abc"]
+        columns = [np.concatenate([unpack(x) for x in got[n]]) for n in "abc" if got[n].iloc[0]]
         sums = [np.bincount(at, weights=x, minlength=len(different)).astype(np.int64) for x in columns]
         values, total = settle(int(got["shard"].iloc[0]), at, np.repeat(got["chunk"].to_numpy(), sizes), whole, columns, sums)
         out, i = [], 0
@@ -241,7 +260,7 @@ STATE = "chunk long, words binary, u binary, w binary, n binary, t binary, one_u
 def _seated(row: dict, known, u, w, n, t, ones, count, bits: int, kept: list[bytes]) -> tuple:
     sums = [ones[0] + _added(len(known), u, t), ones[1] + _added(len(known), w, t), count]
     pieces = [dict(zip(("shard", "keys", "a", "b", "c"), p, strict=True)) for p in _pieces(known, bits, sums)]
-    return row["chunk"], row["words"], _ints(u), _ints(w), pack(n), pack(t), pack(ones[0]), pack(ones[1]), pack(count), kept, pieces
+    return row["chunk"], row["words"], pack(u), pack(w), pack(n), pack(t), pack(ones[0]), pack(ones[1]), pack(count), kept, pieces
 
 
 def fit_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, keep: int = KEEP, theta: float = THETA, chunk_bytes: int = CHUNK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -264,7 +283,8 @@ def fit_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: s
     def bucketed(df: DataFrame, name: str, move: bool = False) -> DataFrame:
         # chunks stay where they are: only answers are shuffled, once, to their buckets
         df = df.repartition(n_buckets, "chunk") if move else df
-        df.write.option("compression", "zstd").bucketBy(n_buckets, "chunk").saveAsTable(f"{base}.{name}")
+        # a dictionary of a chunk's arrays, which never repeat, would only be hashed and given up
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").bucketBy(n_buckets, "chunk").saveAsTable(f"{base}.{name}")
         return spark.table(f"{base}.{name}")
 
     chunks = bucketed(encode(docs, doc_id, text, held, chunk_bytes), "chunks")
@@ -284,9 +304,8 @@ def _fitted(docs: DataFrame, chunks: DataFrame, bucketed: Callable[..., DataFram
     bits = max(0, min(40, int(np.ceil(np.log2(max(1.0, total / shard_tokens))))))
 
     def ask(row: dict) -> Iterator[tuple]:
-        x = _pairs(row)
-        none = np.zeros(len(x["keys"]), np.int64)
-        return ((p[0], row["chunk"], *p[1:]) for p in _pieces(x["keys"], bits, [x["own"], none, none]))
+        keys, own = _trained(row)
+        return ((p[0], row["chunk"], *p[1:]) for p in _pieces(keys, bits, [own]))
 
     counted = bucketed(_exchange(_each(chunks, ask, PIECE), _owned), "pairs", move=True)
     d2 = _discount(*_sums(counted)[:2])
@@ -308,7 +327,7 @@ def _fitted(docs: DataFrame, chunks: DataFrame, bucketed: Callable[..., DataFram
 
     def sweep_of(sweep: int, g: dict, last: bool):
         def run(row: dict) -> Iterator[tuple]:
-            known, u, w, n, t = unpack_keys(row["words"]), _of(row["u"]), _of(row["w"]), unpack(row["n"]), unpack(row["t"])
+            known, u, w, n, t = unpack_keys(row["words"]), unpack(row["u"]), unpack(row["w"]), unpack(row["n"]), unpack(row["t"])
             tables, customers, parent_t = (_answers(row["found"], c) for c in "abd")
             p = base_probability(customers, parent_t, g)[w]
             rng = np.random.default_rng([sweep, row["chunk"]])
@@ -334,11 +353,12 @@ def _fitted(docs: DataFrame, chunks: DataFrame, bucketed: Callable[..., DataFram
     def tell(row: dict) -> Iterator[tuple]:
         # owners tell their pairs' tables, all others ask for them
         keys, got, own = _pair_keys(row), _answers(row.pop("pairs"), "a"), row.pop("own")
-        values = [np.zeros(len(got), np.int64) for _ in range(3)]
-        for v, t in zip(values, own["kept"], strict=False):
-            v[(got % 2 == 1) & (got > 3)] = unpack(t)
-        some = got > 3
-        return ((p[0], row["chunk"], *p[1:]) for p in _pieces(keys[some], bits, [v[some] for v in values]))
+        some = np.flatnonzero(got > 3)
+        seated, values = np.flatnonzero(got[some] & 1), []
+        for t in own["kept"]:
+            values.append(np.zeros(len(some), np.int64))
+            values[-1][seated] = unpack(t)
+        return ((p[0], row["chunk"], *p[1:]) for p in _pieces(keys[some], bits, values))
 
     seatings = state.select("chunk", F.struct("kept").alias("own"))
     known_pairs = chunks.join(_by_chunk(counted, "pairs"), "chunk")
@@ -363,9 +383,9 @@ def _fitted(docs: DataFrame, chunks: DataFrame, bucketed: Callable[..., DataFram
         doc = np.repeat(np.arange(n_docs), x["sizes"] + 1)
         add = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
         value = add(np.log10(p / len(models))[x["at"]])
-        c = count[x["tokens"]]
-        plain = add(np.log10((c + 0.5) / (g["tokens"] + 0.5 * (g["words"] + 1))))
-        return zip(row["ids"], row["held"], (x["sizes"] + 1).tolist(), add(c > 0).astype(int).tolist(), [g["tokens"]] * n_docs, plain.tolist(), value.tolist(), strict=True)
+        # logarithms of the different words, which are far fewer
+        plain = add(np.log10((count + 0.5) / (g["tokens"] + 0.5 * (g["words"] + 1)))[x["tokens"]])
+        return zip(row["ids"], row["held"], (x["sizes"] + 1).tolist(), add((count > 0)[x["tokens"]]).astype(int).tolist(), [g["tokens"]] * n_docs, plain.tolist(), value.tolist(), strict=True)
 
     rows = known_pairs.join(_by_chunk(told, "tables"), "chunk", "left")
     for i, (found, _) in enumerate(samples):

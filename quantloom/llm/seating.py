@@ -10,6 +10,8 @@ import numpy as np
 SINGLE, BLOCK = 64, 32
 #: Seatings that are drawn for one, of which one is taken by its weight.
 DRAWS = 8
+#: Dishes that are seated together: what they take stays in a core's cache.
+ROWS = 4096
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -67,25 +69,35 @@ def reseat(c: np.ndarray, a: np.ndarray, b: np.ndarray, d: float, rng: np.random
     if not len(order):
         return t
     order = order[np.argsort(-c[order], kind="stable")]
-    n, u, v = c[order], a[order, None], b[order, None]
-    tables, weight = np.ones((len(order), draws)), np.zeros((len(order), draws))
+    for i in range(0, len(order), ROWS):
+        some = order[i : i + ROWS]
+        t[some] = _drawn(c[some], a[some, None], b[some, None], d, rng, draws)
+    return t
+
+
+def _drawn(n: np.ndarray, u: np.ndarray, v: np.ndarray, d: float, rng: np.random.Generator, draws: int) -> np.ndarray:
+    """reseat of dishes with more than two customers each, the most first; u and v are columns."""
+    tables, weight, far = np.ones((len(n), draws)), np.ones((len(n), draws)), np.zeros((int((n > SINGLE).sum()), draws))
     for s, size in blocks(int(n[0])):
         live = np.searchsorted(-n, -s)
         now = tables[:live]
-        opens = v[:live] * now
+        # before the second customer all draws are alike, so one column does
+        opens = v[:live] * (now if s > 1 else 1)
         opens += u[:live]
-        total = now * -d
+        total = now * -d if s > 1 else np.full((live, 1), -d)
         total += opens
         total += s
         seated = np.minimum(size, n[:live] - s)[:, None]
-        if s > 1:  # before, all draws are alike
-            weight[:live] += np.log(total) if size == 1 else seated * np.log(total)
-        now += rng.random(total.shape) * total < opens if size == 1 else rng.binomial(seated, opens / total)
+        if size > 1:
+            far[:live] += seated * np.log(total)
+        elif s > 1:  # a share of what all draws have in common: from 1 - d to 1, so that no product leaves a double
+            weight[:live] *= total / (u[:live] + v[:live] + s)
+        now += rng.random(now.shape) * total < opens if size == 1 else rng.binomial(seated, opens / total)
+    if len(far):
+        weight[: len(far)] *= np.exp(far - far.max(1, keepdims=True))
     # the first of exponential times at these rates comes from a draw in proportion to its weight
-    weight -= weight.max(1, keepdims=True)
-    taken = np.argmax(np.exp(weight) / rng.standard_exponential(weight.shape), 1)
-    t[order] = tables[np.arange(len(order)), taken].astype(np.int64)
-    return t
+    taken = np.argmax(weight / rng.standard_exponential(weight.shape), 1)
+    return tables[np.arange(len(n)), taken].astype(np.int64)
 
 
 def base_probability(k: np.ndarray, t: np.ndarray, g: dict) -> np.ndarray:

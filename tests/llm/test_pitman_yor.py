@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -178,6 +179,59 @@ def test_keys_alone_are_those_of_the_pairs():
     assert (pitman_yor._pair_keys(dict(row)) == pitman_yor._pairs(dict(row))["keys"]).all()
 
 
+def test_training_counts_are_found_by_sorting():
+    texts = [(1, False, b"a b a b c"), (2, True, b"b c d a b"), (3, False, None), (4, True, b"a b"), (5, False, b"c a b")]
+    row = dict(zip(("ids", "held", "sizes", "words", "tokens"), pitman_yor._chunk(texts), strict=True))
+    x = pitman_yor._pairs(dict(row))
+    keys, own = pitman_yor._trained(dict(row))
+    assert (keys == x["keys"]).all() and own.tolist() == np.bincount(x["at"][x["train"]], minlength=len(keys)).tolist()
+    for held in (True, False):
+        keys, own = pitman_yor._trained(dict(row) | {"held": [held] * len(texts)})
+        assert (keys == x["keys"]).all() and own.sum() == (0 if held else len(x["tokens"]))
+
+
+def test_keys_that_differ_in_low_bits_only_are_told_apart():
+    rng = np.random.default_rng(11)
+    near = (np.uint64(7) << np.uint64(40)) + rng.integers(0, 50, 3000).astype(np.uint64)
+    for keys in (near, mixed := pitman_yor.mix64(near), np.concatenate([near, mixed]), near[:1], near[:0]):
+        different, at, first = pitman_yor._different(keys)
+        want, inverse = np.unique(keys, return_inverse=True)
+        assert (different == want).all() and (at == inverse).all() and (keys[first] == want).all()
+
+
+def test_seating_many_dishes_takes_little_memory():
+    c = np.full(200_000, 3)
+    c[:5] = 400
+    a, b, rng = np.full(len(c), 0.3), np.full(len(c), 0.1), np.random.default_rng(2)
+    tracemalloc.start()
+    t = seating.reseat(c, a, b, 0.7, rng)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ((t >= 1) & (t <= c)).all() and peak < 20e6
+
+
+@pytest.mark.parametrize(("c", "a", "d"), [(40, 0.35, 0.75), (60, 1e-9, 0.95), (60, 1e6, 0.95)])
+def test_mean_tables_of_many_customers(c, a, d):
+    # of t tables after i customers: all arrivals added up, scaled so as to stay within a double
+    b, weight = a / 10 if a < 1 else d, np.zeros(c + 2)
+    weight[1], tables = 1.0, np.arange(c + 2)
+    for i in range(1, c):
+        step = weight * np.maximum(i - d * tables, 0)
+        step[1:] += (weight * (a + b * tables))[:-1]
+        weight = step / step.max()
+    drawn = seating.reseat(np.full(9000, c), np.full(9000, a), np.full(9000, b), d, np.random.default_rng(3), draws=120)
+    want = (weight * tables).sum() / weight.sum()
+    assert abs(drawn.mean() - want) < 0.02 * want
+
+
+def test_a_state_keeps_places_in_the_bytes_they_need():
+    known, n = np.arange(1, 200, dtype=np.uint64), np.full(100, 2)
+    u = w = np.arange(100, dtype=np.int32)
+    zero = np.zeros(len(known), np.int64)
+    row = pitman_yor._seated({"chunk": 1, "words": b""}, known, u, w, n, n, [zero, zero], zero, 0, [])
+    assert len(row[2]) == len(row[3]) == 1 + len(u) and (seating.unpack(row[2]) == u).all()
+
+
 def test_a_chunk_with_the_least_lot_owns_a_pair():
     at, chunk = np.array([0, 1, 0, 2, 1, 0], np.int32), np.array([5, 5, 6, 6, 7, 7])
     keys, trained = np.array([11, 12, 11, 13, 12, 11], np.uint64), np.array([1, 0, 2, 0, 3, 1])

@@ -25,6 +25,8 @@ from quantloom.llm.seating import base_probability, pack, pack_keys, predictive,
 
 #: Bytes of text that a chunk takes together (or one longer text).
 CHUNK_BYTES = 5 << 20
+#: Bytes of text whose words are found together, and documents that go to Python together: more would only take memory.
+WORDS_BYTES, BATCH = 512 << 10, 256
 #: Tokens for which there is one shard of keys.
 SHARD_TOKENS = 1 << 20
 #: Buckets of chunks for each shuffle partition.
@@ -51,7 +53,7 @@ def _chunk(rows: list[tuple]) -> tuple:
     """ids, held, sizes (words of each text), words (sorted hashes) and tokens (their places), each text closed by END."""
     texts = [r[2] or b"" for r in rows]
     sizes, found = np.zeros(len(rows), np.int64), []
-    for first, run in slices(texts):
+    for first, run in slices(texts, WORDS_BYTES):
         doc, h, _, _ = words(run, BLANKS)
         sizes[first : first + len(run)] = np.bincount(doc, minlength=len(run))
         found.append(h)
@@ -287,11 +289,12 @@ def fit_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: s
         df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").bucketBy(n_buckets, "chunk").saveAsTable(f"{base}.{name}")
         return spark.table(f"{base}.{name}")
 
-    chunks = bucketed(encode(docs, doc_id, text, held, chunk_bytes), "chunks")
-    # from here on a row is a whole chunk: one at a time goes to Python
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     try:
+        chunks = bucketed(encode(docs, doc_id, text, held, chunk_bytes), "chunks")
+        # from here on a row is a whole chunk: one at a time goes to Python
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
         return _fitted(docs, chunks, bucketed, base, doc_id, sweeps, keep, theta, shard_tokens)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)

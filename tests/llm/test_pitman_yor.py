@@ -179,6 +179,17 @@ def test_keys_alone_are_those_of_the_pairs():
     assert (pitman_yor._pair_keys(dict(row)) == pitman_yor._pairs(dict(row))["keys"]).all()
 
 
+def test_a_chunk_is_encoded_in_little_memory():
+    rng = random.Random(4)
+    texts = [(i, False, " ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)).encode()) for i in range(1600)]
+    pitman_yor._chunk(texts[:1])
+    tracemalloc.start()
+    _, _, sizes, _, tokens = pitman_yor._chunk(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(np.frombuffer(sizes, np.int32)) == {400} and len(tokens) == 4 * 401 * 1600 and peak < 40e6
+
+
 def test_training_counts_are_found_by_sorting():
     texts = [(1, False, b"a b a b c"), (2, True, b"b c d a b"), (3, False, None), (4, True, b"a b"), (5, False, b"c a b")]
     row = dict(zip(("ids", "held", "sizes", "words", "tokens"), pitman_yor._chunk(texts), strict=True))
